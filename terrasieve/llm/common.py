@@ -79,25 +79,24 @@ def spread_sample(df: DataFrame, rows: int, files: int = 8) -> DataFrame:
     return df.orderBy(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c, kind in df.dtypes if kind in ("bigint", "int")] or [F.lit(0)])).limit(rows)
 
 
-def prefix_sums(df: DataFrame, group: str, order: list[str], value: str, before: str) -> DataFrame:
+def prefix_sums(df: DataFrame, group: str, order: list[str], value: str, before: str, per_group: DataFrame | None = None) -> DataFrame:
     """Adds before: the sum of value over the rows of the same group that come earlier by order.
 
     The rows are range-partitioned by (group, order), so a group that holds most rows is cut over many
-    partitions; only one sum per (group, partition) meets in a window. df must be small in width (no texts);
-    order must be total within a group.
+    partitions; only one sum per (group, partition) meets in a window. group must not be null, and order should be
+    total within a group (rows that tie take any order among themselves). per_group holds more columns by group: they
+    are joined to those sums, so the rows themselves are joined once.
     """
-    placed = written(
-        df.repartitionByRange(group, *order).withColumn("_part", F.spark_partition_id()), "ranges"
-    )
+    placed = written(df.repartitionByRange(group, *order).withColumn("_part", F.spark_partition_id()), "ranges")
     sums = placed.groupBy(group, "_part").agg(F.sum(value).alias("_sum"))
     earlier = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(
-        F.col(group).alias("_group"), F.col("_part").alias("_at"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base")
-    )
+    sums = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).drop("_sum")
+    if per_group is not None:
+        sums = sums.join(per_group, group)
     within = Window.partitionBy(group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
         placed.withColumn("_run", F.coalesce(F.sum(value).over(within), F.lit(0)))
-        .join(sums, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_at")))
+        .join(sums, [group, "_part"])
         .withColumn(before, F.col("_base") + F.col("_run"))
-        .drop("_part", "_run", "_group", "_at", "_base")
+        .drop("_part", "_run", "_base")
     )

@@ -4,15 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrasieve.llm import quality_rules
+from terrasieve.llm import chat, mixing, packing, quality_rules, url_filters
 from terrasieve.llm.common import table
 
 
+def word_tokenizer() -> str:
+    """The path of the public word-piece vocabulary; packing takes any such path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf_dir, "pages"))
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(table(spark, sf_dir, "documents"))
+
+
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.turns(table(spark, sf_dir, "conversations"))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), word_tokenizer())
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op4_url_filters": op4_url_filters,
+    "op5_source_mixing": op5_source_mixing,
+    "op9_chat_formatting": op9_chat_formatting,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_source_mixing": mixing.ORACLE_SQL, "op9_chat_formatting": chat.ORACLE_SQL}
