@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrasieve.llm import chat, mixing, packing, quality_rules, url_filters
+from terrasieve.llm import chat, mixing, near_dedup, packing, quality_rules, url_filters
 from terrasieve.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(table(spark, sf_dir, "documents"))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"))
 
@@ -37,6 +41,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op4_url_filters": op4_url_filters,
     "op5_source_mixing": op5_source_mixing,
     "op9_chat_formatting": op9_chat_formatting,
