@@ -100,3 +100,20 @@ def prefix_sums(df: DataFrame, group: str, order: list[str], value: str, before:
         .withColumn(before, F.col("_base") + F.col("_run"))
         .drop("_part", "_run", "_base")
     )
+
+
+def fold_of(doc_id: Column, folds: int) -> Column:
+    """crc32 of the id as text, modulo folds; null for a null id."""
+    return (F.crc32(doc_id.cast("string").cast("binary")) % folds).cast("int")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, trained_on: Column, rows: int) -> DataFrame:
+    """doc_id, text, y of at most rows labelled documents (those with the least hash of their id) that trained_on admits.
+
+    labels must have doc_id; only labels 0 and 1 count, and a document labelled twice counts once, with the larger label.
+    """
+    chosen = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & trained_on).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    chosen = written(chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "sample")
+    # at most rows ids and labels
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return written(found.dropDuplicates(["doc_id"]), "labelled")
