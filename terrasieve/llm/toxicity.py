@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples.
 
-Terms are lower-case words without punctuation; those that go with the label (a chi-squared test on the sample) make
-up the vocabulary. A document's nearest examples by exact TF-IDF cosine come from a block-max inverted index: blocks
+Terms are beginnings of lower-case words, so inflected and compound forms meet; those that go with the label (a
+chi-squared test on the sample) make up the vocabulary. A document's nearest examples by exact TF-IDF cosine come from a block-max inverted index: blocks
 of examples are visited by falling upper bound until none can still hold a nearer one. The examples vote with their
 cosine as weight; an isotonic curve, fitted on the examples' own votes with each left out, calibrates the vote. The
 nearest examples and the matching terms are the evidence.
@@ -24,49 +24,103 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrasieve.llm.common import fold_of, labelled_sample, written
+from terrasieve.llm.common import fold_of, labelled_sample
 
 SAMPLE_ROWS = 8000
 VOCABULARY = 4096
-MIN_DOCUMENTS = 3
-CHI_SQUARED = 15.0
+MIN_DOCUMENTS = 4
+CHI_SQUARED = 20.0
+#: Lengths of the beginnings of words that are terms.
+STEM = range(3, 9)
 NEAREST = 15
 BLOCK = 64
 CACHE_WORDS = 400_000
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 
-def term_of(word: bytes) -> str:
-    """Lower case, without punctuation at either end; may be empty."""
-    return _EDGES.sub("", word.decode().lower())
+def stems_of(word: bytes) -> list[str]:
+    """The word in lower case, without punctuation at either end, cut to each of the STEM lengths it has; a shorter word whole."""
+    bare = _EDGES.sub("", word.decode().lower())
+    return list(dict.fromkeys(bare[:k] for k in STEM)) if bare else []
 
 
-def sample_terms(sample: DataFrame) -> DataFrame:
-    """doc_id, y, term, tf of the sample's documents."""
+def stem_counts(sample: DataFrame) -> DataFrame:
+    """term, a (documents of label 1 that have it), df, summed for each partition of the sample."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, list[str]] = {}
+        a, df = Counter(), Counter()
         for batch in batches:
-            for doc_id, y, text in zip(*(batch.column(k) for k in (0, 1, 2)), strict=True):
-                counts = Counter(term_of(w) for w in (text.as_py() or "").encode().split())
-                counts.pop("", None)
-                n = len(counts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([doc_id.as_py()] * n, pa.int64()), pa.array([y.as_py()] * n, pa.int32()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())],
-                    names=["doc_id", "y", "term", "tf"],
-                )
-
-    return sample.select("doc_id", "y", "text").mapInArrow(read, "doc_id long, y int, term string, tf long")
-
-
-def telling_terms(terms: DataFrame, n: int, positive: int, most: int = VOCABULARY) -> list[tuple[str, int]]:
-    """(term, documents) of at most `most` terms that occur more in label 1 than chance explains, the most telling first."""
-    a = F.sum("y").cast("double")
-    df = F.count(F.lit(1)).cast("double")
-    counted = terms.groupBy("term").agg(a.alias("a"), df.alias("df")).where(F.col("df") >= MIN_DOCUMENTS)
+            for y, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = set((text.as_py() or "").encode().split())
+                for w in words:
+                    if w not in known:
+                        known[w] = stems_of(w)
+                stems = {s for w in words for s in known[w]}
+                df.update(stems)
+                if y:
+                    a.update(stems)
+        yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array([a[t] for t in df], pa.int64()), pa.array(list(df.values()), pa.int64())], names=["term", "a", "df"])
+
+    return sample.select("y", "text").mapInArrow(read, "term string, a long, df long")
+
+
+def telling_terms(counts: DataFrame, n: int, positive: int, most: int = VOCABULARY) -> list[tuple[str, int]]:
+    """(term, documents) of terms that occur more in label 1 than chance explains, the most telling first.
+
+    Of stems that begin with one another only the most telling stays, so a word has one term at most.
+    """
+    counted = counts.groupBy("term").agg(F.sum("a").cast("double").alias("a"), F.sum("df").cast("double").alias("df")).where(F.col("df") >= MIN_DOCUMENTS)
     expected = F.col("df") * positive / n
     spread = expected * (1 - positive / n) * (1 - F.col("df") / n) * n / max(n - 1, 1)
     chi = counted.where(F.col("a") > expected).withColumn("chi", (F.col("a") - expected) ** 2 / F.greatest(spread, F.lit(1e-9)))
-    return [(r["term"], int(r["df"])) for r in chi.where(F.col("chi") >= CHI_SQUARED).orderBy(F.desc("chi"), "term").limit(most).collect()]
+    found = chi.where(F.col("chi") >= CHI_SQUARED).orderBy(F.desc("chi"), F.desc(F.length("term")), "term").limit(most).collect()
+    chosen, prefixes = {}, set()
+    for r in found:
+        term = r["term"]
+        if term not in prefixes and not any(term[:k] in chosen for k in range(1, len(term))):
+            chosen[term] = int(r["df"])
+            prefixes |= {term[:k] for k in range(1, len(term) + 1)}
+    return list(chosen.items())
+
+
+class Counts:
+    """The vocabulary's terms in a text, with their numbers of occurrences."""
+
+    def __init__(self, terms: list[str]):
+        self.number, self.known = {t: k for k, t in enumerate(terms)}, {}
+
+    def term(self, word: bytes) -> int:
+        return next((self.number[s] for s in stems_of(word) if s in self.number), -1)
+
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        words = (text or "").encode().split()
+        if len(self.known) > CACHE_WORDS:
+            self.known = {}
+        try:
+            at = list(map(self.known.__getitem__, words))
+        except KeyError:
+            for w in words:
+                if w not in self.known:
+                    self.known[w] = self.term(w)
+            at = list(map(self.known.__getitem__, words))
+        found = np.array(at, np.int64)
+        return np.unique(found[found >= 0], return_counts=True)
+
+
+def example_terms(sample: DataFrame, terms: list[str]) -> DataFrame:
+    """doc_id, y, terms and tf of the sample's documents that have a term of the vocabulary."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counts(terms)
+        for batch in batches:
+            rows = [(i, y, *(x.tolist() for x in counts(t.as_py()))) for i, y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)]
+            rows = [r for r in rows if r[2]]
+            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "y", "terms", "tf"])
+
+    return sample.select("doc_id", "y", "text").mapInArrow(read, "doc_id long, y int, terms array<long>, tf array<long>")
 
 
 def weights_of(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -78,7 +132,6 @@ class Index:
     """Examples as unit vectors in blocks of BLOCK; for each term its postings, cut by block, and its largest weight in each block."""
 
     def __init__(self, terms: list[tuple[str, int]], n: int, examples: list[tuple[int, int, list[tuple[int, int]]]]):
-        self.number = {t: k for k, (t, _) in enumerate(terms)}
         self.terms = [t for t, _ in terms]
         self.idf = np.log((n + 1) / (np.array([d for _, d in terms], float) + 1)) + 1
         vectors = []
@@ -148,11 +201,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str, trained_on, rows: int
         index = Index([], max(n, 1), [])
         index.empty = positive / n if n else 0.0
         return index
-    terms = written(sample_terms(sample), "terms")
-    chosen = telling_terms(terms, n, positive)
-    number = docs.sparkSession.createDataFrame([(t, k) for k, (t, _) in enumerate(chosen)], "term string, k int")
-    found = terms.join(F.broadcast(number), "term").groupBy("doc_id", "y").agg(F.collect_list(F.struct("k", "tf")).alias("c")).collect()  # rows documents with VOCABULARY terms at most
-    index = Index(chosen, n, [(r["doc_id"], r["y"], [(c["k"], c["tf"]) for c in r["c"]]) for r in found])
+    chosen = telling_terms(stem_counts(sample), n, positive)
+    found = example_terms(sample, [t for t, _ in chosen]).orderBy("doc_id").collect()  # SAMPLE_ROWS documents with VOCABULARY terms at most
+    index = Index(chosen, n, [(r["doc_id"], r["y"], list(zip(r["terms"], r["tf"], strict=True))) for r in found])
     index.empty = float((positive - index.y.sum() + 0.0) / max(n - len(index.y), 1))
     if len(index.y):
         votes = []
@@ -164,34 +215,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str, trained_on, rows: int
     return index
 
 
-class Counts:
-    """The vocabulary's terms in a text, with their numbers of occurrences."""
-
-    def __init__(self, index: Index):
-        self.number, self.known = index.number, {}
-
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        words = (text or "").encode().split()
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        try:
-            at = list(map(self.known.__getitem__, words))
-        except KeyError:
-            for w in words:
-                if w not in self.known:
-                    self.known[w] = self.number.get(term_of(w), -1)
-            at = list(map(self.known.__getitem__, words))
-        found = np.array(at, np.int64)
-        return np.unique(found[found >= 0], return_counts=True)
-
-
 def score(docs: DataFrame, index: Index) -> DataFrame:
     """doc_id, score, neighbours (the nearest examples' ids), terms (the vocabulary's terms found)."""
     held = docs.sparkSession.sparkContext.broadcast(index)  # bounded by SAMPLE_ROWS and VOCABULARY
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = held.value
-        counts = Counts(index)
+        counts = Counts(index.terms)
         for batch in batches:
             scores, neighbours, terms = [], [], []
             for text in batch.column(1):
