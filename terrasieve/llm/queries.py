@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrasieve.llm import chat, mixing, near_dedup, packing, quality_classifier, quality_rules, toxicity, url_filters
+from terrasieve.llm import chat, lm_scoring, mixing, near_dedup, packing, quality_classifier, quality_rules, top_k, toxicity, url_filters
 from terrasieve.llm.common import table
 
 
@@ -35,6 +35,14 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,6 +61,8 @@ QUERIES = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_url_filters": op4_url_filters,
     "op5_source_mixing": op5_source_mixing,
+    "op6_exact_top_k": op6_exact_top_k,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_toxicity": op8_toxicity,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_best_fit_packing": op10_best_fit_packing,
