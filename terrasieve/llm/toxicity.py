@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from terrasieve.llm.common import fold_of, labelled_sample
 
@@ -215,31 +216,52 @@ def train(docs: DataFrame, labels: DataFrame, label: str, trained_on, rows: int
     return index
 
 
+class Judge:
+    """score, nearest examples' ids and vocabulary terms of a text."""
+
+    def __init__(self, index: Index):
+        self.index, self.counts = index, Counts(index.terms)
+
+    def __call__(self, text: str | None) -> tuple[float, list[int], list[str]]:
+        index = self.index
+        at, tf = self.counts(text)
+        if not len(at):
+            return index.empty, [], []
+        rows, cosines = index.nearest(at, weights_of(tf.astype(float), index.idf[at]))
+        score = index.calibrated(index.vote(rows, cosines)) if len(rows) else index.empty
+        return score, index.ids[rows[:3]].tolist(), [index.terms[t] for t in at]
+
+
 def score(docs: DataFrame, index: Index) -> DataFrame:
     """doc_id, score, neighbours (the nearest examples' ids), terms (the vocabulary's terms found)."""
     held = docs.sparkSession.sparkContext.broadcast(index)  # bounded by SAMPLE_ROWS and VOCABULARY
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = held.value
-        counts = Counts(index.terms)
+        judge = Judge(held.value)
         for batch in batches:
-            scores, neighbours, terms = [], [], []
-            for text in batch.column(1):
-                at, tf = counts(text.as_py())
-                rows = np.array([], np.int64)
-                if len(at):
-                    rows, cosines = index.nearest(at, weights_of(tf.astype(float), index.idf[at]))
-                scores.append(index.calibrated(index.vote(rows, cosines)) if len(rows) else index.empty)
-                neighbours.append(index.ids[rows[:3]].tolist())
-                terms.append([index.terms[t] for t in at])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(scores, pa.float64()), pa.array(neighbours, pa.list_(pa.int64())), pa.array(terms, pa.list_(pa.string()))],
-                names=["doc_id", "score", "neighbours", "terms"],
-            )
+            found = [judge(t.as_py()) for t in batch.column(1)]
+            columns = list(zip(*found, strict=True)) or [()] * 3
+            kinds = (pa.float64(), pa.list_(pa.int64()), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "score", "neighbours", "terms"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(read, "doc_id long, score double, neighbours array<long>, terms array<string>")
 
 
+def scored(docs: DataFrame, index: Index) -> DataFrame:
+    """docs with score, replacing a column of that name; each row keeps its own, so repeated ids don't matter."""
+    held = docs.sparkSession.sparkContext.broadcast(index)
+    docs = docs.drop("score")
+    text = docs.columns.index("text")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(held.value)
+        for batch in batches:
+            scores = pa.array([judge(t.as_py())[0] for t in batch.column(text)], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, "score"])
+
+    return docs.mapInArrow(read, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+
+
 def digest(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted, neighbours, terms; labels of the fold held_out are not looked at."""
     index = train(docs, labels, "toxic", fold_of(F.col("doc_id"), folds) != held_out)
