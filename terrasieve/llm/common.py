@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -102,6 +103,23 @@ def prefix_sums(df: DataFrame, group: str, order: list[str], value: str, before:
     )
 
 
+class Known(dict):
+    """value[key] is made by make(key) the first time and kept; emptied by fresh() when it holds more than most keys."""
+
+    def __init__(self, make: Callable, most: int):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
+
+    def fresh(self) -> Known:
+        if len(self) > self.most:
+            self.clear()
+        return self
+
+
 def fold_of(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo folds; null for a null id."""
     return (F.crc32(doc_id.cast("string").cast("binary")) % folds).cast("int")

@@ -17,13 +17,14 @@ from __future__ import annotations
 import pickle
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrasieve.llm.common import written
+from terrasieve.llm.common import Known, written
 
 TOKENS = 1 << 16
 INPUTS = 1 << 12
@@ -44,27 +45,24 @@ class Tokens:
     """Bucket numbers of a text's words, lower case."""
 
     def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = Known(lambda w: zlib.crc32(w) % TOKENS, CACHE_WORDS)
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").encode().lower().split()
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        try:
-            at = list(map(self.known.__getitem__, words))
-        except KeyError:
-            for w in words:
-                if w not in self.known:
-                    self.known[w] = zlib.crc32(w) % TOKENS
-            at = list(map(self.known.__getitem__, words))
-        return np.array(at, np.int64)
+        return np.array(list(map(self.known.fresh().__getitem__, words)), np.int64)
+
+
+@lru_cache(maxsize=1)
+def worker_tokens() -> Tokens:
+    """One cache for all tasks of a Python worker."""
+    return Tokens()
 
 
 def counted(docs: DataFrame) -> np.ndarray:
     """Occurrences of each bucket in all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, total = Tokens(), np.zeros(TOKENS, np.int64)
+        tokens, total = worker_tokens(), np.zeros(TOKENS, np.int64)
         for batch in batches:
             for text in batch.column(0):
                 total += np.bincount(tokens(text.as_py()), minlength=TOKENS) if text.is_valid else 0
@@ -147,7 +145,7 @@ def trained(docs: DataFrame, classes: np.ndarray) -> np.ndarray:
         start = spark.sparkContext.broadcast(flat)
 
         def train(batches: Iterator[pa.RecordBatch], start=start, turn=turn) -> Iterator[pa.RecordBatch]:
-            tokens, net, classes = Tokens(), Network(), held_classes.value
+            tokens, net, classes = worker_tokens(), Network(), held_classes.value
             net.take(start.value)
             seen, waiting = 0, []
             for batch in batches:
@@ -191,7 +189,7 @@ def score(docs: DataFrame, flat: np.ndarray, classes: np.ndarray, within: np.nda
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, classes, within = pickle.loads(held.value)
-        tokens, net = Tokens(), Network()
+        tokens, net = worker_tokens(), Network()
         net.take(flat)
         for batch in batches:
             counts, sums = [], []

@@ -20,13 +20,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrasieve.llm.common import written
+from terrasieve.llm.common import Known, written
 
 WORDS = 5
 PERCENT = 75
@@ -56,20 +57,11 @@ class Shingles:
     """The distinct shingles of a text as sorted 64-bit hashes. Hashes of words are kept, at most CACHE_WORDS of them."""
 
     def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = Known(lambda w: int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little"), CACHE_WORDS)
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").encode().lower().split()  # bytes: only A-Z and ASCII white space count
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        try:
-            values = list(map(self.known.__getitem__, words))
-        except KeyError:
-            for w in words:
-                if w not in self.known:
-                    self.known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-            values = list(map(self.known.__getitem__, words))
-        v = np.array(values, np.uint64)
+        v = np.array(list(map(self.known.fresh().__getitem__, words)), np.uint64)
         if not len(v):
             return v
         if len(v) < WORDS:
@@ -81,6 +73,12 @@ class Shingles:
         return np.unique(mixed(total))
 
 
+@lru_cache(maxsize=1)
+def worker_shingles() -> Shingles:
+    """One cache for all tasks of a Python worker."""
+    return Shingles()
+
+
 def half_keys(shingles: np.ndarray) -> np.ndarray:
     """2 * TABLES longs, each of ROWS minhashes of 16 bits."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
@@ -107,7 +105,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, f1 and f2 (a 128-bit fingerprint of the set), keys; all of each document's whole text."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles_of = Shingles()
+        shingles_of = worker_shingles()
         for batch in batches:
             counts, prints, keys = [], [], []
             for text in batch.column(1):
@@ -126,7 +124,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles_of = Shingles()
+        shingles_of = worker_shingles()
         for batch in batches:
             sets = list_column([shingles_of(t.as_py()).view(np.int64) for t in batch.column(1)])
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), sets], names=["id", "shingles"])

@@ -17,13 +17,14 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrasieve.llm.common import fold_of, labelled_sample
+from terrasieve.llm.common import Known, fold_of, labelled_sample
 
 SAMPLE_ROWS = 4000
 SPACE = 1 << 17
@@ -45,34 +46,22 @@ class Features:
     """The distinct feature numbers of a text. What is known of words is kept, at most CACHE_WORDS of them."""
 
     def __init__(self) -> None:
-        self.clear()
-
-    def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.number = Known(self.add, CACHE_WORDS)
         self.words = np.zeros(1 << 14, np.int64)
         self.shapes = np.zeros(1 << 14, np.int64)
 
-    def add(self, word: bytes) -> None:
+    def add(self, word: bytes) -> int:
         n = len(self.number)
         if n == len(self.words):
             self.words, self.shapes = np.resize(self.words, 2 * n), np.resize(self.shapes, 2 * n)
-        self.number[word] = n
         text = word.decode()
         self.words[n] = zlib.crc32(b"w" + text.lower().encode()) % SPACE
         self.shapes[n] = zlib.crc32(b"s" + shape(text).encode())
+        return n
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").encode().split()
-        if len(self.number) > CACHE_WORDS:
-            self.clear()
-        try:
-            at = list(map(self.number.__getitem__, words))
-        except KeyError:
-            for w in words:
-                if w not in self.number:
-                    self.add(w)
-            at = list(map(self.number.__getitem__, words))
-        index = np.array(at, np.int64)
+        index = np.array(list(map(self.number.fresh().__getitem__, words)), np.int64)
         s = self.shapes[index]
         s[1:][index[1:] == index[:-1]] = 1  # the word before, again
         two = (s[:-1] * 0x9E3779B1 + s[1:] * 31) % 0x7FFFFFFF
@@ -80,11 +69,17 @@ class Features:
         return np.unique(np.concatenate([self.words[index], s % SPACE, (two ^ 0x5555) % SPACE, (three ^ 0x3333) % SPACE]))
 
 
+@lru_cache(maxsize=1)
+def worker_features() -> Features:
+    """One cache for all tasks of a Python worker."""
+    return Features()
+
+
 def features_of(docs: DataFrame) -> DataFrame:
     """doc_id, y and the feature numbers, for documents with y."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features()
+        features = worker_features()
         for batch in batches:
             found = [features(t.as_py()).astype(np.int32).tobytes() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["doc_id", "y", "features"])
@@ -176,7 +171,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)  # two arrays of SPACE floats
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, model = Features(), held.value
+        features, model = worker_features(), held.value
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model(features(t.as_py())) for t in batch.column(1)], pa.float64())], names=["doc_id", "score"])
 

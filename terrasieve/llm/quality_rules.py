@@ -132,7 +132,7 @@ STYLE_RULES = (
     Rule("exclamations", lambda text, words: 4 * n_of_class(text, "!") > F.size(words)),
     Rule("capitals", lambda text, words: 10 * n_of_class(text, r"\p{Lu}") > 3 * F.length(F.array_join(words, ""))),
     Rule("few_letters", lambda text, words: 10 * n_of_class(text, r"\p{L}") < 6 * F.length(F.array_join(words, ""))),
-    Rule("duplicate_lines", lambda text, words: let(lines_with_words(text), lambda x: 10 * (F.size(x) - F.size(F.array_distinct(x))) > 3 * F.size(x))),
+    Rule("duplicate_lines", lambda text, words: let(lines_with_words(text), lambda x: 2 * (F.size(x) - F.size(F.array_distinct(x))) > F.size(x))),
     Rule("word_length", lambda text, words: let(F.length(F.array_join(words, "")), lambda n: (n < 2 * F.size(words)) | (n > 15 * F.size(words)))),
 )
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from terrasieve.llm.common import fold_of, labelled_sample
+from terrasieve.llm.common import Known, fold_of, labelled_sample
 
 SAMPLE_ROWS = 8000
 VOCABULARY = 4096
@@ -89,26 +90,23 @@ class Counts:
     """The vocabulary's terms in a text, with their numbers of occurrences."""
 
     def __init__(self, terms: list[str]):
-        self.number, self.known = {t: k for k, t in enumerate(terms)}, {}
+        self.number, self.known = {t: k for k, t in enumerate(terms)}, Known(self.term, CACHE_WORDS)
 
     def term(self, word: bytes) -> int:
         return next((self.number[s] for s in stems_of(word) if s in self.number), -1)
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         words = (text or "").encode().split()
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        try:
-            at = list(map(self.known.__getitem__, words))
-        except KeyError:
-            for w in words:
-                if w not in self.known:
-                    self.known[w] = self.term(w)
-            at = list(map(self.known.__getitem__, words))
-        found = np.array(at, np.int64)
+        found = np.array(list(map(self.known.fresh().__getitem__, words)), np.int64)
         return np.unique(found[found >= 0], return_counts=True)
 
 
+@lru_cache(maxsize=1)
+def worker_counts(terms: tuple[str, ...]) -> Counts:
+    """One cache for all tasks of a Python worker."""
+    return Counts(list(terms))
+
+
 def example_terms(sample: DataFrame, terms: list[str]) -> DataFrame:
     """doc_id, y, terms and tf of the sample's documents that have a term of the vocabulary."""
 
@@ -220,7 +218,7 @@ class Judge:
     """score, nearest examples' ids and vocabulary terms of a text."""
 
     def __init__(self, index: Index):
-        self.index, self.counts = index, Counts(index.terms)
+        self.index, self.counts = index, worker_counts(tuple(index.terms))
 
     def __call__(self, text: str | None) -> tuple[float, list[int], list[str]]:
         index = self.index
