@@ -10,65 +10,103 @@ max_tokens, the last one shorter; equal rows are pieces of their own; an empty t
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrasieve.llm.common import written
+from terrasieve.llm.common import Known, written
 
 MAX_TOKENS = 2048
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: Pre-tokenization of the word-end vocabulary as its file states it (fixed value), and the same on the characters of _PLAIN.
+_STATED = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^ \\t\\n\\r\\x0b\\x0ca-zà-öø-ÿß0-9]+")
+#: Any character outside of ASCII (controls other than white space too) and the Latin-1 letters, or the start of a special token.
+_OTHER = re.compile("[^\\t-\\r -~À-ÖØ-öø-ÿ]|<\\|")
+
+
 class WordIds:
-    """Ids of whole texts by a tokenizer that never joins characters across ASCII white space.
+    """Ids of whole texts.
 
-    Such a tokenizer gives a text the ids of its words, one after the other, so each distinct word is encoded once.
-    The cache is emptied when full.
+    Where the tokenizer's own file says that it lower-cases, cuts by _STATED and marks word ends, each distinct piece
+    of a text of plain characters is encoded once, and the ids of the others are looked up; every other text goes
+    to the tokenizer as a whole. The cache is emptied when full.
     """
 
     def __init__(self, path: str, most: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer = Tokenizer.from_file(path)
+        said = json.loads(self.tokenizer.to_str())
+        steps = [n["type"] for n in (said["normalizer"] or {}).get("normalizers", [])]
+        cuts = [c.get("pattern", {}).get("Regex") for c in (said["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        end = said["model"].get("end_of_word_suffix")
+        self.known = steps == ["NFC", "Replace", "Lowercase"] and cuts == [_STATED, None] and bool(end)
+        if self.known:
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(end)]] = True
         self.most = most
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.number = Known(self.numbered, self.most)
+        self.new: list[str] = []
         self.ids = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)
         self.lengths = np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def add(self, words: list[bytes]) -> None:
-        for word, found in zip(words, self.encode([w.decode() for w in words], add_special_tokens=False), strict=True):
-            n, ids = len(self.number), found.ids
-            if n == len(self.starts):
-                self.starts, self.lengths = np.resize(self.starts, 2 * n), np.resize(self.lengths, 2 * n)
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.resize(self.ids, 2 * len(self.ids))
-            self.number[word] = n
-            self.starts[n], self.lengths[n] = self.used, len(ids)
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
+    def numbered(self, piece: str) -> int:
+        self.new.append(piece)
+        return len(self.number)
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def add(self, pieces: list[str]) -> None:
+        ids = self.whole(" ".join(pieces))
+        last = np.flatnonzero(self.ends[ids])
+        if len(last) != len(pieces):  # a piece without a marked end: one by one then
+            each = [self.whole(p) for p in pieces]
+            ids, last = np.concatenate(each), np.cumsum([len(x) for x in each]) - 1
+        more = len(pieces)
+        n = len(self.number) - more
+        while n + more > len(self.starts):
+            self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.starts))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        first = np.concatenate([[0], last[:-1] + 1])
+        self.starts[n : n + more], self.lengths[n : n + more] = self.used + first, last + 1 - first
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
 
     def __call__(self, text: str | None) -> np.ndarray:
         """The ids, then 0."""
-        words = (text or "").encode().split()  # bytes split at ASCII white space alone
+        if not text:
+            return np.zeros(1, "<u4")
+        if not self.known or _OTHER.search(text):
+            return np.concatenate([self.whole(text), [0]]).astype("<u4")
+        pieces = _PIECES.findall(text.lower())
         if len(self.number) > self.most:
             self.clear()
-        try:
-            at = list(map(self.number.__getitem__, words))
-        except KeyError:
-            self.add(list(dict.fromkeys(w for w in words if w not in self.number)))
-            at = list(map(self.number.__getitem__, words))
+        at = list(map(self.number.__getitem__, pieces))
+        if self.new:
+            self.add(self.new)
+            self.new = []
         index = np.array(at, np.int64)
         lengths, starts = self.lengths[index], self.starts[index]
         ends = np.cumsum(lengths)
@@ -78,14 +116,17 @@ class WordIds:
         return out
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One cache for all tasks of a Python worker."""
+    return WordIds(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document's pieces."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids_of = WordIds(tokenizer)
+        ids_of = word_ids(tokenizer)
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
