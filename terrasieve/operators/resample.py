@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,20 +17,20 @@ def target_pixels(like: DataFrame, to: Transform, at: Transform) -> DataFrame:
     return like.withColumn("sx", (x - at.left) / at.res - 0.5).withColumn("sy", (F.lit(at.top) - y) / at.res - 0.5)
 
 
-def nearest(source: DataFrame, targets: DataFrame, image: list[str], value: str = "value") -> DataFrame:
-    """Each target pixel gets the source pixel it lies in: an equality join."""
+def nearest(source: DataFrame, targets: DataFrame, image: list[str], value: str = "value", on: Sequence[str] = ()) -> DataFrame:
+    """Each target pixel gets the source pixel it lies in: an equality join, on more columns too where targets differ by them."""
     found = targets.withColumn("x", F.floor(F.col("sx") + 0.5).cast("long")).withColumn("y", F.floor(F.col("sy") + 0.5).cast("long"))
-    return source.join(found, ["x", "y"]).select(*image, "tx", "ty", value)
+    return source.join(found, [*on, "x", "y"]).select(*image, "tx", "ty", value)
 
 
-def bilinear(source: DataFrame, targets: DataFrame, image: list[str], value: str = "value") -> DataFrame:
+def bilinear(source: DataFrame, targets: DataFrame, image: list[str], value: str = "value", on: Sequence[str] = ()) -> DataFrame:
     """Weights of the four neighbours, of those with data; NULL source pixels don't count."""
     corners = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])
     base = targets.withColumn("x0", F.floor("sx").cast("long")).withColumn("y0", F.floor("sy").cast("long"))
     base = base.withColumn("fx", F.col("sx") - F.col("x0")).withColumn("fy", F.col("sy") - F.col("y0")).withColumn("_c", F.explode(corners))
     weight = F.when(F.col("_c.i") == 1, F.col("fx")).otherwise(1 - F.col("fx")) * F.when(F.col("_c.j") == 1, F.col("fy")).otherwise(1 - F.col("fy"))
-    four = base.select("tx", "ty", (F.col("x0") + F.col("_c.i")).alias("x"), (F.col("y0") + F.col("_c.j")).alias("y"), weight.alias("w")).where("w > 0")
-    met = source.where(F.col(value).isNotNull()).join(four, ["x", "y"])
+    four = base.select(*on, "tx", "ty", (F.col("x0") + F.col("_c.i")).alias("x"), (F.col("y0") + F.col("_c.j")).alias("y"), weight.alias("w")).where("w > 0")
+    met = source.where(F.col(value).isNotNull()).join(four, [*on, "x", "y"])
     return met.groupBy(*image, "tx", "ty").agg((F.sum(F.col(value) * F.col("w")) / F.sum("w")).alias(value))
 
 

@@ -139,7 +139,7 @@ def fill_zarr(cube: DataFrame, path: str, s: Skeleton) -> int:
     )
     size, dtype = ct * cb * cy * cx, s.dtype
 
-    def write(key, table: pa.Table) -> pa.Table:
+    def write(key, table):
         out = np.full(size, 0 if dtype == "uint16" else np.nan, "<u2" if dtype == "uint16" else "<f4")
         out[table.column("at").to_numpy()] = table.column("value").to_numpy().astype(out.dtype)
         folder = f"{path}/sentle/c/" + "/".join(str(k.as_py()) for k in key[:3])
