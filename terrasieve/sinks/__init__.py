@@ -1,0 +1 @@
+"""Sinks: Parquet cubes and Zarr stores."""

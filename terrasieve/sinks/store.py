@@ -100,7 +100,7 @@ def create_zarr(path: str, s: Skeleton, overwrite: bool = False, consolidate: bo
     os.makedirs(path)
     root = {"zarr_format": 3, "node_type": "group", "attributes": {"crs_wkt": wkt or f"EPSG:{s.crs}"}}
     fill = 0 if s.as_uint16 else "NaN"
-    _array(f"{path}/sentle", s.shape, s.chunks, s.dtype, fill, ("time", "band", "y", "x"), {"grid_mapping": "spatial_ref", "coordinates": "spatial_ref"})
+    _array(f"{path}/cube", s.shape, s.chunks, s.dtype, fill, ("time", "band", "y", "x"), {"grid_mapping": "spatial_ref", "coordinates": "spatial_ref"})
     _coordinate(f"{path}/x", s.x, "float32", "x", {"standard_name": "projection_x_coordinate"})
     _coordinate(f"{path}/y", s.y, "float32", "y", {"standard_name": "projection_y_coordinate"})
     _coordinate(f"{path}/time", np.array(s.axis, np.int64), "int64", "time", TIME_ATTRIBUTES)
@@ -115,7 +115,7 @@ def create_zarr(path: str, s: Skeleton, overwrite: bool = False, consolidate: bo
     with open(f"{path}/band/c/0", "wb") as f:
         f.write(b"".join(n.ljust(longest, b"\0") for n in names))
     if consolidate:
-        root["consolidated_metadata"] = {"kind": "inline", "must_understand": False, "metadata": {n: json.load(open(f"{path}/{n}/zarr.json")) for n in ("sentle", "x", "y", "time", "band", "spatial_ref")}}
+        root["consolidated_metadata"] = {"kind": "inline", "must_understand": False, "metadata": {n: json.load(open(f"{path}/{n}/zarr.json")) for n in ("cube", "x", "y", "time", "band", "spatial_ref")}}
     with open(f"{path}/zarr.json", "w") as f:
         json.dump(root, f)
 
@@ -142,7 +142,7 @@ def fill_zarr(cube: DataFrame, path: str, s: Skeleton) -> int:
     def write(key, table):
         out = np.full(size, 0 if dtype == "uint16" else np.nan, "<u2" if dtype == "uint16" else "<f4")
         out[table.column("at").to_numpy()] = table.column("value").to_numpy().astype(out.dtype)
-        folder = f"{path}/sentle/c/" + "/".join(str(k.as_py()) for k in key[:3])
+        folder = f"{path}/cube/c/" + "/".join(str(k.as_py()) for k in key[:3])
         os.makedirs(folder, exist_ok=True)
         name = f"{folder}/{key[3].as_py()}"
         with open(f"{name}.part{os.getpid()}", "wb") as f:
@@ -155,12 +155,12 @@ def fill_zarr(cube: DataFrame, path: str, s: Skeleton) -> int:
 
 def read_zarr(path: str) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """The array and its coordinates, for checks of small cubes."""
-    meta = json.load(open(f"{path}/sentle/zarr.json"))
+    meta = json.load(open(f"{path}/cube/zarr.json"))
     chunks, shape = meta["chunk_grid"]["configuration"]["chunk_shape"], meta["shape"]
     kind = "<u2" if meta["data_type"] == "uint16" else "<f4"
     data = np.full(shape, 0 if kind == "<u2" else np.nan, kind)
     for at in itertools.product(*(range(math.ceil(n / c)) for n, c in zip(shape, chunks, strict=True))):
-        name = f"{path}/sentle/c/" + "/".join(map(str, at))
+        name = f"{path}/cube/c/" + "/".join(map(str, at))
         if os.path.exists(name):
             block = np.fromfile(name, kind).reshape(chunks)
             where = tuple(slice(a * c, min((a + 1) * c, n)) for a, c, n in zip(at, chunks, shape, strict=True))
