@@ -215,3 +215,25 @@ def digest(docs: DataFrame, rules: tuple[Rule, ...] = STYLE_RULES, rows: int = S
         failed.alias("base_failed"),
         F.when(failed, False).otherwise(first_failed(order).isNull()).alias("kept"),
     )
+
+
+ORACLE_SQL = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents),
+b AS (
+  SELECT rid, doc_id, t, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, len(l) AS n_lines
+  FROM t),
+g AS (SELECT rid, p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS k FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS p FROM t WHERE len(w) >= 3)),
+c AS (SELECT rid, p, count(*) OVER (PARTITION BY rid, k) AS c FROM g),
+r AS (SELECT rid, count(DISTINCT p + o) AS n FROM c, (SELECT unnest([0, 1, 2]) AS o) WHERE c > 1 GROUP BY rid),
+f AS (SELECT b.*, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, n_words < 50 OR 100 * coalesce(n, 0) > 50 * n_words AS base_failed FROM b LEFT JOIN r USING (rid))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > n_words OR 4 * length(regexp_replace(t, '[^!]+', '', 'g')) > n_words
+            OR 10 * length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) > 3 * word_chars OR 10 * length(regexp_replace(t, '[^\p{L}]+', '', 'g')) < 6 * word_chars
+            OR 2 * n_dup_lines > n_lines OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept
+FROM f
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrasieve.llm import chat, lm_scoring, mixing, near_dedup, packing, quality_classifier, quality_rules, top_k, toxicity, url_filters
+from terrasieve.llm import chat, lm_scoring, mixing, near_dedup, oracles, packing, quality_classifier, quality_rules, top_k, toxicity, url_filters
 from terrasieve.llm.common import table
 
 
@@ -67,4 +67,10 @@ QUERIES = {
     "op9_chat_formatting": op9_chat_formatting,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
-ORACLES: dict[str, str] = {"op5_source_mixing": mixing.ORACLE_SQL, "op9_chat_formatting": chat.ORACLE_SQL}
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": quality_rules.ORACLE_SQL,
+    "op2_minhash_near_dedup": oracles.NEAR_DUPLICATES,
+    "op5_source_mixing": mixing.ORACLE_SQL,
+    "op6_exact_top_k": oracles.TOP_K,
+    "op9_chat_formatting": chat.ORACLE_SQL,
+}
