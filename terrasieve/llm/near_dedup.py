@@ -5,10 +5,10 @@ one from either collection: TABLES**2 tables of 2 * ROWS minhashes cost 2 * TABL
 threshold 0.75 misses all tables with probability below 4e-4, at 0.8 below 3e-5.
 
 Texts with equal shingle sets are one class first, however many copies there are. Links are then found in rounds:
-each group of a half key proposes its members with one leader, so a group of n gives n proposals; groups that are one
-component after that are done. Only groups that still hold several components are split by the second half key and
-compared in blocks, on signatures held in arrays: every pair of different components that shares a table is looked at, none is
-capped, and only pairs whose signatures agree enough leave the block. Every proposal is confirmed on the full shingle
+each group of a half key proposes its members with its most central one (then with that of the rest), so a group of n
+gives n proposals; groups that are one component after that are done. Groups that still hold several components are
+compared in blocks, on signatures held in arrays: every pair of different components that shares a table, which is a half
+key of either collection, is looked at, none is capped, and only pairs whose signatures agree enough leave the block. Every proposal is confirmed on the full shingle
 sets. Components come from label propagation over tables; nothing but counts reaches the driver.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing; a text with one to four
@@ -33,17 +33,21 @@ WORDS = 5
 PERCENT = 75
 TABLES = 16
 ROWS = 3
-#: Signatures that agree in less than this share of places are not confirmed: 4.5 standard deviations below 0.75.
-AGREE = 0.55
+#: More minhashes, four to a long, that only sharpen the estimate.
+MORE = 160
+#: Signatures that agree in less than this share of places are not confirmed: 3.7 standard deviations below 0.75.
+AGREE = 0.65
 #: Rows of one side of a block comparison.
 BLOCK = 1000
 STAR_ROUNDS = 2
+BUCKETS = 1 << 20
 CACHE_WORDS = 400_000
 
 _RANDOM = np.random.default_rng(20240229)
 _MIX = _RANDOM.integers(0, 2**64, WORDS + 1, dtype=np.uint64) | np.uint64(1)
-_A = (_RANDOM.integers(0, 2**32, 2 * TABLES * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
-_B = _RANDOM.integers(0, 2**32, 2 * TABLES * ROWS, dtype=np.uint64).astype(np.uint32)[:, None]
+_HALVES = 2 * TABLES * ROWS
+_A = (_RANDOM.integers(0, 2**32, _HALVES + MORE, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
+_B = _RANDOM.integers(0, 2**32, _HALVES + MORE, dtype=np.uint64).astype(np.uint32)[:, None]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -80,19 +84,28 @@ def worker_shingles() -> Shingles:
 
 
 def half_keys(shingles: np.ndarray) -> np.ndarray:
-    """2 * TABLES longs, each of ROWS minhashes of 16 bits."""
+    """2 * TABLES longs, each of ROWS minhashes of 16 bits, and MORE / 4 longs of four."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
     least = np.full(len(_A), 0xFFFFFFFF, np.uint32)
     for at in range(0, len(x), 2048):
         np.minimum(least, (x[at : at + 2048] * _A + _B).min(axis=1), out=least)
-    lanes = (least & np.uint32(0xFFFF)).astype(np.int64).reshape(-1, ROWS)
-    return (lanes << (16 * np.arange(ROWS))).sum(axis=1)
+    lanes = (least & np.uint32(0xFFFF)).astype(np.uint16)
+    halves = np.zeros((2 * TABLES, 4), np.uint16)
+    halves[:, :ROWS] = lanes[:_HALVES].reshape(-1, ROWS)
+    return np.concatenate([halves.ravel(), lanes[_HALVES:]]).view(np.int64)
 
 
 def lanes_of(keys: pa.Array) -> np.ndarray:
     """The minhashes of a list column of half keys, a row each."""
     flat = np.ascontiguousarray(keys.flatten().to_numpy(zero_copy_only=False), np.int64)
-    return np.ascontiguousarray(flat.view(np.uint16).reshape(-1, 2 * TABLES, 4)[:, :, :ROWS]).reshape(-1, 2 * TABLES * ROWS)
+    lanes = flat.view(np.uint16).reshape(-1, 8 * TABLES + MORE)
+    halves = lanes[:, : 8 * TABLES].reshape(-1, 2 * TABLES, 4)[:, :, :ROWS].reshape(-1, _HALVES)
+    return np.concatenate([halves, lanes[:, 8 * TABLES :]], axis=1)
+
+
+def share_table(same: np.ndarray) -> np.ndarray:
+    """Whether a half key of either collection agrees, from agreeing places."""
+    return same[:, :_HALVES].reshape(len(same), 2, TABLES, ROWS).all(axis=3).any(axis=2).all(axis=1)
 
 
 def list_column(arrays: list[np.ndarray]) -> pa.Array:
@@ -139,8 +152,7 @@ def agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
         for batch in batches:
             x, y = lanes_of(batch.column(2)), lanes_of(batch.column(3))
             same = x == y
-            tables = same.reshape(len(same), 2, TABLES, ROWS).all(axis=3).any(axis=2).all(axis=1)
-            good = tables & (same.mean(axis=1) >= AGREE)
+            good = share_table(same) & (same.mean(axis=1) >= AGREE)
             yield batch.select([0, 1]).filter(pa.array(good))
 
     side = lambda name: classes.select(F.col("rep").alias(name), F.col("n_shingles").alias(f"n{name}"), F.col("keys").alias(f"k{name}"))
@@ -172,55 +184,109 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def blocks(rows: DataFrame) -> DataFrame:
-    """Pairs (x, y) of different components that share key and whose signatures agree, from rows (key, rep, comp, n, keys).
+    """Pairs of different components that share a table and whose signatures agree, from rows (i, a, rep, comp, n_shingles, keys).
 
-    A key with more than BLOCK rows is cut into blocks by a hash; each pair of blocks is a group of its own.
+    A row for each group that has any: i, a, pair, members (ids), px and py (places in members, a pair each).
+
+    A half key (i, a) with more than BLOCK rows is cut into blocks by a hash; each pair of blocks is a group of its own.
+    The second half key is looked for inside; a pair counts at the first half key it shares.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # the group at the end of a batch goes on in the next
         last = None
 
-        def pairs(group: list[tuple]) -> pa.RecordBatch:
+        def pairs(group: list[tuple], key: tuple) -> Iterator[pa.RecordBatch]:
+            i = int(key[0])
             rep, comp, n, side = (np.concatenate([g[k] for g in group]) for k in (0, 1, 2, 3))
             lanes = np.concatenate([g[4] for g in group])
+            quick = np.ascontiguousarray(lanes[:, _HALVES:])
             xs, ys = [], []
             for r in range(len(rep) - 1):
                 other = np.flatnonzero((comp[r + 1 :] != comp[r]) & ((side[r + 1 :] != side[r]) | (side[r] == 0))) + r + 1
                 other = other[100 * np.minimum(n[other], n[r]) >= PERCENT * np.maximum(n[other], n[r])]
+                # first on MORE places alone, at a looser limit
+                other = other[np.count_nonzero(quick[other] == quick[r], axis=1) >= (AGREE - 0.1) * MORE]
                 if len(other):
-                    other = other[(lanes[other] == lanes[r]).mean(axis=1) >= AGREE]
-                    xs.append(np.minimum(rep[other], rep[r]))
-                    ys.append(np.maximum(rep[other], rep[r]))
-            none = [np.array([], np.int64)]
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(xs + none)), pa.array(np.concatenate(ys + none))], names=["x", "y"])
+                    same = lanes[other] == lanes[r]
+                    earlier = same[:, : i * ROWS].reshape(len(same), i, ROWS).all(axis=2).any(axis=1) if i else np.zeros(len(same), bool)
+                    other = other[share_table(same) & (same.mean(axis=1) >= AGREE) & ~earlier]
+                    if len(other):
+                        xs.append(np.full(len(other), r))
+                        ys.append(other)
+            if xs:
+                x, y = np.concatenate(xs), np.concatenate(ys)
+                used, places = np.unique(np.concatenate([x, y]), return_inverse=True)
+                columns = [pa.array([int(k)], pa.int64()) for k in key] + [list_column([v]) for v in (rep[used], places[: len(x)], places[len(x) :])]
+                yield pa.RecordBatch.from_arrays(columns, names=["i", "a", "pair", "members", "px", "py"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)], axis=1)
-            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 4, 5)] + [lanes_of(batch.column(6))]
+            key = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1, 2)], axis=1)
+            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 4, 5, 6)] + [lanes_of(batch.column(7))]
             cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if held and tuple(key[a]) != last:
-                    yield pairs(held)
+                    yield from pairs(held, last)
                     held = []
                 held.append(tuple(c[a:b] for c in columns))
                 last = tuple(key[a])
         if held:
-            yield pairs(held)
+            yield from pairs(held, last)
 
-    per = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    per = per.select("key", F.ceil(F.col("c") / BLOCK).alias("nb"))
-    placed = rows.join(per, "key").withColumn("b", F.pmod(F.xxhash64("rep"), F.col("nb")))
+    per = rows.groupBy("i", "a").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    per = per.select("i", "a", F.ceil(F.col("c") / BLOCK).alias("nb"))
+    placed = rows.join(per, ["i", "a"]).withColumn("b", F.pmod(F.xxhash64("rep"), F.col("nb")))
     placed = placed.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
     # side 0: the block with itself; 1 and 2: the two blocks of a pair
     placed = placed.select(
-        "key", (F.least("b", "o") * F.col("nb") + F.greatest("b", "o")).alias("pair"), "rep", "comp", "n_shingles",
+        "i", "a", (F.least("b", "o") * F.col("nb") + F.greatest("b", "o")).alias("pair"), "rep", "comp", "n_shingles",
         F.when(F.col("b") == F.col("o"), 0).when(F.col("b") < F.col("o"), 1).otherwise(2).alias("side"), "keys",
     )
-    dealt = placed.repartition("key", "pair").sortWithinPartitions("key", "pair")
-    return dealt.mapInArrow(compare, "x long, y long").distinct()
+    dealt = placed.repartition("i", "a", "pair").sortWithinPartitions("i", "a", "pair")
+    return dealt.mapInArrow(compare, "i long, a long, pair long, members array<long>, px array<long>, py array<long>")
+
+
+def confirmed_blocks(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (x, y) among the pairs of blocks(): each group meets its members' full sets, so pairs are never rows.
+
+    A pair whose members other links of the group join already is skipped: it can't change a component.
+    """
+
+    def check(group: pa.Table, full: pa.Table) -> pa.Table:
+        found: list[tuple[int, int]] = []
+        held = {i: np.asarray(s.values).view(np.uint64) for i, s in zip(full.column("id").to_pylist(), full.column("shingles").combine_chunks(), strict=True)}
+        parent: dict[int, int] = {}
+
+        def root(m: int) -> int:
+            while parent.setdefault(m, m) != m:
+                parent[m] = m = parent[parent[m]]
+            return m
+
+        for row in range(group.num_rows):
+            members, px, py = (np.asarray(group.column(c)[row].values) for c in ("members", "px", "py"))
+            for k, l in zip(members[px].tolist(), members[py].tolist(), strict=True):
+                if root(k) != root(l):
+                    x, y = held[k], held[l]
+                    if len(x) > len(y):
+                        x, y = y, x
+                    common = np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x)
+                    if 100 * common >= PERCENT * (len(x) + len(y) - common):
+                        parent[root(k)] = root(l)
+                        found.append((min(k, l), max(k, l)))
+        return pa.table({"x": pa.array([f[0] for f in found], pa.int64()), "y": pa.array([f[1] for f in found], pa.int64())})
+
+    full = groups.select(F.col("i").alias("fi"), F.col("a").alias("fa"), F.col("pair").alias("fp"), F.explode("members").alias("id")).join(sets, "id")
+    return groups.groupBy("i", "a", "pair").cogroup(full.groupBy("fi", "fa", "fp")).applyInArrow(check, "x long, y long")
+
+
+def texts_of(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """The documents of members. Most others are left out before texts are shuffled, by a broadcast of the members' hash buckets, BUCKETS at most."""
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).alias("_bucket")
+    buckets = members.select(bucket).distinct()
+    texts = docs.select("doc_id", "text", bucket).join(F.broadcast(buckets), "_bucket", "left_semi")
+    return texts.join(members, "doc_id", "left_semi")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -229,26 +295,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = signed.where("n_shingles > 0").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys"))
     classes = written(classes, "classes")
     spread = classes.select("rep", F.posexplode(F.slice("keys", 1, TABLES)).alias("i", "a"))
-    shared = spread.groupBy("i", "a").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    rows = written(spread.join(shared, ["i", "a"]), "groups")
+    shared = spread.groupBy("i", "a").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    rows = spread.join(shared, ["i", "a"])
+    # the text that others were copied from has the commonest half keys, so it leads
+    rows = written(rows.drop("c").join(rows.groupBy("rep").agg(F.sum("c").alias("weight")), "rep"), "groups")
     members = rows.select(F.col("rep").alias("doc_id")).distinct()
-    sets = written(shingle_sets(docs.join(members, "doc_id", "left_semi")).dropDuplicates(["id"]), "sets")
+    sets = written(shingle_sets(texts_of(docs, members)).dropDuplicates(["id"]), "sets")
+    near = written(classes.join(members.withColumnRenamed("doc_id", "rep"), "rep", "left_semi"), "near")
     empty = rows.select(F.col("rep").alias("x"), F.col("rep").alias("y")).limit(0)
     links, comps = empty, empty.select(F.col("x").alias("id"), F.col("y").alias("comp"))
     here = ["i", "a"]
-    for turn in range(STAR_ROUNDS):
-        labelled = rows.join(comps, rows.rep == comps.id, "left").select(*here, "rep", F.coalesce("comp", "rep").alias("comp"))
-        order = F.col("rep") if not turn else F.xxhash64("rep", F.lit(turn))
-        lead = labelled.groupBy(*here).agg(F.min_by("rep", order).alias("y"), F.min_by("comp", order).alias("cy"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    led = None
+    for _ in range(STAR_ROUNDS):
+        labelled = rows.join(comps, rows.rep == comps.id, "left").select(*here, "rep", "weight", F.coalesce("comp", "rep").alias("comp"))
+        choice = labelled if led is None else labelled.join(led, here).where("comp <> led")
+        central = F.struct("weight", -F.col("rep"))
+        lead = choice.groupBy(*here).agg(F.max_by("rep", central).alias("y"), F.max_by("comp", central).alias("cy"))
+        if led is None:
+            led = written(lead.select(*here, F.col("y").alias("hub")), "led")
         pairs = labelled.join(lead, here).where("comp <> cy").select(F.least("rep", "y").alias("x"), F.greatest("rep", "y").alias("y")).distinct()
-        links = written(links.union(confirmed(agreeing(pairs, classes), sets)), "links")
+        links = written(links.union(confirmed(agreeing(pairs, near), sets)), "links")
         comps = components(links)
+        led = led.join(comps, led.hub == comps.id, "left").select(*here, "hub", F.coalesce("comp", "hub").alias("led"))
     labelled = rows.join(comps, rows.rep == comps.id, "left").select(*here, "rep", F.coalesce("comp", "rep").alias("comp"))
     open_groups = labelled.groupBy(*here).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(*here)
-    rest = labelled.join(open_groups, here).join(classes.select("rep", "n_shingles", "keys"), "rep")
-    tables = rest.select("*", F.posexplode(F.slice("keys", TABLES + 1, TABLES)).alias("j", "b")).withColumn("key", F.xxhash64("i", "a", "j", "b"))
-    found = blocks(tables.select("key", "rep", "comp", "n_shingles", "keys"))
-    links = written(links.union(confirmed(found, sets)), "links")
+    rest = labelled.join(open_groups, here).join(near.select("rep", "n_shingles", "keys"), "rep")
+    found = written(blocks(rest), "pairs")
+    links = written(links.union(confirmed_blocks(found, sets)), "links")
     comps = components(links)
     named = classes.join(comps, classes.rep == comps.id, "left").select("n_shingles", "f1", "f2", F.coalesce("comp", "rep").alias("_comp"))
     out = signed.drop("keys").join(named, ["n_shingles", "f1", "f2"], "left")
