@@ -31,7 +31,7 @@ SCALE = 64
 BLOCK = 2048
 QUERY_BLOCK = 512
 MOST_PIVOTS = 256
-LEAF = 48
+LEAF = 256
 #: A cover's radius shrinks by this factor from level to level.
 SHRINK = 0.7
 FIRST = 2
