@@ -1 +1 @@
-
+"""Operators on tables of pixels, windows and scenes."""

@@ -1 +1 @@
-
+"""Requests, grids, time axes and whole plans."""

@@ -1 +1 @@
-
+"""Sources: scene catalogs and raster blocks."""

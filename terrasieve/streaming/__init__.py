@@ -1 +1 @@
-
+"""Empty on purpose: cubes are built in batches, and time windows are centred on slots rather than streamed."""
