@@ -4,9 +4,10 @@ Words are hashed into TOKENS buckets. A window network sees the WINDOW words on
 predicts its class; the word given its class comes from counts over the whole corpus. Both factors are normalized, so
 a document's score is a sum of proper conditional log-probabilities, one for each word.
 
-The network is trained in numpy on windows of every document: each partition trains a copy on one word in STRIDE of
-its own texts, and copies are averaged by rows in a tree, for ROUNDS rounds. Counts and windows cover all documents
-and grow with them; the model's size is fixed. Texts are scored whole.
+The network is trained in numpy on windows of every document, for ROUNDS rounds: each partition trains a copy on one
+word in ROUNDS of its own texts, and copies are averaged in a tree. The rounds' words are different ones, so every word
+of every text is a target once. Counts and windows grow with the documents; the model's size is fixed. Texts are cut
+into words once, and scored whole.
 
 Defined results: null, empty and blank texts have no words, log_prob 0 and score 0; repeated rows count as often as
 they occur and get equal scores; an empty table gives an empty result; extra columns are not read.
@@ -33,9 +34,16 @@ FREQUENT = 40
 WINDOW = 2
 WIDTH = 12
 HIDDEN = 32
-STRIDE = 16
 ROUNDS = 2
 BATCH = 512
+#: Words scored at a time.
+CHUNK = 1 << 15
+#: Steps in 1 of embeddings and of other factors, all within LIMIT: float32 sums of their products are exact in any
+#: order, so equal texts get equal scores wherever they stand.
+COARSE, FINE, LIMIT = 64, 256, 3.99
+#: Words of texts laid out together.
+SPAN = 1 << 20
+TOKENIZED = ["doc_id", "_tokens"]
 RATE = 0.1
 CACHE_WORDS = 400_000
 FAN = 32
@@ -58,18 +66,44 @@ def worker_tokens() -> Tokens:
     return Tokens()
 
 
+def tokenized(docs: DataFrame) -> DataFrame:
+    """doc_id and _tokens: the bucket numbers of all words of the text, two bytes each."""
+    if docs.columns == TOKENIZED:
+        return docs
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = worker_tokens()
+        for batch in batches:
+            cells = [tokens(t.as_py()).astype(np.uint16).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.binary())], names=TOKENIZED)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, _tokens binary")
+
+
+def laid_out(cells: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For runs of texts with about SPAN words: the texts' numbers in cells, their lengths, and their words one after another."""
+    held: list[bytes] = []
+    first = size = 0
+    for k, cell in enumerate(cells.to_pylist()):
+        held.append(cell)
+        size += len(cell) // 2
+        if size >= SPAN or k == len(cells) - 1:
+            yield np.arange(first, k + 1), np.array([len(h) // 2 for h in held]), np.frombuffer(b"".join(held), np.uint16).astype(np.int64)
+            held, first, size = [], k + 1, 0
+
+
 def counted(docs: DataFrame) -> np.ndarray:
     """Occurrences of each bucket in all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, total = worker_tokens(), np.zeros(TOKENS, np.int64)
+        total = np.zeros(TOKENS, np.int64)
         for batch in batches:
-            for text in batch.column(0):
-                total += np.bincount(tokens(text.as_py()), minlength=TOKENS) if text.is_valid else 0
+            for _, _, t in laid_out(batch.column(0)):
+                total += np.bincount(t, minlength=TOKENS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["token", "n"])
 
-    sums = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()  # TOKENS rows at most
+    sums = tokenized(docs).select("_tokens").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()  # TOKENS rows at most
     out = np.zeros(TOKENS, np.int64)
     for r in sums:
         out[r["token"]] = r["n"]
@@ -109,9 +143,15 @@ class Network:
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.parts()])
 
+    def rounded(self) -> Network:
+        """Factors on the grid of exact sums."""
+        for p, steps in ((self.e, COARSE), (self.w1, FINE), (self.w2, FINE)):
+            p[...] = np.rint(p.clip(-LIMIT, LIMIT) * steps) / steps
+        return self
+
     def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         x = self.e[context].reshape(len(context), -1)
-        h = np.tanh(x @ self.w1 + self.b1)
+        h = np.rint(np.tanh(x @ self.w1 + self.b1) * FINE) / FINE
         z = h @ self.w2 + self.b2
         z -= z.max(axis=1, keepdims=True)
         return x, h, z - np.log(np.exp(z).sum(axis=1, keepdims=True))
@@ -136,31 +176,42 @@ def contexts(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([padded[at + k] for k in range(2 * WINDOW + 1) if k != WINDOW], axis=1)
 
 
+def windows(lengths: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For texts laid out one after another: inputs with WINDOW outside places around each text, and each word's place there and in its text."""
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    place = np.arange(len(tokens)) + WINDOW * (text + 1)
+    inputs = np.full(len(tokens) + WINDOW * (len(lengths) + 1), INPUTS)
+    inputs[place] = tokens % INPUTS
+    return inputs, place, np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
+def seen_from(inputs: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The context of each place: contexts() for texts laid out by windows()."""
+    return inputs[place[:, None] + np.array([k for k in range(-WINDOW, WINDOW + 1) if k])]
+
+
 def trained(docs: DataFrame, classes: np.ndarray) -> np.ndarray:
-    """The averaged network's weights after ROUNDS rounds; round r takes the words at places r, r + STRIDE, ... of every text."""
-    spark = docs.sparkSession
+    """The averaged network's weights after ROUNDS rounds; round r takes the words at places r, r + ROUNDS, ... of every text."""
+    spark, docs = docs.sparkSession, tokenized(docs)
     held_classes = spark.sparkContext.broadcast(classes)  # TOKENS numbers
     flat = Network().flat()
     for turn in range(ROUNDS):
         start = spark.sparkContext.broadcast(flat)
 
         def train(batches: Iterator[pa.RecordBatch], start=start, turn=turn) -> Iterator[pa.RecordBatch]:
-            tokens, net, classes = worker_tokens(), Network(), held_classes.value
+            net, classes = Network(), held_classes.value
             net.take(start.value)
-            seen, waiting = 0, []
+            seen, c, y = 0, np.zeros((0, 2 * WINDOW), np.int64), np.zeros(0, np.int64)
             for batch in batches:
-                for text in batch.column(0):
-                    t = tokens(text.as_py())
-                    at = np.arange(turn * (STRIDE // ROUNDS), len(t), STRIDE)
-                    if len(at):
-                        waiting.append((contexts(t, at), classes[t[at]]))
-                        if sum(len(w[1]) for w in waiting) >= BATCH:
-                            c, y = (np.concatenate(x) for x in zip(*waiting, strict=True))
-                            for a in range(0, len(y), BATCH):
-                                net.step(c[a : a + BATCH], y[a : a + BATCH], RATE)
-                            seen, waiting = seen + len(y), []
-            if waiting:
-                c, y = (np.concatenate(x) for x in zip(*waiting, strict=True))
+                for _, lengths, tokens in laid_out(batch.column(0)):
+                    inputs, place, within_text = windows(lengths, tokens)
+                    at = np.flatnonzero(within_text % ROUNDS == turn)
+                    c, y = np.concatenate([c, seen_from(inputs, place[at])]), np.concatenate([y, classes[tokens[at]]])
+                    full = len(y) - len(y) % BATCH
+                    for a in range(0, full, BATCH):
+                        net.step(c[a : a + BATCH], y[a : a + BATCH], RATE)
+                    seen, c, y = seen + full, c[full:], y[full:]
+            if len(y):
                 net.step(c, y, RATE * len(y) / BATCH)
                 seen += len(y)
             weights = (net.flat().astype(np.float64) * seen).astype(np.float32)
@@ -170,7 +221,7 @@ def trained(docs: DataFrame, classes: np.ndarray) -> np.ndarray:
             total = sum(np.frombuffer(w.as_py(), np.float32).astype(np.float64) for w in rows.column("weights"))
             return pa.table({"seen": pa.array([sum(rows.column("seen").to_pylist())], pa.int64()), "weights": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
-        copies = written(docs.select("text").mapInArrow(train, "seen long, weights binary").where("seen > 0").withColumn("part", F.spark_partition_id()), "copies")
+        copies = written(docs.select("_tokens").mapInArrow(train, "seen long, weights binary").where("seen > 0").withColumn("part", F.spark_partition_id()), "copies")
         n = copies.count()
         while n > FAN:  # FAN copies at most meet in a task
             n = -(-n // FAN)
@@ -180,7 +231,9 @@ def trained(docs: DataFrame, classes: np.ndarray) -> np.ndarray:
         rows = copies.select("seen", "weights").orderBy("seen", F.xxhash64("weights")).collect()  # FAN rows at most
         if rows:
             flat = (sum(np.frombuffer(r["weights"], np.float32).astype(np.float64) for r in rows) / sum(r["seen"] for r in rows)).astype(np.float32)
-    return flat
+    net = Network()
+    net.take(flat)
+    return net.rounded().flat()
 
 
 def score(docs: DataFrame, flat: np.ndarray, classes: np.ndarray, within: np.ndarray) -> DataFrame:
@@ -189,26 +242,26 @@ def score(docs: DataFrame, flat: np.ndarray, classes: np.ndarray, within: np.nda
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, classes, within = pickle.loads(held.value)
-        tokens, net = worker_tokens(), Network()
+        net = Network()
         net.take(flat)
         for batch in batches:
             counts, sums = [], []
-            for text in batch.column(1):
-                t = tokens(text.as_py())
-                total = 0.0
-                for a in range(0, len(t), 4096):
-                    at = np.arange(a, min(a + 4096, len(t)))
-                    logp = net.forward(contexts(t, at))[2]
-                    total += float(logp[np.arange(len(at)), classes[t[at]]].sum(dtype=np.float64) + within[t[at]].sum())
-                counts.append(len(t))
-                sums.append(total)
+            for _, lengths, tokens in laid_out(batch.column(1)):
+                inputs, place, _ = windows(lengths, tokens)
+                words = np.zeros(len(tokens))
+                for a in range(0, len(tokens), CHUNK):
+                    t = tokens[a : a + CHUNK]
+                    words[a : a + CHUNK] = net.forward(seen_from(inputs, place[a : a + CHUNK]))[2][np.arange(len(t)), classes[t]] + within[t]
+                counts += lengths.tolist()
+                sums += np.bincount(np.repeat(np.arange(len(lengths)), lengths), weights=words, minlength=len(lengths)).tolist()
             means = [s / max(n, 1) for s, n in zip(sums, counts, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(sums, pa.float64()), pa.array(means, pa.float64())], names=["doc_id", "n_words", "log_prob", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(read, "doc_id long, n_words long, log_prob double, score double")
+    return tokenized(docs).mapInArrow(read, "doc_id long, n_words long, log_prob double, score double")
 
 
 def digest(docs: DataFrame) -> DataFrame:
+    docs = written(tokenized(docs), "tokens")
     counts = counted(docs)
     classes, within = classes_of(counts)
     return score(docs, trained(docs, classes), classes, within)

@@ -293,3 +293,27 @@ def test_language_model(docs, none, spark):
     rows = lm_scoring.digest(docs).collect()
     assert len(rows) == len(corpus()) and all(np.isfinite(x.score) for x in rows)
     assert lm_scoring.digest(none).count() == 0
+
+
+def test_language_model_trains_on_every_word(spark, monkeypatch):
+    r = random.Random(4)
+    texts = [" ".join(f"w{r.randrange(500)}" for _ in range(n)) for n in (1, 2, 3, 7, 8, 9, 40, 333)] + [None, ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    copies, written = [], lm_scoring.written
+    monkeypatch.setattr(lm_scoring, "written", lambda df, name: copies.append(written(df, name)) or copies[-1])
+    lm_scoring.trained(rows, lm_scoring.classes_of(lm_scoring.counted(rows))[0])
+    assert sum(x.seen for c in copies for x in c.collect()) == sum(len((t or "").split()) for t in texts)
+
+
+def test_texts_laid_out_keep_their_windows(spark):
+    tokens, texts = lm_scoring.Tokens(), ["a b c d e", "", "f", "g h i"]
+    each = [tokens(t) for t in texts]
+    inputs, place, within_text = lm_scoring.windows(np.array([len(e) for e in each]), np.concatenate(each))
+    assert np.array_equal(lm_scoring.seen_from(inputs, place), np.concatenate([lm_scoring.contexts(e, np.arange(len(e))) for e in each]))
+    assert within_text.tolist() == [0, 1, 2, 3, 4, 0, 0, 1, 2]
+    r = random.Random(8)
+    rows = [(i, " ".join(f"w{r.randrange(900)}" for _ in range(r.randint(1, 300)))) for i in range(200)]
+    rows = [x for row in rows for x in (row, (row[0] + 1000, row[1]))]
+    r.shuffle(rows)
+    score = {x.doc_id: x.score for x in lm_scoring.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert all(score[i] == score[i + 1000] for i in range(200))
