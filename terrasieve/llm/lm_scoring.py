@@ -1,11 +1,13 @@
 """Language-model scoring by masked pseudo-likelihood.
 
 Words are hashed into TOKENS buckets. A window network sees the WINDOW words on either side of a masked one and
-predicts its class; the word given its class comes from counts over the whole corpus. Both factors are normalized, so
-a document's score is a sum of proper conditional log-probabilities, one for each word.
+predicts its class and, by a softmax over the class's members, the word itself; within a class the network starts from
+the members' counts over the whole corpus and learns what the context changes. Both factors are normalized, so a
+document's score is a sum of proper conditional log-probabilities, one for each word.
 
 The network is trained in numpy on windows of every document, for ROUNDS rounds: each partition trains a copy on one
-word in ROUNDS of its own texts, and copies are averaged in a tree. The rounds' words are different ones, so every word
+word in ROUNDS of its own texts, and copies are averaged in a tree; a word's own weights are averaged by how often each
+copy met the word, so a rare word's aren't thinned out by copies without it. The rounds' words are different ones, so every word
 of every text is a target once. Counts and windows grow with the documents; the model's size is fixed. Texts are cut
 into words once, and scored whole.
 
@@ -28,16 +30,20 @@ from pyspark.sql import functions as F
 from terrasieve.llm.common import Known, written
 
 TOKENS = 1 << 16
-INPUTS = 1 << 12
-CLASSES = 64
+INPUTS = TOKENS
+CLASSES = 256
 FREQUENT = 40
 WINDOW = 2
 WIDTH = 12
 HIDDEN = 32
 ROUNDS = 2
+#: Words a step: BATCH at first, an eighth of the words seen later, MOST_BATCH at most.
 BATCH = 512
+MOST_BATCH = 1 << 14
 #: Words scored at a time.
 CHUNK = 1 << 15
+#: Rows of the class layer at a time, so its scores stay in the processor's cache.
+ROWS = 2048
 #: Steps in 1 of embeddings and of other factors, all within LIMIT: float32 sums of their products are exact in any
 #: order, so equal texts get equal scores wherever they stand.
 COARSE, FINE, LIMIT = 64, 256, 3.99
@@ -45,8 +51,13 @@ COARSE, FINE, LIMIT = 64, 256, 3.99
 SPAN = 1 << 20
 TOKENIZED = ["doc_id", "_tokens"]
 RATE = 0.1
+#: Rates of a word's own weights, divided by the root of 1 plus the sum of their squared gradients.
+RATE_INPUT = 0.1
+RATE_MEMBER = 0.2
 CACHE_WORDS = 400_000
-FAN = 32
+FAN = 8
+#: A copy is averaged in so many slices, so tasks never hold whole copies together.
+SLICES = 16
 
 
 class Tokens:
@@ -111,18 +122,48 @@ def counted(docs: DataFrame) -> np.ndarray:
 
 
 def classes_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each bucket's class and its log-probability within the class (counts plus one). The FREQUENT most frequent stand alone."""
+    """Each bucket's class and its log-probability within the class by counts plus one.
+
+    The FREQUENT most frequent stand alone; the others are cut by frequency into classes alike in the sum of their
+    shares of words and of buckets, so none has more than about 2 / CLASSES of either, and none is empty.
+    """
     order = np.lexsort((np.arange(TOKENS), -counts))
     classes = np.empty(TOKENS, np.int64)
     classes[order[:FREQUENT]] = np.arange(FREQUENT)
-    mass = np.cumsum(counts[order[FREQUENT:]] + 1)
-    classes[order[FREQUENT:]] = FREQUENT + ((mass - 1) * (CLASSES - FREQUENT) // mass[-1])
+    rest, n = order[FREQUENT:], CLASSES - FREQUENT
+    mass = np.cumsum((counts[rest] + 1) / (counts[rest] + 1).sum() + 1 / len(rest))
+    cut = np.minimum((mass - mass[0]) / mass[-1] * n, n - 1).astype(np.int64)
+    cut = np.concatenate([[0], np.cumsum(np.minimum(np.diff(cut), 1))])  # no class is skipped
+    classes[rest] = FREQUENT + np.maximum(cut, np.arange(len(rest)) - len(rest) + n)
     total = np.bincount(classes, weights=counts + 1.0, minlength=CLASSES)
     return classes, np.log((counts + 1.0) / total[classes])
 
 
+class Members:
+    """The buckets in order of class: class c has places start[c]:start[c + 1]."""
+
+    def __init__(self, classes: np.ndarray, within: np.ndarray):
+        order = np.argsort(classes, kind="stable")
+        self.classes, self.start = classes, np.searchsorted(classes[order], np.arange(CLASSES + 1)).tolist()
+        self.prior = within[order].astype(np.float32)
+        self.place = np.empty(TOKENS, np.int64)
+        self.place[order] = np.arange(TOKENS)
+
+    def groups(self, tokens: np.ndarray) -> Iterator[tuple[np.ndarray, int, int, np.ndarray]]:
+        """For each class with several members: rows of tokens in it, its first and last place, and the rows' members."""
+        c = self.classes[tokens]
+        by = np.argsort(c.astype(np.uint16), kind="stable")
+        cuts = np.searchsorted(c[by], np.arange(CLASSES + 1)).tolist()
+        place = self.place[tokens]
+        for k in range(CLASSES):
+            a, b, first, last = cuts[k], cuts[k + 1], self.start[k], self.start[k + 1]
+            if a < b and last - first > 1:
+                rows = by[a:b]
+                yield rows, first, last, place[rows] - first
+
+
 class Network:
-    """Concatenated embeddings of the context, a tanh layer, a softmax over classes."""
+    """Concatenated embeddings of the context, a tanh layer, a softmax over classes and one over each class's members."""
 
     def __init__(self, seed: int = 5):
         r = np.random.default_rng(seed)
@@ -130,9 +171,12 @@ class Network:
         self.e = (r.standard_normal((INPUTS + 1, WIDTH)) * 0.3).astype(np.float32)  # the last is the place outside a text
         self.w1, self.b1 = f(2 * WINDOW * WIDTH, HIDDEN), np.zeros(HIDDEN, np.float32)
         self.w2, self.b2 = f(HIDDEN, CLASSES), np.zeros(CLASSES, np.float32)
+        self.v = np.zeros((TOKENS, HIDDEN), np.float32)  # in Members' order
+        self.e_sum, self.v_sum = np.ones((INPUTS + 1, 1), np.float32), np.ones((TOKENS, 1), np.float32)
+        self.e_met, self.v_met = np.zeros(INPUTS + 1, np.int64), np.zeros(TOKENS, np.int64)
 
     def parts(self) -> list[np.ndarray]:
-        return [self.e, self.w1, self.b1, self.w2, self.b2]
+        return [self.e, self.w1, self.b1, self.w2, self.b2, self.v]
 
     def take(self, flat: np.ndarray) -> None:
         at = 0
@@ -145,29 +189,97 @@ class Network:
 
     def rounded(self) -> Network:
         """Factors on the grid of exact sums."""
-        for p, steps in ((self.e, COARSE), (self.w1, FINE), (self.w2, FINE)):
+        for p, steps in ((self.e, COARSE), (self.w1, FINE), (self.w2, FINE), (self.v, FINE)):
             p[...] = np.rint(p.clip(-LIMIT, LIMIT) * steps) / steps
         return self
 
+    def hidden(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = self.e.take(context.ravel(), axis=0).reshape(len(context), -1)
+        h = x @ self.w1
+        h += self.b1
+        np.tanh(h, out=h)
+        h *= FINE
+        np.rint(h, out=h)
+        h /= FINE
+        return x, h
+
     def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        x = self.e[context].reshape(len(context), -1)
-        h = np.rint(np.tanh(x @ self.w1 + self.b1) * FINE) / FINE
+        x, h = self.hidden(context)
         z = h @ self.w2 + self.b2
         z -= z.max(axis=1, keepdims=True)
         return x, h, z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
-    def step(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
-        x, h, logp = self.forward(context)
-        g = np.exp(logp)
-        g[np.arange(len(g)), target] -= 1
-        g *= rate / len(g) * 8
-        gh = (g @ self.w2.T) * (1 - h * h)
+    def words(self, context: np.ndarray, tokens: np.ndarray, members: Members) -> np.ndarray:
+        """Log-probability of each token given its context."""
+        out, every = np.empty(len(tokens)), np.empty((len(tokens), HIDDEN), np.float32)
+        for a in range(0, len(tokens), ROWS):
+            h = every[a : a + ROWS] = self.hidden(context[a : a + ROWS])[1]
+            z = h @ self.w2
+            z += self.b2
+            z -= z.max(axis=1, keepdims=True)
+            own = z[np.arange(len(z)), members.classes[tokens[a : a + ROWS]]]
+            out[a : a + ROWS] = own - np.log(np.exp(z, out=z).sum(axis=1))
+        return out + self.chosen(every, tokens, members)
+
+    def chosen(self, h: np.ndarray, tokens: np.ndarray, members: Members) -> np.ndarray:
+        """Log-probability of each token given its class and context."""
+        out = np.zeros(len(tokens), np.float32)
+        for rows, first, last, own in members.groups(tokens):
+            z = h[rows] @ self.v[first:last].T
+            z += members.prior[first:last]
+            z -= z.max(axis=1, keepdims=True)
+            mine = z[np.arange(len(rows)), own]
+            out[rows] = mine - np.log(np.exp(z, out=z).sum(axis=1))
+        return out
+
+    def step(self, context: np.ndarray, tokens: np.ndarray, members: Members, rate: float) -> None:
+        x, h = self.hidden(context)
+        gh, gw, gb = np.empty_like(h), np.zeros_like(self.w2), np.zeros_like(self.b2)
+        for a in range(0, len(h), ROWS):
+            part = h[a : a + ROWS]
+            g = part @ self.w2
+            g += self.b2
+            g -= g.max(axis=1, keepdims=True)
+            np.exp(g, out=g)
+            g /= g.sum(axis=1, keepdims=True)
+            g[np.arange(len(g)), members.classes[tokens[a : a + ROWS]]] -= 1
+            gh[a : a + ROWS] = g @ self.w2.T
+            gw += part.T @ g
+            gb += g.sum(axis=0)
+        for rows, first, last, own in members.groups(tokens):
+            v, hr = self.v[first:last], h[rows]
+            p = hr @ v.T
+            p += members.prior[first:last]
+            p -= p.max(axis=1, keepdims=True)
+            np.exp(p, out=p)
+            p /= p.sum(axis=1, keepdims=True)
+            p[np.arange(len(rows)), own] -= 1
+            gh[rows] += p @ v
+            gv = p.T @ hr
+            total = self.v_sum[first:last]
+            total += np.einsum("ij,ij->i", gv, gv)[:, None] / HIDDEN
+            gv *= RATE_MEMBER / np.sqrt(total)
+            v -= gv
+        gh *= 1 - h * h
         gx = (gh @ self.w1.T).reshape(-1, WIDTH)
-        self.w2 -= h.T @ g
-        self.b2 -= g.sum(axis=0)
-        self.w1 -= x.T @ gh
-        self.b1 -= gh.sum(axis=0)
-        np.subtract.at(self.e, context.ravel(), gx)
+        rate = rate / len(h) * 8
+        self.w2 -= rate * gw
+        self.b2 -= rate * gb
+        self.w1 -= rate * (x.T @ gh)
+        self.b1 -= rate * gh.sum(axis=0)
+        flat = context.ravel()
+        by = np.argsort(flat)
+        at, first = np.unique(flat[by], return_index=True)
+        ge = np.add.reduceat(gx[by], first, axis=0)
+        self.e_sum[at] += (ge * ge).mean(axis=1, keepdims=True)
+        self.e[at] -= RATE_INPUT * ge / np.sqrt(self.e_sum[at])
+        self.e_met[at] += np.diff(np.append(first, len(flat)))
+        np.add.at(self.v_met, members.place[tokens], 1)
+
+    def met(self, seen: int) -> np.ndarray:
+        """How often each number of flat() was met: a word's own weights with the word, the others with every word."""
+        dense = self.w1.size + self.b1.size + self.w2.size + self.b2.size
+        return np.concatenate([np.repeat(self.e_met, WIDTH), np.full(dense, seen), np.repeat(self.v_met, HIDDEN)])
 
 
 def contexts(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -190,47 +302,60 @@ def seen_from(inputs: np.ndarray, place: np.ndarray) -> np.ndarray:
     return inputs[place[:, None] + np.array([k for k in range(-WINDOW, WINDOW + 1) if k])]
 
 
-def trained(docs: DataFrame, classes: np.ndarray) -> np.ndarray:
-    """The averaged network's weights after ROUNDS rounds; round r takes the words at places r, r + ROUNDS, ... of every text."""
+def trained(docs: DataFrame, classes: np.ndarray, within: np.ndarray | None = None) -> np.ndarray:
+    """The averaged network's weights after ROUNDS rounds; round r takes the words at places r, r + ROUNDS, ... of every text.
+
+    within is that of classes_of(); it is counted where it isn't given.
+    """
     spark, docs = docs.sparkSession, tokenized(docs)
-    held_classes = spark.sparkContext.broadcast(classes)  # TOKENS numbers
+    if within is None:
+        within = classes_of(counted(docs))[1]
+    held = spark.sparkContext.broadcast((classes, within))  # TOKENS numbers each
     flat = Network().flat()
     for turn in range(ROUNDS):
         start = spark.sparkContext.broadcast(flat)
 
         def train(batches: Iterator[pa.RecordBatch], start=start, turn=turn) -> Iterator[pa.RecordBatch]:
-            net, classes = Network(), held_classes.value
+            net, members = Network(), Members(*held.value)
             net.take(start.value)
             seen, c, y = 0, np.zeros((0, 2 * WINDOW), np.int64), np.zeros(0, np.int64)
             for batch in batches:
                 for _, lengths, tokens in laid_out(batch.column(0)):
                     inputs, place, within_text = windows(lengths, tokens)
                     at = np.flatnonzero(within_text % ROUNDS == turn)
-                    c, y = np.concatenate([c, seen_from(inputs, place[at])]), np.concatenate([y, classes[tokens[at]]])
-                    full = len(y) - len(y) % BATCH
-                    for a in range(0, full, BATCH):
-                        net.step(c[a : a + BATCH], y[a : a + BATCH], RATE)
-                    seen, c, y = seen + full, c[full:], y[full:]
+                    c, y, a = np.concatenate([c, seen_from(inputs, place[at])]), np.concatenate([y, tokens[at]]), 0
+                    while len(y) - a >= (size := min(max(seen // 8, BATCH), MOST_BATCH)):
+                        net.step(c[a : a + size], y[a : a + size], members, RATE)
+                        seen, a = seen + size, a + size
+                    c, y = c[a:], y[a:]
             if len(y):
-                net.step(c, y, RATE * len(y) / BATCH)
+                net.step(c, y, members, RATE * min(len(y) / BATCH, 1))
                 seen += len(y)
-            weights = (net.flat().astype(np.float64) * seen).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([weights.tobytes()], pa.binary())], names=["seen", "weights"])
-
-        def added(_key, rows: pa.Table) -> pa.Table:
-            total = sum(np.frombuffer(w.as_py(), np.float32).astype(np.float64) for w in rows.column("weights"))
-            return pa.table({"seen": pa.array([sum(rows.column("seen").to_pylist())], pa.int64()), "weights": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
-
-        copies = written(docs.select("_tokens").mapInArrow(train, "seen long, weights binary").where("seen > 0").withColumn("part", F.spark_partition_id()), "copies")
-        n = copies.count()
-        while n > FAN:  # FAN copies at most meet in a task
+            met = net.met(seen).astype(np.float32)
+            for k, (w, m) in enumerate(zip(np.array_split(net.flat() * met, SLICES), np.array_split(met, SLICES), strict=True)):
+                if seen:  # counted with the first slice
+                    yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int64()), "seen": pa.array([0 if k else seen], pa.int64()), "weights": pa.array([w.tobytes()], pa.binary()), "met": pa.array([m.tobytes()], pa.binary())})
+
+        def added(rows: pa.Table) -> pa.Table:
+            total = {"slice": rows.column("slice")[:1], "seen": pa.array([sum(rows.column("seen").to_pylist())], pa.int64())}
+            for name in ("weights", "met"):
+                cells = rows.column(name).to_pylist()
+                total[name] = pa.array([sum(np.frombuffer(x, np.float32).astype(np.float64) for x in cells).astype(np.float32).tobytes()], pa.binary())
+            return pa.table(total)
+
+        copy = "slice long, seen long, weights binary, met binary"
+        copies = written(docs.select("_tokens").mapInArrow(train, copy).withColumn("part", F.spark_partition_id()), "copies")
+        n = copies.count() // SLICES
+        while n > 1:  # about FAN copies of a slice meet in a task
             n = -(-n // FAN)
-            groups = copies.select("seen", "weights", F.pmod(F.xxhash64("part"), F.lit(n)).alias("g"))
-            copies = written(groups.groupBy("g").applyInArrow(lambda key, rows: added(key, rows.select(["seen", "weights"])), "seen long, weights binary").withColumn("part", F.monotonically_increasing_id()), "copies")
-            n = copies.count()
-        rows = copies.select("seen", "weights").orderBy("seen", F.xxhash64("weights")).collect()  # FAN rows at most
+            groups = copies.select("slice", "seen", "weights", "met", F.pmod(F.xxhash64("part"), F.lit(n)).alias("part"))
+            sums = groups.groupBy("part", "slice").applyInArrow(lambda key, rows: added(rows).append_column("part", pa.array([key[0].as_py()], pa.int64())), f"{copy}, part long")
+            copies = written(sums, "sums")
+            n = copies.count() // SLICES
+        rows = copies.select("slice", "weights", "met").orderBy("slice").collect()  # SLICES rows at most
         if rows:
-            flat = (sum(np.frombuffer(r["weights"], np.float32).astype(np.float64) for r in rows) / sum(r["seen"] for r in rows)).astype(np.float32)
+            weights, met = (np.concatenate([np.frombuffer(r[c], np.float32) for r in rows]) for c in ("weights", "met"))
+            flat = np.where(met > 0, weights / np.maximum(met, 1), flat).astype(np.float32)
     net = Network()
     net.take(flat)
     return net.rounded().flat()
@@ -242,7 +367,7 @@ def score(docs: DataFrame, flat: np.ndarray, classes: np.ndarray, within: np.nda
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, classes, within = pickle.loads(held.value)
-        net = Network()
+        net, members = Network(), Members(classes, within)
         net.take(flat)
         for batch in batches:
             counts, sums = [], []
@@ -251,7 +376,7 @@ def score(docs: DataFrame, flat: np.ndarray, classes: np.ndarray, within: np.nda
                 words = np.zeros(len(tokens))
                 for a in range(0, len(tokens), CHUNK):
                     t = tokens[a : a + CHUNK]
-                    words[a : a + CHUNK] = net.forward(seen_from(inputs, place[a : a + CHUNK]))[2][np.arange(len(t)), classes[t]] + within[t]
+                    words[a : a + CHUNK] = net.words(seen_from(inputs, place[a : a + CHUNK]), t, members)
                 counts += lengths.tolist()
                 sums += np.bincount(np.repeat(np.arange(len(lengths)), lengths), weights=words, minlength=len(lengths)).tolist()
             means = [s / max(n, 1) for s, n in zip(sums, counts, strict=True)]
@@ -264,4 +389,4 @@ def digest(docs: DataFrame) -> DataFrame:
     docs = written(tokenized(docs), "tokens")
     counts = counted(docs)
     classes, within = classes_of(counts)
-    return score(docs, trained(docs, classes), classes, within)
+    return score(docs, trained(docs, classes, within), classes, within)

@@ -300,9 +300,9 @@ def test_language_model_trains_on_every_word(spark, monkeypatch):
     texts = [" ".join(f"w{r.randrange(500)}" for _ in range(n)) for n in (1, 2, 3, 7, 8, 9, 40, 333)] + [None, ""]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
     copies, written = [], lm_scoring.written
-    monkeypatch.setattr(lm_scoring, "written", lambda df, name: copies.append(written(df, name)) or copies[-1])
+    monkeypatch.setattr(lm_scoring, "written", lambda df, name: copies.append((name, written(df, name))) or copies[-1][1])
     lm_scoring.trained(rows, lm_scoring.classes_of(lm_scoring.counted(rows))[0])
-    assert sum(x.seen for c in copies for x in c.collect()) == sum(len((t or "").split()) for t in texts)
+    assert sum(x.seen for name, c in copies if name == "copies" for x in c.collect()) == sum(len((t or "").split()) for t in texts)
 
 
 def test_texts_laid_out_keep_their_windows(spark):
@@ -317,3 +317,30 @@ def test_texts_laid_out_keep_their_windows(spark):
     r.shuffle(rows)
     score = {x.doc_id: x.score for x in lm_scoring.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert all(score[i] == score[i + 1000] for i in range(200))
+
+
+def test_language_model_context_decides_within_classes(spark):
+    r = random.Random(6)
+    nouns = [(f"left{k}", f"mid{k}", f"right{k}") for k in range(600)]  # far more words than stand alone; a middle word occurs only between its own neighbours
+    text = [" ".join(" ".join(nouns[r.randrange(600)]) for _ in range(80)) for _ in range(400)]
+    train = spark.createDataFrame(list(enumerate(text)), "doc_id long, text string").repartition(2)
+    classes, within = lm_scoring.classes_of(lm_scoring.counted(train))
+    assert np.allclose(np.bincount(classes, weights=np.exp(within), minlength=lm_scoring.CLASSES), 1)
+    flat = lm_scoring.trained(train, classes, within)
+    at = lambda w: int(lm_scoring.Tokens()(w)[0])
+    pairs = [(a, b) for a in range(600) for b in range(a + 1, 600) if classes[at(f"mid{a}")] == classes[at(f"mid{b}")] and at(f"mid{a}") != at(f"mid{b}")]
+    assert len(pairs) > 50
+    rows = []
+    for a, b in pairs[:200]:
+        for middle in (a, b):
+            rows.append((len(rows), f"{nouns[a][0]} {nouns[middle][1]} {nouns[a][2]}"))
+    score = {x.doc_id: x.log_prob for x in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string"), flat, classes, within).collect()}
+    # a middle word of the same class between the wrong neighbours; frequencies alone tie on average
+    better = [score[k] - score[k + 1] for k in range(0, len(rows), 2)]
+    assert np.mean(better) > 0.3 and np.mean(np.array(better) > 0) > 0.7
+    # the members' probabilities given the class add up to 1 in every context
+    net, members = lm_scoring.Network(), lm_scoring.Members(classes, within)
+    net.take(flat)
+    ids = np.flatnonzero(classes == classes[at("mid1")])
+    h = np.repeat(net.forward(lm_scoring.contexts(lm_scoring.Tokens()("left1 mid1 right1"), np.array([1])))[1], len(ids), axis=0)
+    assert np.isclose(np.exp(net.chosen(h, ids, members).astype(float)).sum(), 1, atol=1e-4)
