@@ -1,19 +1,23 @@
 """MinHash near-duplicates with tensored banding.
 
-Two collections of TABLES half keys each are computed, a half key being ROWS minhashes. A table is a pair of half keys,
+Two collections of TABLES half keys each are computed, a half key being ROWS minhashes. A table key is a pair of half keys,
 one from either collection: TABLES**2 tables of 2 * ROWS minhashes cost 2 * TABLES * ROWS minhashes. A pair at the
 threshold 0.75 misses all tables with probability below 4e-4, at 0.8 below 3e-5.
 
-Texts with equal shingle sets are one class first, however many copies there are. Links are then found in rounds:
-each group of a half key proposes its members with its most central one (then with that of the rest), so a group of n
-gives n proposals; groups that are one component after that are done. Groups that still hold several components are
-compared in blocks, on signatures held in arrays: every pair of different components that shares a table, which is a half
-key of either collection, is looked at, none is capped, and only pairs whose signatures agree enough leave the block. Every proposal is confirmed on the full shingle
-sets. Components come from label propagation over tables; nothing but counts reaches the driver.
+Texts with equal shingle sets are one class first, however many copies there are. Only half keys that two classes share
+can be part of a shared table key, so half keys are counted first and table keys are formed from what is left; of groups with
+the same members one stays. Links are then found in STAR_ROUNDS rounds: each group of a table key proposes its members
+with its most central one (in a second round with that of the rest), so a group of n gives n proposals; groups that are one
+component after that are done. In the others, members of different components meet in blocks, on signatures held in arrays, each pair at the
+first table key it shares; pairs whose signatures agree enough are sent on, as arrays, to cells of a grid over the classes,
+where each class's set arrives once for a cell. No group is capped. Every proposal is confirmed on the full shingle sets.
+Components come from label propagation over tables; nothing but counts reaches the driver.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing; a text with one to four
-words has one shingle; equal texts are linked; rows that repeat a doc_id share its component; a null doc_id gets no
-component; an empty table gives an empty result; extra columns are not read.
+words has one shingle; equal texts are linked; rows that repeat a doc_id with another text are documents of their own; a row
+without doc_id is linked like others, its component_id is the least doc_id reachable, null if there is none, and it isn't kept
+(keep_one() keeps one row of a component without ids); an empty table gives an empty result; extra columns are not
+read, and keep_one() returns them unchanged; very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -24,8 +28,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, MapType, StructField, StructType
 
 from terrasieve.llm.common import Known, written
 
@@ -33,13 +38,15 @@ WORDS = 5
 PERCENT = 75
 TABLES = 16
 ROWS = 3
-#: More minhashes, four to a long, that only sharpen the estimate.
-MORE = 160
-#: Signatures that agree in less than this share of places are not confirmed: 3.7 standard deviations below 0.75.
-AGREE = 0.65
+#: More minhashes, of a byte each, that only sharpen the estimate.
+MORE = 96
+#: Signatures that agree in less than this share of places are not confirmed: 3.8 standard deviations below 0.75.
+AGREE = 0.63
 #: Rows of one side of a block comparison.
 BLOCK = 1000
-STAR_ROUNDS = 2
+#: Shingles of the classes that share a row or column of the grid of confirmations.
+CELL = 1 << 18
+STAR_ROUNDS = 1
 BUCKETS = 1 << 20
 CACHE_WORDS = 400_000
 
@@ -48,6 +55,7 @@ _MIX = _RANDOM.integers(0, 2**64, WORDS + 1, dtype=np.uint64) | np.uint64(1)
 _HALVES = 2 * TABLES * ROWS
 _A = (_RANDOM.integers(0, 2**32, _HALVES + MORE, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
 _B = _RANDOM.integers(0, 2**32, _HALVES + MORE, dtype=np.uint64).astype(np.uint32)[:, None]
+PRINT = ["n_shingles", "f1", "f2"]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -83,29 +91,27 @@ def worker_shingles() -> Shingles:
     return Shingles()
 
 
-def half_keys(shingles: np.ndarray) -> np.ndarray:
-    """2 * TABLES longs, each of ROWS minhashes of 16 bits, and MORE / 4 longs of four."""
+def fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """Two longs that tell sets apart."""
+    return np.frombuffer(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest(), np.int64)
+
+
+def half_keys(shingles: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """2 * TABLES longs, each of ROWS minhashes of 16 bits, and MORE minhashes of a byte."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
     least = np.full(len(_A), 0xFFFFFFFF, np.uint32)
     for at in range(0, len(x), 2048):
         np.minimum(least, (x[at : at + 2048] * _A + _B).min(axis=1), out=least)
-    lanes = (least & np.uint32(0xFFFF)).astype(np.uint16)
     halves = np.zeros((2 * TABLES, 4), np.uint16)
-    halves[:, :ROWS] = lanes[:_HALVES].reshape(-1, ROWS)
-    return np.concatenate([halves.ravel(), lanes[_HALVES:]]).view(np.int64)
-
-
-def lanes_of(keys: pa.Array) -> np.ndarray:
-    """The minhashes of a list column of half keys, a row each."""
-    flat = np.ascontiguousarray(keys.flatten().to_numpy(zero_copy_only=False), np.int64)
-    lanes = flat.view(np.uint16).reshape(-1, 8 * TABLES + MORE)
-    halves = lanes[:, : 8 * TABLES].reshape(-1, 2 * TABLES, 4)[:, :, :ROWS].reshape(-1, _HALVES)
-    return np.concatenate([halves, lanes[:, 8 * TABLES :]], axis=1)
+    halves[:, :ROWS] = least[:_HALVES].astype(np.uint16).reshape(-1, ROWS)
+    return halves.ravel().view(np.int64), least[_HALVES:].astype(np.uint8).tobytes()
 
 
-def share_table(same: np.ndarray) -> np.ndarray:
-    """Whether a half key of either collection agrees, from agreeing places."""
-    return same[:, :_HALVES].reshape(len(same), 2, TABLES, ROWS).all(axis=3).any(axis=2).all(axis=1)
+def lanes_of(halves: pa.Array, more: pa.Array) -> np.ndarray:
+    """The minhashes of a row each."""
+    flat = np.ascontiguousarray(halves.flatten().to_numpy(zero_copy_only=False), np.int64).view(np.uint16)
+    rest = np.frombuffer(b"".join(more.to_pylist()), np.uint8).reshape(-1, MORE)
+    return np.concatenate([flat.reshape(-1, 2 * TABLES, 4)[:, :, :ROWS].reshape(-1, _HALVES), rest], axis=1)
 
 
 def list_column(arrays: list[np.ndarray]) -> pa.Array:
@@ -115,50 +121,76 @@ def list_column(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, f1 and f2 (a 128-bit fingerprint of the set), keys; all of each document's whole text."""
+    """row (a number of its own), doc_id, n_shingles, f1 and f2 (a 128-bit fingerprint of the set), halves and more, of each document's whole text."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles_of = worker_shingles()
         for batch in batches:
-            counts, prints, keys = [], [], []
+            counts, prints, halves, more = [], [], [], []
             for text in batch.column(1):
                 s = shingles_of(text.as_py())
                 counts.append(len(s))
-                prints.append(np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64))
-                keys.append(half_keys(s) if len(s) else np.array([], np.int64))
+                prints.append(fingerprint(s))
+                own, rest = half_keys(s) if len(s) else (np.array([], np.int64), b"")
+                halves.append(own)
+                more.append(rest)
             two = np.array(prints, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(two[:, 0]), pa.array(two[:, 1]), list_column(keys)],
-                names=["doc_id", "n_shingles", "f1", "f2", "keys"],
-            )
+            columns = [batch.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(two[:, 0]), pa.array(two[:, 1]), list_column(halves), pa.array(more, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *PRINT, "halves", "more"])
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>")
+    signed = docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, f1 long, f2 long, halves array<long>, more binary")
+    return written(signed.withColumn("row", F.monotonically_increasing_id()), "signatures")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
+    """n_shingles, f1, f2 and shingles of each document."""
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles_of = worker_shingles()
         for batch in batches:
-            sets = list_column([shingles_of(t.as_py()).view(np.int64) for t in batch.column(1)])
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), sets], names=["id", "shingles"])
+            sets = [shingles_of(t.as_py()) for t in batch.column(0)]
+            two = np.array([fingerprint(s) for s in sets], np.int64).reshape(-1, 2)
+            columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array(two[:, 0]), pa.array(two[:, 1]), list_column([s.view(np.int64) for s in sets])]
+            yield pa.RecordBatch.from_arrays(columns, names=[*PRINT, "shingles"])
+
+    return docs.select("text").mapInArrow(cut, "n_shingles long, f1 long, f2 long, shingles array<long>")
+
 
-    return docs.select("doc_id", "text").mapInArrow(cut, "id long, shingles array<long>")
+def shared_halves(halves: DataFrame) -> DataFrame:
+    """The rows (rep, i, a) whose half key another class has too."""
+    counts = halves.groupBy("i", "a").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
+    return halves.join(counts, ["i", "a"])
+
+
+def table_groups(classes: DataFrame) -> DataFrame:
+    """key, table and rep: the members of each table key that several classes share; of groups with the same members that of the first table stays.
+
+    The second collection is looked at only for classes that share a half key of the first. For any two classes the group of
+    the first table they share stays: a group with the same members belongs to a table that they share too.
+    """
+    side = lambda of, first: of.select("rep", F.posexplode(F.slice("halves", first + 1, TABLES)).alias("i", "a"))
+    one = written(shared_halves(side(classes, 0)), "halves")
+    two = shared_halves(side(classes.join(one.select("rep").distinct(), "rep", "left_semi"), TABLES))
+    pairs = one.join(two.select("rep", F.col("i").alias("j"), F.col("a").alias("b")), "rep")
+    table = (F.col("i") * TABLES + F.col("j")).alias("table")
+    tables = written(pairs.select(F.xxhash64("i", "j", "a", "b").alias("key"), table, "rep"), "tables")
+    sizes = tables.groupBy("key", "table").agg(F.count(F.lit(1)).alias("_c"), F.min("rep").alias("_lo"), F.max("rep").alias("_hi"), F.bit_xor(F.xxhash64("rep")).alias("_x")).where("_c > 1")
+    chosen = sizes.groupBy("_c", "_lo", "_hi", "_x").agg(F.min_by("key", "table").alias("key")).select("key")
+    return tables.join(chosen, "key")
 
 
 def agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (x, y) that share a table, whose set sizes allow the threshold and whose signatures agree enough."""
+    """The pairs (x, y) whose set sizes allow the threshold and whose signatures agree enough."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = lanes_of(batch.column(2)), lanes_of(batch.column(3))
-            same = x == y
-            good = share_table(same) & (same.mean(axis=1) >= AGREE)
-            yield batch.select([0, 1]).filter(pa.array(good))
+            same = lanes_of(batch.column(2), batch.column(3)) == lanes_of(batch.column(4), batch.column(5))
+            yield batch.select([0, 1]).filter(pa.array(same.mean(axis=1) >= AGREE))
 
-    side = lambda name: classes.select(F.col("rep").alias(name), F.col("n_shingles").alias(f"n{name}"), F.col("keys").alias(f"k{name}"))
+    side = lambda name: classes.select(F.col("rep").alias(name), F.col("n_shingles").alias(f"n{name}"), F.col("halves").alias(f"h{name}"), F.col("more").alias(f"m{name}"))
     both = pairs.join(side("x"), "x").join(side("y"), "y")
     both = both.where(100 * F.least("nx", "ny") >= PERCENT * F.greatest("nx", "ny"))
-    return both.select("x", "y", "kx", "ky").mapInArrow(keep, "x long, y long")
+    return both.select("x", "y", "hx", "mx", "hy", "my").mapInArrow(keep, "x long, y long")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -183,147 +215,192 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def blocks(rows: DataFrame) -> DataFrame:
-    """Pairs of different components that share a table and whose signatures agree, from rows (i, a, rep, comp, n_shingles, keys).
+def blocks(rows: DataFrame, cells: int) -> DataFrame:
+    """Pairs of different components whose sizes and signatures agree, from rows (key, table, rep, comp, n_shingles, halves, more).
 
-    A row for each group that has any: i, a, pair, members (ids), px and py (places in members, a pair each).
-
-    A half key (i, a) with more than BLOCK rows is cut into blocks by a hash; each pair of blocks is a group of its own.
-    The second half key is looked for inside; a pair counts at the first half key it shares.
+    Rows hold arrays: bx and by (the cell of the pairs), x and y (classes, a pair each) and members (distinct classes).
+    A group of more than BLOCK rows is cut into blocks by a hash, and each pair of blocks is a group of its own. A pair
+    counts at the first table it shares.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # the group at the end of a batch goes on in the next
         last = None
 
-        def pairs(group: list[tuple], key: tuple) -> Iterator[pa.RecordBatch]:
-            i = int(key[0])
-            rep, comp, n, side = (np.concatenate([g[k] for g in group]) for k in (0, 1, 2, 3))
-            lanes = np.concatenate([g[4] for g in group])
-            quick = np.ascontiguousarray(lanes[:, _HALVES:])
+        def pairs(group: list[tuple], table: int) -> Iterator[pa.RecordBatch]:
+            rep, comp, n, side, lanes = (np.concatenate([g[k] for g in group]) for k in range(5))
+            if (comp == comp[0]).all():
+                return
+            halves = lanes[:, :_HALVES].reshape(len(rep), 2 * TABLES, ROWS)
+            quick = np.ascontiguousarray(lanes[:, _HALVES:].astype(np.uint8))
             xs, ys = [], []
             for r in range(len(rep) - 1):
                 other = np.flatnonzero((comp[r + 1 :] != comp[r]) & ((side[r + 1 :] != side[r]) | (side[r] == 0))) + r + 1
                 other = other[100 * np.minimum(n[other], n[r]) >= PERCENT * np.maximum(n[other], n[r])]
                 # first on MORE places alone, at a looser limit
-                other = other[np.count_nonzero(quick[other] == quick[r], axis=1) >= (AGREE - 0.1) * MORE]
+                other = other[np.count_nonzero(quick[other] == quick[r], axis=1) >= (AGREE - 0.15) * MORE]
+                other = other[(lanes[other] == lanes[r]).mean(axis=1) >= AGREE]
                 if len(other):
-                    same = lanes[other] == lanes[r]
-                    earlier = same[:, : i * ROWS].reshape(len(same), i, ROWS).all(axis=2).any(axis=1) if i else np.zeros(len(same), bool)
-                    other = other[share_table(same) & (same.mean(axis=1) >= AGREE) & ~earlier]
-                    if len(other):
-                        xs.append(np.full(len(other), r))
-                        ys.append(other)
-            if xs:
-                x, y = np.concatenate(xs), np.concatenate(ys)
-                used, places = np.unique(np.concatenate([x, y]), return_inverse=True)
-                columns = [pa.array([int(k)], pa.int64()) for k in key] + [list_column([v]) for v in (rep[used], places[: len(x)], places[len(x) :])]
-                yield pa.RecordBatch.from_arrays(columns, names=["i", "a", "pair", "members", "px", "py"])
+                    same = (halves[other] == halves[r]).all(axis=2)
+                    other = other[same[:, :TABLES].argmax(axis=1) * TABLES + same[:, TABLES:].argmax(axis=1) == table]
+                    xs.append(np.full(len(other), rep[r]))
+                    ys.append(rep[other])
+            if not sum(map(len, xs)):
+                return
+            x, y = np.concatenate(xs), np.concatenate(ys)
+            bx, by = (mixed(v.view(np.uint64)) % np.uint64(cells) for v in (x, y))
+            x, y, bx, by = np.where(bx <= by, x, y), np.where(bx <= by, y, x), np.minimum(bx, by).astype(np.int64), np.maximum(bx, by).astype(np.int64)
+            order = np.lexsort((by, bx))
+            ends = np.flatnonzero(np.diff(bx[order]) | np.diff(by[order])) + 1
+            parts = np.split(order, ends)
+            columns = [pa.array(b[[p[0] for p in parts]]) for b in (bx, by)]
+            lists = [list_column([f(p) for p in parts]) for f in (lambda p: x[p], lambda p: y[p], lambda p: np.unique(np.concatenate([x[p], y[p]])))]
+            yield pa.RecordBatch.from_arrays([*columns, *lists], names=["bx", "by", "x", "y", "members"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             key = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1, 2)], axis=1)
-            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 4, 5, 6)] + [lanes_of(batch.column(7))]
+            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 4, 5, 6)] + [lanes_of(batch.column(7), batch.column(8))]
             cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if held and tuple(key[a]) != last:
-                    yield from pairs(held, last)
+                    yield from pairs(held, int(last[2]))
                     held = []
                 held.append(tuple(c[a:b] for c in columns))
                 last = tuple(key[a])
         if held:
-            yield from pairs(held, last)
+            yield from pairs(held, int(last[2]))
 
-    per = rows.groupBy("i", "a").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    per = per.select("i", "a", F.ceil(F.col("c") / BLOCK).alias("nb"))
-    placed = rows.join(per, ["i", "a"]).withColumn("b", F.pmod(F.xxhash64("rep"), F.col("nb")))
+    per = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).select("key", F.ceil(F.col("c") / BLOCK).alias("nb"))
+    placed = rows.join(per, "key").withColumn("b", F.pmod(F.xxhash64("rep"), F.col("nb")))
     placed = placed.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
     # side 0: the block with itself; 1 and 2: the two blocks of a pair
     placed = placed.select(
-        "i", "a", (F.least("b", "o") * F.col("nb") + F.greatest("b", "o")).alias("pair"), "rep", "comp", "n_shingles",
-        F.when(F.col("b") == F.col("o"), 0).when(F.col("b") < F.col("o"), 1).otherwise(2).alias("side"), "keys",
+        "key", (F.least("b", "o") * F.col("nb") + F.greatest("b", "o")).alias("pair"), "table", "rep", "comp", "n_shingles",
+        F.when(F.col("b") == F.col("o"), 0).when(F.col("b") < F.col("o"), 1).otherwise(2).alias("side"), "halves", "more",
     )
-    dealt = placed.repartition("i", "a", "pair").sortWithinPartitions("i", "a", "pair")
-    return dealt.mapInArrow(compare, "i long, a long, pair long, members array<long>, px array<long>, py array<long>")
+    dealt = placed.repartition("key", "pair").sortWithinPartitions("key", "pair")
+    return dealt.mapInArrow(compare, "bx long, by long, x array<long>, y array<long>, members array<long>")
 
 
-def confirmed_blocks(groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (x, y) among the pairs of blocks(): each group meets its members' full sets, so pairs are never rows.
+def confirmed_cells(found: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (x, y) among the pairs of blocks(): each cell meets its members' full sets once, so pairs are never rows.
 
-    A pair whose members other links of the group join already is skipped: it can't change a component.
+    A pair whose members other links of the cell join already is skipped: it can't change a component.
     """
 
-    def check(group: pa.Table, full: pa.Table) -> pa.Table:
-        found: list[tuple[int, int]] = []
+    def check(pairs: pa.Table, full: pa.Table) -> pa.Table:
         held = {i: np.asarray(s.values).view(np.uint64) for i, s in zip(full.column("id").to_pylist(), full.column("shingles").combine_chunks(), strict=True)}
+        x, y = (np.concatenate([np.asarray(c.values) for c in pairs.column(n).combine_chunks()]).tolist() for n in ("x", "y"))
         parent: dict[int, int] = {}
+        links: list[tuple[int, int]] = []
 
         def root(m: int) -> int:
             while parent.setdefault(m, m) != m:
                 parent[m] = m = parent[parent[m]]
             return m
 
-        for row in range(group.num_rows):
-            members, px, py = (np.asarray(group.column(c)[row].values) for c in ("members", "px", "py"))
-            for k, l in zip(members[px].tolist(), members[py].tolist(), strict=True):
-                if root(k) != root(l):
-                    x, y = held[k], held[l]
-                    if len(x) > len(y):
-                        x, y = y, x
-                    common = np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x)
-                    if 100 * common >= PERCENT * (len(x) + len(y) - common):
-                        parent[root(k)] = root(l)
-                        found.append((min(k, l), max(k, l)))
-        return pa.table({"x": pa.array([f[0] for f in found], pa.int64()), "y": pa.array([f[1] for f in found], pa.int64())})
-
-    full = groups.select(F.col("i").alias("fi"), F.col("a").alias("fa"), F.col("pair").alias("fp"), F.explode("members").alias("id")).join(sets, "id")
-    return groups.groupBy("i", "a", "pair").cogroup(full.groupBy("fi", "fa", "fp")).applyInArrow(check, "x long, y long")
-
-
-def texts_of(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """The documents of members. Most others are left out before texts are shuffled, by a broadcast of the members' hash buckets, BUCKETS at most."""
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).alias("_bucket")
-    buckets = members.select(bucket).distinct()
-    texts = docs.select("doc_id", "text", bucket).join(F.broadcast(buckets), "_bucket", "left_semi")
-    return texts.join(members, "doc_id", "left_semi")
+        for k, l in zip(x, y, strict=True):
+            if root(k) != root(l):
+                few, many = sorted((held[k], held[l]), key=len)
+                common = np.count_nonzero(many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few)
+                if 100 * common >= PERCENT * (len(few) + len(many) - common):
+                    parent[root(k)] = root(l)
+                    links.append((min(k, l), max(k, l)))
+        return pa.table({"x": pa.array([f[0] for f in links], pa.int64()), "y": pa.array([f[1] for f in links], pa.int64())})
 
+    members = found.select(F.col("bx").alias("mx"), F.col("by").alias("my"), F.explode("members").alias("id")).distinct()
+    return found.groupBy("bx", "by").cogroup(members.join(sets, "id").groupBy("mx", "my")).applyInArrow(check, "x long, y long")
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id reachable by links), kept (doc_id is component_id)."""
-    signed = written(signatures(docs), "signatures")
-    classes = signed.where("n_shingles > 0").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys"))
-    classes = written(classes, "classes")
-    spread = classes.select("rep", F.posexplode(F.slice("keys", 1, TABLES)).alias("i", "a"))
-    shared = spread.groupBy("i", "a").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    rows = spread.join(shared, ["i", "a"])
-    # the text that others were copied from has the commonest half keys, so it leads
-    rows = written(rows.drop("c").join(rows.groupBy("rep").agg(F.sum("c").alias("weight")), "rep"), "groups")
-    members = rows.select(F.col("rep").alias("doc_id")).distinct()
-    sets = written(shingle_sets(texts_of(docs, members)).dropDuplicates(["id"]), "sets")
-    near = written(classes.join(members.withColumnRenamed("doc_id", "rep"), "rep", "left_semi"), "near")
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents with ids, and those without any. Most others are left out before texts are shuffled, by a broadcast of hash buckets, BUCKETS at most."""
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).alias("_bucket")
+    buckets = ids.select(bucket).distinct()
+    texts = docs.where("doc_id is not null").select("doc_id", "text", bucket).join(F.broadcast(buckets), "_bucket", "left_semi")
+    return texts.join(ids, "doc_id", "left_semi").select("doc_id", "text")
+
+
+def linked(docs: DataFrame) -> DataFrame:
+    """row, doc_id, n_shingles, f1, f2 of each document, component (a number, equal for linked documents) and component_id."""
+    signed = signatures(docs)
+    classes = signed.where("n_shingles > 0").groupBy(*PRINT).agg(F.min("row").alias("rep"), F.min("doc_id").alias("low"), F.min_by(F.struct("halves", "more"), "row").alias("_k"))
+    classes = written(classes.select(*PRINT, "rep", "low", "_k.halves", "_k.more"), "classes")
+    rows = table_groups(classes)
+    # the text that others were copied from is in the most groups, so it leads
+    rows = written(rows, "groups")
+    rows = written(rows.join(rows.groupBy("rep").agg(F.count(F.lit(1)).alias("weight")), "rep"), "groups")
+    near = written(classes.join(rows.select("rep").distinct(), "rep", "left_semi"), "near")
+    ids = near.where("low is not null").select(F.col("low").alias("doc_id")).distinct()
+    texts = texts_of(docs, ids)
+    if not near.where("low is null").isEmpty():  # classes of rows without ids are found by their texts alone
+        texts = texts.unionByName(docs.where("doc_id is null").select("doc_id", "text"))
+    sets = shingle_sets(texts).join(near.select(*PRINT, F.col("rep").alias("id")), PRINT).select("id", "shingles")
+    sets = written(sets.dropDuplicates(["id"]), "sets")
     empty = rows.select(F.col("rep").alias("x"), F.col("rep").alias("y")).limit(0)
     links, comps = empty, empty.select(F.col("x").alias("id"), F.col("y").alias("comp"))
-    here = ["i", "a"]
-    led = None
+    tried, led = empty, None
     for _ in range(STAR_ROUNDS):
-        labelled = rows.join(comps, rows.rep == comps.id, "left").select(*here, "rep", "weight", F.coalesce("comp", "rep").alias("comp"))
-        choice = labelled if led is None else labelled.join(led, here).where("comp <> led")
+        labelled = rows.join(comps, rows.rep == comps.id, "left").select("key", "rep", "weight", F.coalesce("comp", "rep").alias("comp"))
+        choice = labelled if led is None else labelled.join(led, "key").where("comp <> led")
         central = F.struct("weight", -F.col("rep"))
-        lead = choice.groupBy(*here).agg(F.max_by("rep", central).alias("y"), F.max_by("comp", central).alias("cy"))
-        if led is None:
-            led = written(lead.select(*here, F.col("y").alias("hub")), "led")
-        pairs = labelled.join(lead, here).where("comp <> cy").select(F.least("rep", "y").alias("x"), F.greatest("rep", "y").alias("y")).distinct()
-        links = written(links.union(confirmed(agreeing(pairs, near), sets)), "links")
+        lead = written(choice.groupBy("key").agg(F.max_by("rep", central).alias("y"), F.max_by("comp", central).alias("cy")), "leaders")
+        pairs = labelled.join(lead, "key").where("comp <> cy").select(F.least("rep", "y").alias("x"), F.greatest("rep", "y").alias("y")).distinct()
+        pairs = written(agreeing(pairs.join(tried, ["x", "y"], "left_anti"), near), "pairs")
+        links, tried = written(links.union(confirmed(pairs, sets)), "links"), tried.union(pairs)
         comps = components(links)
-        led = led.join(comps, led.hub == comps.id, "left").select(*here, "hub", F.coalesce("comp", "hub").alias("led"))
-    labelled = rows.join(comps, rows.rep == comps.id, "left").select(*here, "rep", F.coalesce("comp", "rep").alias("comp"))
-    open_groups = labelled.groupBy(*here).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(*here)
-    rest = labelled.join(open_groups, here).join(near.select("rep", "n_shingles", "keys"), "rep")
-    found = written(blocks(rest), "pairs")
-    links = written(links.union(confirmed_blocks(found, sets)), "links")
+        hubs = lead.select("key", F.col("y").alias("hub")) if led is None else led.select("key", "hub")
+        led = hubs.join(comps, hubs.hub == comps.id, "left").select("key", "hub", F.coalesce("comp", "hub").alias("led"))
+    labelled = rows.join(comps, rows.rep == comps.id, "left").select("key", "table", "rep", F.coalesce("comp", "rep").alias("comp"))
+    open_groups = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    rest = labelled.join(open_groups, "key").join(near.select("rep", "n_shingles", "halves", "more"), "rep")
+    cells = 1 + (near.agg(F.sum("n_shingles")).first()[0] or 0) // CELL
+    found = written(blocks(rest, cells), "pairs")
+    links = written(links.union(confirmed_cells(found, sets)), "links")
     comps = components(links)
-    named = classes.join(comps, classes.rep == comps.id, "left").select("n_shingles", "f1", "f2", F.coalesce("comp", "rep").alias("_comp"))
-    out = signed.drop("keys").join(named, ["n_shingles", "f1", "f2"], "left")
-    component = F.coalesce("_comp", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    met = near.join(comps, near.rep == comps.id).select("rep", "low", "comp")
+    lows = met.groupBy("comp").agg(F.min("low").alias("_low"))
+    named = classes.select(*PRINT, "rep", "low").join(met.select("rep", "comp"), "rep", "left").join(lows, "comp", "left")
+    named = named.select(*PRINT, F.coalesce("comp", "rep").alias("component"), F.coalesce("_low", "low").alias("_low"))
+    out = signed.drop("halves", "more").join(named, PRINT, "left")
+    return out.select("row", "doc_id", *PRINT, F.coalesce("component", "row").alias("component"), F.when(F.col("n_shingles") > 0, F.col("_low")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least doc_id reachable by links), kept (doc_id is component_id)."""
+    return linked(docs).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs with one row of each component: one with its least doc_id, or any where no row has an id. Rows without shingles stay.
+
+    Ids that occur once are kept by id; only rows that repeat an id, or have none, are read again to be told apart.
+    """
+    found = written(linked(docs).withColumn("_kept", F.col("doc_id").eqNullSafe(F.col("component_id")) | (F.col("n_shingles") == 0)), "linked")
+    ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_c"), F.max("_kept").alias("_kept")).where("_kept")
+    once = docs.join(ids.where("_c = 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    again = ids.where("_c > 1").select("doc_id")
+    if again.isEmpty() and found.where("doc_id is null").isEmpty():
+        return once
+    rest = docs.join(again, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    text = docs.columns.index("text")
+    new = ["_n", "_f1", "_f2"]
+
+    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles_of = worker_shingles()
+        for batch in batches:
+            sets = [shingles_of(t.as_py()) for t in batch.column(text)]
+            two = np.array([fingerprint(s) for s in sets], np.int64).reshape(-1, 2)
+            columns = [batch.column(k) for k in range(batch.num_columns)] + [pa.array([len(s) for s in sets], pa.int64()), pa.array(two[:, 0]), pa.array(two[:, 1])]
+            yield pa.RecordBatch.from_arrays(columns, names=[*[f"c{k}" for k in range(batch.num_columns)], *new])
+
+    # columns go by number, so that names of docs can't clash
+    held = [StructField(f"c{k}", f.dataType) for k, f in enumerate(docs.schema.fields)]
+    told = rest.toDF(*[f.name for f in held]).mapInArrow(printed, StructType([*held, *[StructField(n, LongType()) for n in new]]))
+    sets = found.where("n_shingles > 0").select(F.col("n_shingles").alias("_n"), F.col("f1").alias("_f1"), F.col("f2").alias("_f2"), "component", "component_id").distinct()
+    own = F.col(f"c{docs.columns.index('doc_id')}").eqNullSafe(F.col("component_id"))
+    order = F.xxhash64(*[F.col(f.name) for f in held if not isinstance(f.dataType, MapType)])
+    first = told.join(sets, new).where(own).withColumn("_rank", F.row_number().over(Window.partitionBy("component").orderBy(order))).where("_rank = 1")
+    names = [F.col(f.name).alias(c) for f, c in zip(held, docs.columns, strict=True)]
+    return once.unionByName(first.select(*names)).unionByName(told.where("_n = 0").select(*names))

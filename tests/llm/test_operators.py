@@ -87,12 +87,29 @@ def test_near_duplicates(docs, none, monkeypatch):
                     label[b] = label[a]
                     changed = True
     want = {d: (len(sets[d]), label[d], d == label[d]) for d in sets}
-    for block in (near_dedup.BLOCK, 2):
+    for block, rounds in ((near_dedup.BLOCK, near_dedup.STAR_ROUNDS), (2, 0), (2, 2)):
         monkeypatch.setattr(near_dedup, "BLOCK", block)
-        monkeypatch.setattr(near_dedup, "STAR_ROUNDS", 2 if block > 2 else 0)  # blocks alone must do as well
+        monkeypatch.setattr(near_dedup, "CELL", near_dedup.CELL if block > 2 else 500)
+        monkeypatch.setattr(near_dedup, "STAR_ROUNDS", rounds)  # blocks alone must do as well
         rows = near_dedup.near_duplicates(docs).collect()
         assert len(rows) == len(corpus()) and {r.doc_id: tuple(r)[1:] for r in rows} == want
     assert near_dedup.near_duplicates(none).count() == 0
+    one = near_dedup.keep_one(docs)
+    assert one.columns == docs.columns and sorted(r.doc_id for r in one.collect()) == sorted(d for d, w in want.items() if w[2] for _ in range(1 if w[0] else sum(c[0] == d for c in corpus())))
+
+
+def test_near_duplicates_without_or_with_repeated_ids(spark):
+    r = random.Random(9)
+    text = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(60))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(7, a, 1), (7, b, 2), (3, b + " end", 3), (None, c, 4), (None, c, 4), (None, c + " end", 5), (None, d, 6), (9, d, 7), (None, None, 8), (11, e, 9), (11, e, 9)]
+    docs = spark.createDataFrame([(i, t, x, "mine", 0.25) for i, t, x in rows], "doc_id long, text string, component_id long, kept string, score double").repartition(3)
+    got = sorted((str(x.doc_id), x.n_shingles, str(x.component_id), x.kept) for x in near_dedup.near_duplicates(docs).collect())
+    assert got == sorted([("7", 56, "7", True), ("7", 56, "3", False), ("3", 57, "3", True), *[("None", 56, "None", False)] * 2, ("None", 57, "None", False), ("None", 56, "9", False), ("9", 56, "9", True), ("None", 0, "None", False), *[("11", 56, "11", True)] * 2])
+    one = near_dedup.keep_one(docs)
+    assert one.columns == docs.columns
+    kept = sorted(x.component_id for x in one.collect())
+    assert kept in ([1, 3, 4, 7, 8, 9], [1, 3, 5, 7, 8, 9]) and {(x.kept, x.score) for x in one.collect()} == {("mine", 0.25)}
 
 
 def test_components_follow_chains(spark):
