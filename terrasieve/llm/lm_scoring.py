@@ -5,11 +5,12 @@ predicts its class and, by a softmax over the class's members, the word itself;
 the members' counts over the whole corpus and learns what the context changes. Both factors are normalized, so a
 document's score is a sum of proper conditional log-probabilities, one for each word.
 
-The network is trained in numpy on windows of every document, for ROUNDS rounds: each partition trains a copy on one
-word in ROUNDS of its own texts, and copies are averaged in a tree; a word's own weights are averaged by how often each
-copy met the word, so a rare word's aren't thinned out by copies without it. The rounds' words are different ones, so every word
-of every text is a target once. Counts and windows grow with the documents; the model's size is fixed. Texts are cut
-into words once, and scored whole.
+The network is trained in numpy on windows of every document, for ROUNDS rounds: each shard of about SHARD words trains
+a copy on one word in ROUNDS of its own texts, and copies are averaged in a tree; a word's own weights are averaged by how
+often each copy met the word, so a rare word's aren't thinned out by copies without it. The rounds' words are different ones,
+so every word of every text is a target once. Within a class a step sets each target against the step's other targets of the
+class, each counted by one over its chance to be there, which estimates the softmax over all members; scores use the whole
+softmax. Counts and windows grow with the documents; the model's size is fixed. Texts are cut into words once, and scored whole.
 
 Defined results: null, empty and blank texts have no words, log_prob 0 and score 0; repeated rows count as often as
 they occur and get equal scores; an empty table gives an empty result; extra columns are not read.
@@ -29,13 +30,13 @@ from pyspark.sql import functions as F
 
 from terrasieve.llm.common import Known, written
 
-TOKENS = 1 << 16
+TOKENS = 1 << 15
 INPUTS = TOKENS
-CLASSES = 256
+CLASSES = 160
 FREQUENT = 40
 WINDOW = 2
-WIDTH = 12
-HIDDEN = 32
+WIDTH = 10
+HIDDEN = 24
 ROUNDS = 2
 #: Words a step: BATCH at first, an eighth of the words seen later, MOST_BATCH at most.
 BATCH = 512
@@ -58,6 +59,8 @@ CACHE_WORDS = 400_000
 FAN = 8
 #: A copy is averaged in so many slices, so tasks never hold whole copies together.
 SLICES = 16
+#: Words of a shard; it sets what copies weigh against the corpus: about 2 bytes a word and round.
+SHARD = 3_000_000
 
 
 class Tokens:
@@ -239,27 +242,29 @@ class Network:
             part = h[a : a + ROWS]
             g = part @ self.w2
             g += self.b2
-            g -= g.max(axis=1, keepdims=True)
+            g -= g.max()  # one for all: scores lie far closer together than float32's exponents reach
             np.exp(g, out=g)
-            g /= g.sum(axis=1, keepdims=True)
-            g[np.arange(len(g)), members.classes[tokens[a : a + ROWS]]] -= 1
-            gh[a : a + ROWS] = g @ self.w2.T
+            total = g.sum(axis=1, keepdims=True) + 1e-30
+            g[np.arange(len(g)), members.classes[tokens[a : a + ROWS]]] -= total[:, 0]
+            gh[a : a + ROWS] = (g @ self.w2.T) / total
+            part = part / total
             gw += part.T @ g
-            gb += g.sum(axis=0)
-        for rows, first, last, own in members.groups(tokens):
-            v, hr = self.v[first:last], h[rows]
+            gb += (1 / total[:, 0]) @ g
+        for rows, first, _last, own in members.groups(tokens):
+            here, mine = np.unique(own, return_inverse=True)
+            at, hr = first + here, h[rows]
+            v, prior = self.v[at], members.prior[at]
             p = hr @ v.T
-            p += members.prior[first:last]
-            p -= p.max(axis=1, keepdims=True)
+            p += prior - np.log(-np.expm1(-len(rows) * np.exp(prior)))
+            p -= p.max()
             np.exp(p, out=p)
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(rows)), own] -= 1
-            gh[rows] += p @ v
-            gv = p.T @ hr
-            total = self.v_sum[first:last]
-            total += np.einsum("ij,ij->i", gv, gv)[:, None] / HIDDEN
-            gv *= RATE_MEMBER / np.sqrt(total)
-            v -= gv
+            total = p.sum(axis=1, keepdims=True) + 1e-30
+            p[np.arange(len(rows)), mine] -= total[:, 0]
+            gh[rows] += (p @ v) / total
+            gv = p.T @ (hr / total)
+            total = self.v_sum[at] + np.einsum("ij,ij->i", gv, gv)[:, None] / HIDDEN
+            self.v_sum[at] = total
+            self.v[at] = v - gv * (RATE_MEMBER / np.sqrt(total))
         gh *= 1 - h * h
         gx = (gh @ self.w1.T).reshape(-1, WIDTH)
         rate = rate / len(h) * 8
@@ -277,9 +282,14 @@ class Network:
         np.add.at(self.v_met, members.place[tokens], 1)
 
     def met(self, seen: int) -> np.ndarray:
-        """How often each number of flat() was met: a word's own weights with the word, the others with every word."""
-        dense = self.w1.size + self.b1.size + self.w2.size + self.b2.size
-        return np.concatenate([np.repeat(self.e_met, WIDTH), np.full(dense, seen), np.repeat(self.v_met, HIDDEN)])
+        """How often each row of e, the dense layers and each row of v were met."""
+        return np.concatenate([self.e_met, [seen], self.v_met]).astype(np.float64)
+
+
+def spread_out(met: np.ndarray) -> np.ndarray:
+    """met() for each number of flat(): a word's own weights with the word, the others with every word."""
+    dense = 2 * WINDOW * WIDTH * HIDDEN + HIDDEN + HIDDEN * CLASSES + CLASSES
+    return np.repeat(met, np.concatenate([np.full(INPUTS + 1, WIDTH), [dense], np.full(TOKENS, HIDDEN)]))
 
 
 def contexts(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -310,6 +320,8 @@ def trained(docs: DataFrame, classes: np.ndarray, within: np.ndarray | None = No
     spark, docs = docs.sparkSession, tokenized(docs)
     if within is None:
         within = classes_of(counted(docs))[1]
+    words = docs.agg(F.coalesce(F.sum(F.length("_tokens")), F.lit(0))).first()[0] // 2
+    shards = 1 + words // SHARD
     held = spark.sparkContext.broadcast((classes, within))  # TOKENS numbers each
     flat = Network().flat()
     for turn in range(ROUNDS):
@@ -331,30 +343,29 @@ def trained(docs: DataFrame, classes: np.ndarray, within: np.ndarray | None = No
             if len(y):
                 net.step(c, y, members, RATE * min(len(y) / BATCH, 1))
                 seen += len(y)
-            met = net.met(seen).astype(np.float32)
-            for k, (w, m) in enumerate(zip(np.array_split(net.flat() * met, SLICES), np.array_split(met, SLICES), strict=True)):
-                if seen:  # counted with the first slice
-                    yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int64()), "seen": pa.array([0 if k else seen], pa.int64()), "weights": pa.array([w.tobytes()], pa.binary()), "met": pa.array([m.tobytes()], pa.binary())})
+            met = net.met(seen)
+            parts = np.array_split(net.flat() * spread_out(met).astype(np.float32), SLICES)
+            for k, part in enumerate([met, *parts] if seen else []):  # slice 0 holds the counts
+                yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int64()), "seen": pa.array([0 if k else seen], pa.int64()), "part": pa.array([part.tobytes()], pa.binary())})
 
         def added(rows: pa.Table) -> pa.Table:
-            total = {"slice": rows.column("slice")[:1], "seen": pa.array([sum(rows.column("seen").to_pylist())], pa.int64())}
-            for name in ("weights", "met"):
-                cells = rows.column(name).to_pylist()
-                total[name] = pa.array([sum(np.frombuffer(x, np.float32).astype(np.float64) for x in cells).astype(np.float32).tobytes()], pa.binary())
-            return pa.table(total)
-
-        copy = "slice long, seen long, weights binary, met binary"
-        copies = written(docs.select("_tokens").mapInArrow(train, copy).withColumn("part", F.spark_partition_id()), "copies")
-        n = copies.count() // SLICES
+            kind = np.float32 if rows.column("slice")[0].as_py() else np.float64
+            total = sum(np.frombuffer(x, kind).astype(np.float64) for x in rows.column("part").to_pylist()).astype(kind)
+            return pa.table({"slice": rows.column("slice")[:1], "seen": pa.array([sum(rows.column("seen").to_pylist())], pa.int64()), "part": pa.array([total.tobytes()], pa.binary())})
+
+        copy = "slice long, seen long, part binary"
+        copies = written(docs.select("_tokens").coalesce(shards).mapInArrow(train, copy).withColumn("copy", F.spark_partition_id()), "copies")
+        n = copies.where("slice = 0").count()
         while n > 1:  # about FAN copies of a slice meet in a task
             n = -(-n // FAN)
-            groups = copies.select("slice", "seen", "weights", "met", F.pmod(F.xxhash64("part"), F.lit(n)).alias("part"))
-            sums = groups.groupBy("part", "slice").applyInArrow(lambda key, rows: added(rows).append_column("part", pa.array([key[0].as_py()], pa.int64())), f"{copy}, part long")
+            groups = copies.select("slice", "seen", "part", F.pmod(F.xxhash64("copy"), F.lit(n)).alias("copy"))
+            sums = groups.groupBy("copy", "slice").applyInArrow(lambda key, rows: added(rows).append_column("copy", pa.array([key[0].as_py()], pa.int64())), f"{copy}, copy long")
             copies = written(sums, "sums")
-            n = copies.count() // SLICES
-        rows = copies.select("slice", "weights", "met").orderBy("slice").collect()  # SLICES rows at most
+            n = copies.where("slice = 0").count()
+        rows = copies.select("slice", "part").orderBy("slice").collect()  # SLICES + 1 rows at most
         if rows:
-            weights, met = (np.concatenate([np.frombuffer(r[c], np.float32) for r in rows]) for c in ("weights", "met"))
+            met = spread_out(np.frombuffer(rows[0]["part"], np.float64)).astype(np.float32)
+            weights = np.concatenate([np.frombuffer(r["part"], np.float32) for r in rows[1:]])
             flat = np.where(met > 0, weights / np.maximum(met, 1), flat).astype(np.float32)
     net = Network()
     net.take(flat)

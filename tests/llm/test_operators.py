@@ -302,11 +302,26 @@ def test_language_model(docs, none, spark):
     probe = spark.createDataFrame([(1, "red fox blue sky old man " * 9), (2, "fox red sky blue man old " * 9), (3, None), (4, " ")], "doc_id long, text string")
     got = {x.doc_id: x for x in lm_scoring.score(probe, flat, classes, within).collect()}
     assert got[1].score > got[2].score + 0.5 and got[3].n_words == 0 and got[3].log_prob == 0 and got[4].score == 0
-    # the sum of conditional log-probabilities, word by word
-    net, tokens = lm_scoring.Network(), lm_scoring.Tokens()("red fox blue")
+    # the sum of conditional log-probabilities over all words, word by word, in plain arithmetic
+    net = lm_scoring.Network()
     net.take(flat)
-    logp = net.forward(lm_scoring.contexts(tokens, np.arange(3)))[2]
-    assert np.allclose(np.exp(logp).sum(axis=1), 1, atol=1e-5)
+    order = np.lexsort((np.arange(lm_scoring.TOKENS), classes))
+    members = {c: order[classes[order] == c] for c in np.unique(classes)}
+    v = np.empty_like(net.v)
+    v[order] = net.v  # by bucket
+    log_softmax = lambda z: z - z.max() - np.log(np.exp(z - z.max()).sum())
+    for number, words in ((1, "red fox blue sky old man " * 9), (2, "fox red sky blue man old " * 9)):
+        t = lm_scoring.Tokens()(words)
+        total = 0.0
+        for k in range(len(t)):
+            seen = [t[j] if 0 <= j < len(t) else lm_scoring.INPUTS for j in (k - 2, k - 1, k + 1, k + 2)]
+            h = np.tanh(np.concatenate([net.e[j] for j in seen]).astype(float) @ net.w1 + net.b1)
+            h = np.rint(h * lm_scoring.FINE) / lm_scoring.FINE
+            own = members[classes[t[k]]]
+            by_class, by_member = log_softmax(h @ net.w2 + net.b2), log_softmax(v[own] @ h + within[own])
+            assert np.isclose(np.exp(by_class).sum(), 1) and np.isclose(np.exp(by_member).sum(), 1)
+            total += by_class[classes[t[k]]] + by_member[np.flatnonzero(own == t[k])[0]]
+        assert got[number].log_prob == pytest.approx(total, rel=1e-4) and got[number].n_words == len(t)
     rows = lm_scoring.digest(docs).collect()
     assert len(rows) == len(corpus()) and all(np.isfinite(x.score) for x in rows)
     assert lm_scoring.digest(none).count() == 0
