@@ -1,6 +1,7 @@
 """Each operator against a plain version on small tables with nulls, empty and long texts, ties, repeated rows, extra columns and no rows."""
 
 import collections
+import itertools
 import random
 import re
 import zlib
@@ -198,6 +199,48 @@ def test_url_filters(spark):
     assert url_filters.judge(pages.limit(0)).count() == 0
 
 
+def test_mined_url_rules_equal_brute_force(spark):
+    r = random.Random(12)
+    pick = lambda *x: r.choice(x)
+    urls = [f"http://{pick('a', 'b')}.{pick('shop', 'news', 'kids')}{r.randrange(3)}.{pick('net', 'com', 'org')}/{pick('fr', 'de', 'es')}/{pick('buy', 'read', 'top/x')}/{r.randrange(50)}{pick('', '.html')}" for _ in range(700)]
+    deep = ".".join(f"l{k}" for k in range(21)) + ".com"
+    urls += [f"http://{deep}/es/{k}" for k in range(60)] + ["http://" + "x." * 20000 + "org/de/buy"] * 2 + ["http://z.org/" + "p/" * 30000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(2)
+    tokens = {x.page_id: frozenset(x.t) for x in pages.select("page_id", url_filters.tokens_of(F.col("url"), url_filters.host_of(F.col("url")), url_filters.path_of(F.col("url"))).alias("t")).collect()}
+    assert all(len(t) < 300 for t in tokens.values())
+    got = {x.page_id: x for x in url_filters.judge(pages).collect()}
+    labelled = [(tokens[i], x.verdict) for i, x in got.items() if x.rule is not None]
+    least = int(np.ceil(url_filters.MIN_SUPPORT * len(labelled)))
+    places = collections.defaultdict(set)
+    for k, (t, _) in enumerate(labelled):
+        for x in t:
+            places[x].add(k)
+    places = {t: frozenset(p) for t, p in places.items() if len(p) >= least}
+    half = lambda t: int(np.log2(len(places[t])))
+    dropped = {"h:" + t[2:].split(".", 1)[1] for t in places if t.startswith("h:") and "." in t and half(t) == half("h:" + t[2:].split(".", 1)[1])}
+    stands = {}
+    for t in sorted(set(places) - dropped, key=lambda t: (len(t), t)):
+        stands[places[t]] = t
+    chosen = set(stands.values())
+    counts, right = collections.Counter(), collections.Counter()
+    for t, v in labelled:
+        few = sorted(t & chosen)
+        assert len(few) < 16
+        for k in range(1, len(few) + 1):
+            for c in itertools.combinations(few, k):
+                counts[c] += 1
+                right[c, v] += 1
+    rules = {(c, v): n / counts[c] for (c, v), n in right.items() if n >= least and n / counts[c] >= url_filters.MIN_CONFIDENCE}
+    rules = {(c, v): sure for (c, v), sure in rules.items() if not any(set(o) < set(c) and w == v and s >= sure for (o, w), s in rules.items())}
+    assert len(rules) > 5
+    for i, x in got.items():
+        if x.rule is None:
+            fits = [(sure, right[c, v] / len(labelled), " ".join(c), v) for (c, v), sure in rules.items() if tokens[i] >= set(c)]
+            want = max(fits) if fits else (None, None, None, "allow")
+            assert (x.verdict, x.evidence) == (want[3], want[2]) and (x.confidence is None) == (not fits)
+    assert len({x.verdict for x in got.values() if x.rule is None}) == 2
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "bot", None), (1, 1, "bot", None), (1, 2, None, "x" * 5000), (None, 0, "user", ""), (2, 5, "user", "é")]
     conversations = spark.createDataFrame([(*r, 9) for r in rows], "conv_id long, turn long, role string, text string, start long")
@@ -224,8 +267,10 @@ def test_top_k(spark, monkeypatch):
     vectors = [(centers[i % 6] + 0.2 * r.standard_normal(8)).tolist() for i in range(900)] + [[0.5] * 8] * 120 + [[0.0] * 8] * 3 + [[0.1] * 3]
     vectors += [None, [1.0, None] + [0.0] * 6, [float("nan")] + [0.0] * 7, [float("inf")] + [0.0] * 7]
     table = spark.createDataFrame([(i, v, 7) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>, rank int")
-    for size in (top_k.BLOCK, 100):
+    for size, pivots in ((top_k.BLOCK, 256), (100, 256), (30, 2)):  # the last cuts cells twice
         monkeypatch.setattr(top_k, "QUERY_BLOCK", size)
+        monkeypatch.setattr(top_k, "MOST_PIVOTS", pivots)
+        monkeypatch.setattr(top_k, "QUERY_LEAF", 8)
         got = collections.defaultdict(list)
         for x in top_k.top_k(table, block=size).orderBy("query_id", "rank").collect():
             got[x.query_id].append((x.vec_id, x.score))
@@ -236,6 +281,9 @@ def test_top_k(spark, monkeypatch):
             best = np.lexsort((np.arange(1024), -s))[:20]
             assert got[q] == [(int(b), int(s[b])) for b in best]
         assert set(got) == set(range(0, 1024, 20))
+    empty = spark.createDataFrame([(i, [], 1) for i in range(41)] + [(41, [1.0], 1)], "vec_id long, embedding array<float>, rank int")
+    got = top_k.top_k(empty, k=2).orderBy("query_id", "rank").collect()
+    assert [(x.query_id, x.vec_id, x.score) for x in got] == [(0, 1, 0), (0, 2, 0), (20, 0, 0), (20, 1, 0), (40, 0, 0), (40, 1, 0)]
     assert top_k.top_k(table.limit(0)).count() == 0
     few = table.where("vec_id in (0, 20, 40)")
     assert top_k.top_k(few).count() == 6
