@@ -38,6 +38,13 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, upper, upper.lower())
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, behind as many underscores as it takes to be no column of df."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir. Where that is unset, a temporary one for a session on this machine alone."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -132,10 +139,11 @@ def fold_of(doc_id: Column, folds: int) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, trained_on: Column, rows: int) -> DataFrame:
     """doc_id, text, y of at most rows labelled documents (those with the least hash of their id) that trained_on admits.
 
-    labels must have doc_id; only labels 0 and 1 count, and a document labelled twice counts once, with the larger label.
+    labels must have doc_id; only labels 0 and 1 count, and a document labelled twice counts once, with the larger label. Of rows
+    that repeat a doc_id the least text counts.
     """
     chosen = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & trained_on).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     chosen = written(chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "sample")
     # at most rows ids and labels
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    return written(found.dropDuplicates(["doc_id"]), "labelled")
+    return written(found.groupBy("doc_id", "y").agg(F.min("text").alias("text")), "labelled")

@@ -5,13 +5,14 @@ each document the words before it, and the source is cut at its exact budget; a
 whole epochs first. Everything is built-in column functions.
 
 Defined results: a null source is a source of its own and comes last; null and empty texts have size 0 and are taken
-0 words; a source of only such texts has target 0; repeated rows are documents of their own; an empty table gives an
-empty result. The place depends on doc_id and seed alone, so reruns agree.
+0 words; a source of only such texts has target 0; repeated rows are documents of their own; very long texts are sized
+whole; ties in place go by doc_id and size; extra columns are not read by mix() and returned unchanged by mixed_documents(); an
+empty table gives an empty result. The place depends on doc_id and seed alone, so reruns agree.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrasieve.llm.common import prefix_sums, words_of, written
@@ -83,18 +84,33 @@ def digest(docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents as often as the mix takes them: whole epochs, and once more where the cut leaves at least half of the document.
 
-    Columns are those of docs; repeated copies are equal rows. Texts stay whole.
+    Columns are those of docs, whatever their names; repeated copies are equal rows. Texts stay whole. Of rows with one doc_id,
+    source and size, each is taken as often as its own place says; only rows at a source's cut can differ in that.
     """
     counted = mix(docs, **options)
     again = (2 * (F.col("taken") - F.col("epochs") * F.col("size")) >= F.col("size")) & (F.col("size") > 0)
     times = (F.col("epochs") + again.cast("long")).alias("_times")
-    # rows that repeat doc_id have one number each on either side, so each meets its own
-    chosen = counted.select(F.col("doc_id").alias("_id"), source_key(F.col("source")).alias("_src"), F.col("size").alias("_size"), times)
-    chosen = chosen.groupBy("_id", "_src", "_size").agg(F.max("_times").alias("_times"))
-    keyed = docs.withColumn("_key", source_key(F.col("source"))).withColumn("_n", F.size(words_of(F.col("text"))).cast("long"))
-    joined = keyed.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_src")) & (F.col("_n") == F.col("_size")))
-    copies = joined.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
-    return copies.select(*docs.columns)
+    key = ["_id", "_src", "_size"]
+    rows = counted.select(F.col("doc_id").alias("_id"), source_key(F.col("source")).alias("_src"), F.col("size").alias("_size"), times)
+    chosen = rows.groupBy(*key).agg(F.min("_times").alias("_lo"), F.max("_times").alias("_hi"), F.count(F.lit(1)).alias("_rows"), F.sum("_times").alias("_sum"))
+    chosen = written(chosen, "times")
+    held = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    doc_id, source, text = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "source", "text"))
+
+    def joined(some: DataFrame, of: DataFrame) -> DataFrame:
+        sized = some.withColumn("_key", source_key(source)).withColumn("_n", F.size(words_of(text)).cast("long"))
+        return sized.join(of, doc_id.eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_src")) & (F.col("_n") == F.col("_size")))
+
+    out = joined(held, chosen.where("_lo = _hi").select(*key, F.col("_lo").alias("_times")))
+    cut = written(chosen.where("_lo < _hi"), "cut")  # at most one for each source
+    if not cut.isEmpty():
+        near = held.join(cut.select("_id").distinct(), doc_id.eqNullSafe(F.col("_id")), "left_semi")
+        rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(text)))
+        most = F.col("_sum") - F.col("_lo") * F.col("_rows")  # rows that are taken once more, as _hi is _lo + 1
+        edge = joined(near, cut).withColumn("_times", F.col("_lo") + (rank <= most).cast("long"))
+        out = out.unionByName(edge.select(*out.columns))
+    copies = out.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
+    return copies.select(*held.columns).toDF(*docs.columns)
 
 
 ORACLE_SQL = """

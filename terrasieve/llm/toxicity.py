@@ -1,7 +1,8 @@
 """Toxicity by the nearest labelled examples.
 
 Terms are beginnings of lower-case words, so inflected and compound forms meet; those that go with the label (a
-chi-squared test on the sample) make up the vocabulary. A document's nearest examples by exact TF-IDF cosine come from a block-max inverted index: blocks
+chi-squared test on the sample) make up the vocabulary, without a limit to their number. Over all terms the nearest texts are those on the
+same subject, toxic or not, and the score is far worse (README). A document's nearest examples by exact TF-IDF cosine come from a block-max inverted index: blocks
 of examples are visited by falling upper bound until none can still hold a nearer one. The examples vote with their
 cosine as weight; an isotonic curve, fitted on the examples' own votes with each left out, calibrates the vote. The
 nearest examples and the matching terms are the evidence.
@@ -9,7 +10,8 @@ nearest examples and the matching terms are the evidence.
 At most SAMPLE_ROWS labelled documents are used for fitting; all texts are scored, whole.
 
 Defined results: texts without a term of the vocabulary (null and empty ones too) get the share of label 1 among such
-examples; ties in cosine go to the smaller doc_id; without labels of both classes all scores are the share of label 1
+examples, and an example without one is no neighbour of any text, as its cosine is 0; ties in cosine go to the smaller doc_id; of
+labelled rows that repeat a doc_id the least text counts; very long texts are scored whole; without labels of both classes all scores are the share of label 1
 (0 without any); repeated rows get equal scores; an empty table gives an empty result; extra columns are not read.
 """
 
@@ -29,7 +31,6 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from terrasieve.llm.common import Known, fold_of, labelled_sample
 
 SAMPLE_ROWS = 8000
-VOCABULARY = 4096
 MIN_DOCUMENTS = 4
 CHI_SQUARED = 20.0
 #: Lengths of the beginnings of words that are terms.
@@ -67,7 +68,7 @@ def stem_counts(sample: DataFrame) -> DataFrame:
     return sample.select("y", "text").mapInArrow(read, "term string, a long, df long")
 
 
-def telling_terms(counts: DataFrame, n: int, positive: int, most: int = VOCABULARY) -> list[tuple[str, int]]:
+def telling_terms(counts: DataFrame, n: int, positive: int) -> list[tuple[str, int]]:
     """(term, documents) of terms that occur more in label 1 than chance explains, the most telling first.
 
     Of stems that begin with one another only the most telling stays, so a word has one term at most.
@@ -76,7 +77,7 @@ def telling_terms(counts: DataFrame, n: int, positive: int, most: int = VOCABULA
     expected = F.col("df") * positive / n
     spread = expected * (1 - positive / n) * (1 - F.col("df") / n) * n / max(n - 1, 1)
     chi = counted.where(F.col("a") > expected).withColumn("chi", (F.col("a") - expected) ** 2 / F.greatest(spread, F.lit(1e-9)))
-    found = chi.where(F.col("chi") >= CHI_SQUARED).orderBy(F.desc("chi"), F.desc(F.length("term")), "term").limit(most).collect()
+    found = chi.where(F.col("chi") >= CHI_SQUARED).orderBy(F.desc("chi"), F.desc(F.length("term")), "term").collect()  # stems of SAMPLE_ROWS documents at most
     chosen, prefixes = {}, set()
     for r in found:
         term = r["term"]
@@ -201,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, trained_on, rows: int
         index.empty = positive / n if n else 0.0
         return index
     chosen = telling_terms(stem_counts(sample), n, positive)
-    found = example_terms(sample, [t for t, _ in chosen]).orderBy("doc_id").collect()  # SAMPLE_ROWS documents with VOCABULARY terms at most
+    found = example_terms(sample, [t for t, _ in chosen]).orderBy("doc_id").collect()  # SAMPLE_ROWS documents at most
     index = Index(chosen, n, [(r["doc_id"], r["y"], list(zip(r["terms"], r["tf"], strict=True))) for r in found])
     index.empty = float((positive - index.y.sum() + 0.0) / max(n - len(index.y), 1))
     if len(index.y):
@@ -232,7 +233,7 @@ class Judge:
 
 def score(docs: DataFrame, index: Index) -> DataFrame:
     """doc_id, score, neighbours (the nearest examples' ids), terms (the vocabulary's terms found)."""
-    held = docs.sparkSession.sparkContext.broadcast(index)  # bounded by SAMPLE_ROWS and VOCABULARY
+    held = docs.sparkSession.sparkContext.broadcast(index)  # bounded by SAMPLE_ROWS
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(held.value)
@@ -245,19 +246,18 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(read, "doc_id long, score double, neighbours array<long>, terms array<string>")
 
 
-def scored(docs: DataFrame, index: Index) -> DataFrame:
-    """docs with score, replacing a column of that name; each row keeps its own, so repeated ids don't matter."""
+def scored(docs: DataFrame, index: Index, name: str = "score") -> DataFrame:
+    """docs with its score in a last column called name; each row keeps its own, so repeated ids don't matter."""
     held = docs.sparkSession.sparkContext.broadcast(index)
-    docs = docs.drop("score")
     text = docs.columns.index("text")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(held.value)
         for batch in batches:
             scores = pa.array([judge(t.as_py())[0] for t in batch.column(text)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(read, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    return docs.mapInArrow(read, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def digest(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, threshold: float = 0.7) -> DataFrame:

@@ -1,41 +1,156 @@
-"""The pipeline's stages: columns, order, what they drop, and run() against its stages."""
+"""The whole pipeline against a version in plain Python, and its stages on awkward tables."""
 
+import collections
+import hashlib
+import math
 import random
+import re
+import zlib
+
+import numpy as np
 
 import corpus_pipeline
+from terrasieve.llm import packing
+from terrasieve.llm.queries import word_tokenizer
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+TOXIC = ("scumbag", "moron")
 
 
-def test_stages(spark, tmp_path):
+def rows_and_labels():
     r = random.Random(2)
     words = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
     text = lambda n=80: " ".join(r.choice(words) for _ in range(n))
     rows, labels = [], []
     for i in range(300):
         toxic = i % 6 == 0
-        rows.append((i, text() + (" scumbag moron" * 2 if toxic else "")))
+        rows.append((i, text() + (f" {' '.join(TOXIC)}" * 2 if toxic else "")))
         labels.append((i, 1, int(toxic)))
     clean = rows[1][1]
-    rows += [(300, clean), (301, clean + " tail"), (302, None), (303, ""), (304, "too short"), (305, "A***! B%%% " * 60)]
-    docs = spark.createDataFrame([(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    docs.write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows += [(300, clean), (301, clean + " tail"), (302, None), (303, ""), (304, "too short"), (305, "A***! B%%% " * 60), (306, " ".join(r.choice(words) for _ in range(20000)))]
+    return [(i, t, "en", [f"s{i % 3}", None][i % 7 == 0], len(t or "")) for i, t in rows], labels
+
+
+def stored(spark, folder, rows, labels, schema=SCHEMA):
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return spark.read.parquet(f"{folder}/documents.parquet")
+
+
+def well_made(text):
+    """The quality rules in plain Python."""
+    t = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    seen = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+    repeated = len({j for i in range(len(w) - 2) if seen[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)})
+    chars, lines = sum(map(len, w)), [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return not (
+        len(w) < 50 or 100 * repeated > 50 * len(w) or 10 * sum(t.count(c) for c in "#*$%&|<>") > len(w) or 4 * t.count("!") > len(w) or 10 * sum(c.isupper() for c in t) > 3 * chars
+        or 10 * sum(c.isalpha() for c in t) < 6 * chars or 2 * (len(lines) - len(set(lines))) > len(lines) or chars < 2 * len(w) or chars > 15 * len(w)
+    )
+
+
+def one_of_each(rows):
+    sets = []
+    for row in rows:
+        w = row[1].lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    label = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = [new if x == old else x for x in label]
+    least = {}
+    for row, x in zip(rows, label, strict=True):
+        least[x] = min(least.get(x, row), row, key=lambda q: q[0])
+    return list(least.values())
+
+
+def mixed(rows):
+    key = lambda s: (s is None, s or "")
+    size, sizes = lambda row: len(row[1].split()), collections.Counter()
+    for row in rows:
+        sizes[row[3]] += size(row)
+    order = sorted(sizes, key=key)
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    target, free, total = {}, set(order), 1.5 * sum(sizes.values())
+    while free:
+        level = (total - sum(target.values())) / sum(weight[s] for s in free)
+        full = {s for s in free if level * weight[s] >= 2 * sizes[s]}
+        if not full:
+            break
+        target |= {s: 2.0 * sizes[s] for s in full}
+        free -= full
+    target |= {s: level * weight[s] for s in free}
+    out = []
+    for s in order:
+        budget, at = math.floor(target[s] + 0.5), 0
+        epochs, rest = divmod(budget, sizes[s])
+        for row in sorted((q for q in rows if q[3] == s), key=lambda q: (hashlib.md5(f"0:{q[0]}".encode()).hexdigest(), q[0])):
+            part = min(max(rest - at, 0), size(row))
+            out += [row] * (epochs + (2 * part >= size(row)))
+            at += size(row)
+    return out
+
+
+def test_run_equals_a_plain_version(spark, tmp_path):
+    rows, labels = rows_and_labels()
+    docs = stored(spark, tmp_path, rows, labels)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "quality_rules", "near_dedup", "source_mixing", "packing"]
-    now, kept = docs, {}
+    want = {"toxicity": [q for q in rows if TOXIC[0] not in (q[1] or "")]}
+    want["quality_rules"] = [q for q in want["toxicity"] if well_made(q[1])]
+    want["near_dedup"] = one_of_each(want["quality_rules"])
+    want["source_mixing"] = mixed(want["near_dedup"])
+    assert len(want["near_dedup"]) < len(want["quality_rules"]) < len(want["toxicity"]) < len(rows) and len(want["source_mixing"]) > len(want["near_dedup"])
+    now = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
         now = stage(spark, now, str(tmp_path)).cache()
         assert now.columns == docs.columns
-        kept[name] = {x.doc_id for x in now.select("doc_id").collect()}
-    ids = {i for i, _ in rows}
-    assert kept["toxicity"] == ids - {i for i in range(300) if i % 6 == 0}
-    assert kept["quality_rules"] == kept["toxicity"] - {302, 303, 304, 305}
-    assert kept["near_dedup"] == kept["quality_rules"] - {300, 301}
-    assert kept["source_mixing"] <= kept["near_dedup"] and now.count() > len(kept["near_dedup"])
-    packed = corpus_pipeline.run(spark, str(tmp_path))
-    assert sorted(packed.select("doc_id", "piece", "length", "ids_crc32").collect()) == sorted(corpus_pipeline.pack_sequences(spark, now, str(tmp_path)).select("doc_id", "piece", "length", "ids_crc32").collect())
+        assert collections.Counter(map(tuple, now.collect())) == collections.Counter(want[name])
+    from tokenizers import Tokenizer
+
+    t, pieces = Tokenizer.from_file(word_tokenizer()), collections.Counter()
+    for row in want["source_mixing"]:
+        ids = np.array(t.encode(row[1], add_special_tokens=False).ids + [0], "<u4")
+        for k, at in enumerate(range(0, len(ids), packing.MAX_TOKENS)):
+            pieces[row[0], k, at, len(ids[at : at + packing.MAX_TOKENS]), zlib.crc32(ids[at : at + packing.MAX_TOKENS].tobytes())] += 1
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert collections.Counter(tuple(x)[:5] for x in packed) == pieces
+    ends = collections.defaultdict(list)
+    for x in packed:
+        ends[x.sequence_id].append((x.offset, x.length))
+    assert all(sum(n for _, n in sorted(p)[:i]) == o for p in ends.values() for i, (o, _) in enumerate(sorted(p))) and all(sum(n for _, n in p) <= packing.MAX_TOKENS for p in ends.values())
+
+
+def test_repeated_rows_null_ids_and_clashing_columns(spark, tmp_path):
+    r = random.Random(4)
+    text = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(80))
+    a, b, c = text(), text(), text()
+    more = (0.25, "mine", 7, "k")
+    rows = [(i, t, "en", "s", 1, *more) for i, t in [(1, a), (1, a), (None, b), (None, b), (2, c), (2, text()), (None, None)]]
+    names = "doc_id long, text string, lang string, source string, n_chars long, score double, kept string, _times long, _key string"
+    docs = stored(spark, tmp_path, rows, [(1, 1, 0)], names)
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        now = stage(spark, now, str(tmp_path)).cache()
+        assert now.columns == docs.columns and all(tuple(x)[5:] == more for x in now.collect())
+        if name == "near_dedup":
+            assert sorted((str(x.doc_id), x.text) for x in now.collect()) == sorted([("1", a), ("None", b), ("2", c), ("2", rows[5][1])])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_mixing_takes_repeated_rows_exactly(spark):
+    from terrasieve.llm import mixing
+
+    docs = spark.createDataFrame([(5, "w " * 80, "en", "s", 1)] * 2 + [(6, "v " * 10, "en", "t", 1)], SCHEMA)
+    taken = {}
+    for x in mixing.mix(docs).collect():
+        taken.setdefault(x.doc_id, []).append(x.taken)
+    want = sum(n // 80 + (2 * (n % 80) >= 80) for n in taken[5])
+    assert mixing.mixed_documents(docs).where("doc_id = 5").count() == want and sorted(taken[5])[0] < sorted(taken[5])[1]
 
 
 def test_empty(spark, tmp_path):
-    empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
-    empty.write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stored(spark, tmp_path, [], [])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
