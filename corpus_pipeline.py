@@ -4,7 +4,9 @@ Each stage takes (spark, docs, sf_dir), where docs has the columns of documents,
 columns; the last returns packed pieces. run() writes each stage's result as a Parquet table in the shared folder and
 reads it back for the next, so no stage is computed twice and a lost executor costs one stage at most.
 
-All stages take null texts and empty tables; a null text has no words, so the quality rules reject it.
+All stages take null texts and empty tables; a null text has no words, so the quality rules reject it. Rows that repeat a
+doc_id, or have none, are documents of their own until near-dedup, which keeps one row of equal or nearly equal ones. Columns beyond
+those of documents pass through unchanged up to packing, whatever their names. Very long texts are handled whole.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrasieve.llm import mixing, near_dedup, packing, quality_rules, toxicity
-from terrasieve.llm.common import fold_of, table, written
+from terrasieve.llm.common import fold_of, free_name, table, written
 from terrasieve.llm.queries import word_tokenizer
 
 TOXIC = 0.7
@@ -22,17 +24,19 @@ TOXIC = 0.7
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below TOXIC."""
     index = toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic", fold_of(F.col("doc_id"), 3) != 1)
-    return toxicity.scored(docs, index).where(F.col("score") < TOXIC).select(*docs.columns)
+    name = free_name(docs, "toxicity")
+    return toxicity.scored(docs, index, name).where(F.col(name) < TOXIC).drop(name)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
-    return quality_rules.judge(docs).where("kept").select(*docs.columns)
+    rules = quality_rules.plan(docs, quality_rules.BASE_RULES + quality_rules.STYLE_RULES)
+    return docs.where(quality_rules.first_failed(rules).isNull())
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near-duplicates."""
-    return docs.join(near_dedup.near_duplicates(docs).where("kept").select("doc_id").distinct(), "doc_id", "left_semi")
+    """One row of each group of near-duplicates, one with its least id."""
+    return near_dedup.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +57,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: SQL can't express the toxicity, near-duplicate and packing stages; tests hold run() against a plain version.
+#: SQL can't express the toxicity and packing stages; tests/llm/test_pipeline.py holds run() against a plain version.
 ORACLE_SQL = None
 
 
