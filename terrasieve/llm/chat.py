@@ -5,14 +5,17 @@ as named users; only the assistant's text is in the loss mask. A row holds one t
 characters' place in the whole rendering, so a conversation of any length is spread over many tasks; render() joins the
 turns. Everything is built-in column functions.
 
+A marker inside a text or name can't pass for one of the rendering's: "<|" is rendered as "< |", and "|>" in a name as "| >".
+
 Defined results: a null role is the participant "unknown", a null text is empty, null conversation ids form one
-conversation, equal turns are ordered by role and text, equal rows are turns of their own; an empty table gives an
-empty result. Very long turns are rendered whole.
+conversation (an empty id is another one), turns without a number come first, equal turns are ordered by role and text, equal rows
+are turns of their own; "system" is a participant like others, with a rendering of its own; extra columns are not read; an empty
+table gives an empty result. Very long turns are rendered whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrasieve.llm.common import prefix_sums
@@ -21,17 +24,21 @@ ASSISTANT = "<|assistant|>\n"
 END = "<|end|>\n"
 
 
+def harmless(text: Column) -> Column:
+    return F.replace(text, F.lit("<|"), F.lit("< |"))
+
+
 def turns(conversations: DataFrame) -> DataFrame:
     """conv_id, perspective, turn, speaker, role ("assistant" or "user"), segment, start, end (characters), mask_start, mask_end.
 
     The mask covers the text and the end mark of the assistant's turns; elsewhere it is empty (its end is its start).
     """
     read = conversations.select(
-        "conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("speaker"), F.coalesce("text", F.lit("")).alias("_text")
-    ).withColumn("_conv", F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
+        "conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("speaker"), harmless(F.coalesce("text", F.lit(""))).alias("_text")
+    ).withColumn("_conv", F.coalesce(F.concat(F.lit("v"), F.col("conv_id").cast("string")), F.lit("w")))
     people = read.select("_conv", F.col("speaker").alias("perspective")).distinct()
     own = F.col("speaker") == F.col("perspective")
-    header = F.when(own, ASSISTANT).otherwise(F.concat(F.lit("<|user name="), "speaker", F.lit("|>\n")))
+    header = F.when(own, ASSISTANT).otherwise(F.concat(F.lit("<|user name="), F.replace(harmless(F.col("speaker")), F.lit("|>"), F.lit("| >")), F.lit("|>\n")))
     each = read.join(people, "_conv").withColumn("_head", F.length(header).cast("long"))
     each = each.withColumn("segment", F.concat(header, "_text", F.lit(END))).withColumn("_size", F.length("segment").cast("long"))
     each = each.withColumn("_key", F.concat_ws("\x00", "_conv", "perspective"))
@@ -57,14 +64,14 @@ def render(placed: DataFrame) -> DataFrame:
 
 ORACLE_SQL = r"""
 WITH r AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS body, coalesce(CAST(conv_id AS VARCHAR), '') AS c
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS body, coalesce('v' || CAST(conv_id AS VARCHAR), 'w') AS c
   FROM conversations),
 p AS (SELECT DISTINCT c, speaker AS perspective FROM r),
 e AS (
-  SELECT *, CASE WHEN speaker = perspective THEN '<|assistant|>' || chr(10) ELSE '<|user name=' || speaker || '|>' || chr(10) END AS head FROM r JOIN p USING (c)),
+  SELECT *, CASE WHEN speaker = perspective THEN '<|assistant|>' || chr(10) ELSE '<|user name=' || replace(replace(speaker, '<|', '< |'), '|>', '| >') || '|>' || chr(10) END AS head FROM r JOIN p USING (c)),
 s AS (SELECT *, head || body || '<|end|>' || chr(10) AS segment FROM e),
 q AS (
-  SELECT *, CAST(coalesce(sum(length(segment)) OVER (PARTITION BY c, perspective ORDER BY turn, speaker, body ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+  SELECT *, CAST(coalesce(sum(length(segment)) OVER (PARTITION BY c, perspective ORDER BY turn NULLS FIRST, speaker, body ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
   FROM s)
 SELECT conv_id, perspective, turn, speaker, CASE WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role, segment, start,
        CAST(start + length(segment) AS BIGINT) AS "end",
