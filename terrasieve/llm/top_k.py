@@ -37,6 +37,8 @@ MOST_PIVOTS = 256
 LEAF = 256
 #: Leaves of query trees; a query block holds few queries unless the table is very large.
 QUERY_LEAF = 64
+#: A node whose next covers would hold fewer points than this on average is a leaf.
+FEW = 32
 #: Parts that a cell is cut into at a time, and cuts after which a hash cuts it (nearly equal points).
 PARTS, MOST_CUTS = 16, 10
 #: A cover's radius shrinks by this factor from level to level.
@@ -70,13 +72,16 @@ class CoverTree:
             self.radius.append(radius)
             self.first.append(len(queue))
             if len(members) > leaf and radius > 0:
-                left = np.arange(len(members))
+                left, covers = np.arange(len(members)), []
                 near, pick = distance <= radius * SHRINK, c
                 while True:
                     inside = left[near]
-                    queue.append((members[inside], int(np.flatnonzero(inside == pick)[0])))
+                    covers.append((members[inside], int(np.flatnonzero(inside == pick)[0])))
                     left = left[~near]
                     if not len(left):
+                        queue += covers
+                        break
+                    if len(covers) * FEW > len(members):  # points with no near ones: smaller covers would hold one or two each
                         break
                     # the point farthest from the center is the next cover's
                     pick = int(left[np.argmax(distance[left])])
@@ -134,6 +139,12 @@ def search(q: CoverTree, c: CoverTree, worst: np.ndarray, k: int = K) -> tuple[n
             if len(rows):
                 both = np.concatenate([scores[a + rows], new[rows]], axis=1)
                 names = np.concatenate([ids[a + rows], np.broadcast_to(c.ids[y:z], (len(rows), z - y))], axis=1)
+                # what can be among the k best, ties with the last one included
+                last = np.partition(both, both.shape[1] - k, axis=1)[:, both.shape[1] - k]
+                some = int((both >= last[:, None]).sum(axis=1).max())
+                if some < both.shape[1]:
+                    few = np.argpartition(-both, some - 1, axis=1)[:, :some]
+                    both, names = np.take_along_axis(both, few, 1), np.take_along_axis(names, few, 1)
                 best = np.lexsort((names, -both), axis=1)[:, :k]
                 scores[a + rows], ids[a + rows] = np.take_along_axis(both, best, 1), np.take_along_axis(names, best, 1)
                 kth[a + rows] = np.maximum(kth[a + rows], scores[a + rows, -1])
@@ -180,16 +191,15 @@ def dealt(rows: DataFrame, pivots: np.ndarray, size: int) -> DataFrame:
         done = small if done is None else done.unionByName(small)
         if large.isEmpty():
             break
-        big = left.join(large.drop("_n"), "block").withColumn("_w", number(F.col("v")))
+        big = left.join(large.withColumn("_parts", F.least(F.lit(PARTS), F.ceil(F.col("_n") / size))).drop("_n"), "block").withColumn("_w", number(F.col("v")))
         apart = minus("_w", "_p")
         far = big.groupBy("block").agg(F.max_by(apart, dot(apart, apart)).alias("_d"))
         along = big.drop("_p").join(far, "block").withColumn("_t", dot("_w", "_d"))
         shares = [k / PARTS for k in range(1, PARTS)]
         bounds = along.groupBy("block").agg(F.percentile_approx("_t", shares, 1000).alias("_b"), (dot(F.first("_d"), F.first("_d")) == 0).alias("_same"))
-        part = F.size(F.filter("_b", lambda b: b < F.col("_t")))
-        if cut > MOST_CUTS:
-            part = F.pmod(F.xxhash64("vec_id"), F.lit(PARTS))
-        part = F.when(F.col("_same"), F.pmod(F.xxhash64("vec_id"), F.lit(PARTS))).otherwise(part)
+        part = F.floor(F.size(F.filter("_b", lambda b: b < F.col("_t"))) * F.col("_parts") / PARTS)
+        by_hash = F.pmod(F.xxhash64("vec_id"), F.col("_parts"))
+        part = by_hash if cut > MOST_CUTS else F.when(F.col("_same"), by_hash).otherwise(part)
         left = along.join(bounds, "block").select("vec_id", "v", (F.col("block") * PARTS + part).alias("block"), F.lit(cut).alias("cuts"))
         left = written(left, "cells")
     else:

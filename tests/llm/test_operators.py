@@ -275,6 +275,7 @@ def test_top_k(spark, monkeypatch):
         monkeypatch.setattr(top_k, "QUERY_BLOCK", size)
         monkeypatch.setattr(top_k, "MOST_PIVOTS", pivots)
         monkeypatch.setattr(top_k, "QUERY_LEAF", 8)
+        monkeypatch.setattr(top_k, "FEW", 1 if pivots == 256 else 32)
         got = collections.defaultdict(list)
         for x in top_k.top_k(table, block=size).orderBy("query_id", "rank").collect():
             got[x.query_id].append((x.vec_id, x.score))
