@@ -48,6 +48,8 @@ ROWS = 2048
 #: Steps in 1 of embeddings and of other factors, all within LIMIT: float32 sums of their products are exact in any
 #: order, so equal texts get equal scores wherever they stand.
 COARSE, FINE, LIMIT = 64, 256, 3.99
+#: Scores within it are raised to e without a shift.
+REACH = 60.0
 #: Words of texts laid out together.
 SPAN = 1 << 20
 TOKENIZED = ["doc_id", "_tokens"]
@@ -212,14 +214,20 @@ class Network:
         z -= z.max(axis=1, keepdims=True)
         return x, h, z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
+    def classes_safe(self) -> bool:
+        """Whether no class's score can leave float32's exponents; hidden values lie within 1."""
+        return float((np.abs(self.w2).sum(axis=0) + np.abs(self.b2)).max()) < REACH
+
     def words(self, context: np.ndarray, tokens: np.ndarray, members: Members) -> np.ndarray:
         """Log-probability of each token given its context."""
         out, every = np.empty(len(tokens)), np.empty((len(tokens), HIDDEN), np.float32)
+        safe = self.classes_safe()
         for a in range(0, len(tokens), ROWS):
             h = every[a : a + ROWS] = self.hidden(context[a : a + ROWS])[1]
             z = h @ self.w2
             z += self.b2
-            z -= z.max(axis=1, keepdims=True)
+            if not safe:
+                z -= z.max(axis=1, keepdims=True)
             own = z[np.arange(len(z)), members.classes[tokens[a : a + ROWS]]]
             out[a : a + ROWS] = own - np.log(np.exp(z, out=z).sum(axis=1))
         return out + self.chosen(every, tokens, members)
@@ -227,10 +235,12 @@ class Network:
     def chosen(self, h: np.ndarray, tokens: np.ndarray, members: Members) -> np.ndarray:
         """Log-probability of each token given its class and context."""
         out = np.zeros(len(tokens), np.float32)
+        safe = float(np.abs(self.v).sum(axis=1).max()) < REACH - 20
         for rows, first, last, own in members.groups(tokens):
             z = h[rows] @ self.v[first:last].T
             z += members.prior[first:last]
-            z -= z.max(axis=1, keepdims=True)
+            if not safe:
+                z -= z.max(axis=1, keepdims=True)
             mine = z[np.arange(len(rows)), own]
             out[rows] = mine - np.log(np.exp(z, out=z).sum(axis=1))
         return out
@@ -238,11 +248,13 @@ class Network:
     def step(self, context: np.ndarray, tokens: np.ndarray, members: Members, rate: float) -> None:
         x, h = self.hidden(context)
         gh, gw, gb = np.empty_like(h), np.zeros_like(self.w2), np.zeros_like(self.b2)
+        safe = self.classes_safe()
         for a in range(0, len(h), ROWS):
             part = h[a : a + ROWS]
             g = part @ self.w2
             g += self.b2
-            g -= g.max()  # one for all: scores lie far closer together than float32's exponents reach
+            if not safe:
+                g -= g.max(axis=1, keepdims=True)
             np.exp(g, out=g)
             total = g.sum(axis=1, keepdims=True) + 1e-30
             g[np.arange(len(g)), members.classes[tokens[a : a + ROWS]]] -= total[:, 0]
@@ -250,13 +262,18 @@ class Network:
             part = part / total
             gw += part.T @ g
             gb += (1 / total[:, 0]) @ g
-        for rows, first, _last, own in members.groups(tokens):
-            here, mine = np.unique(own, return_inverse=True)
+        for rows, first, last, own in members.groups(tokens):
+            place = np.zeros(last - first, np.int64)
+            place[own] = 1
+            here = np.flatnonzero(place)
+            place[here] = np.arange(len(here))
+            mine = place[own]
             at, hr = first + here, h[rows]
             v, prior = self.v[at], members.prior[at]
             p = hr @ v.T
             p += prior - np.log(-np.expm1(-len(rows) * np.exp(prior)))
-            p -= p.max()
+            if np.abs(v).sum(axis=1).max() > REACH - 20:  # a prior over its chance to be there is at most e**20
+                p -= p.max(axis=1, keepdims=True)
             np.exp(p, out=p)
             total = p.sum(axis=1, keepdims=True) + 1e-30
             p[np.arange(len(rows)), mine] -= total[:, 0]
@@ -273,13 +290,13 @@ class Network:
         self.w1 -= rate * (x.T @ gh)
         self.b1 -= rate * gh.sum(axis=0)
         flat = context.ravel()
-        by = np.argsort(flat)
-        at, first = np.unique(flat[by], return_index=True)
-        ge = np.add.reduceat(gx[by], first, axis=0)
-        self.e_sum[at] += (ge * ge).mean(axis=1, keepdims=True)
-        self.e[at] -= RATE_INPUT * ge / np.sqrt(self.e_sum[at])
-        self.e_met[at] += np.diff(np.append(first, len(flat)))
-        np.add.at(self.v_met, members.place[tokens], 1)
+        ge = np.stack([np.bincount(flat, weights=gx[:, k], minlength=INPUTS + 1) for k in range(WIDTH)], axis=1).astype(np.float32)
+        self.e_sum += (ge * ge).mean(axis=1, keepdims=True)
+        ge /= np.sqrt(self.e_sum)
+        ge *= RATE_INPUT
+        self.e -= ge
+        self.e_met += np.bincount(flat, minlength=INPUTS + 1)
+        self.v_met += np.bincount(members.place[tokens], minlength=TOKENS)
 
     def met(self, seen: int) -> np.ndarray:
         """How often each row of e, the dense layers and each row of v were met."""
