@@ -32,9 +32,10 @@ def composite(pixels: DataFrame, keys: Sequence[str], bands: Sequence[str], meth
     return out if method == "mean" else any_band_rule(out, bands)
 
 
-def any_band_rule(pixels: DataFrame, bands: Sequence[str]) -> DataFrame:
-    """A pixel without one raw band is NoData in all."""
-    return pixels.withColumns(dict(zip(bands, all_or_none([F.col(b) for b in bands]), strict=True)))
+def any_band_rule(pixels: DataFrame, bands: Sequence[str], where: Column | None = None) -> DataFrame:
+    """A pixel without one raw band is NoData in all; only in the rows of where, if that is given."""
+    ruled = all_or_none([F.col(b) for b in bands])
+    return pixels.withColumns({b: v if where is None else F.when(where, v).otherwise(F.col(b)) for b, v in zip(bands, ruled, strict=True)})
 
 
 def apply_mask(pixels: DataFrame, bands: Sequence[str], keep: Column) -> DataFrame:

@@ -7,6 +7,7 @@ the executors.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 import numpy as np
@@ -20,7 +21,7 @@ from terrasieve.operators import clouds, composite, planner, resample
 from terrasieve.plans import grid, timeaxis
 from terrasieve.plans.spec import CubeSpec
 from terrasieve.sinks.store import Skeleton, create_zarr, fill_zarr
-from terrasieve.sources.catalog import within
+from terrasieve.sources.catalog import Provider, provider, within
 from terrasieve.sources.raster import open_npy, pixels_of, read_blocks
 
 PROBABILITIES = [f"p{k}" for k in range(4)]
@@ -57,10 +58,16 @@ def planned(tiles: list, area: tuple, crs: int, subtile: int, res: float = 10.0)
     return sorted(set(out))
 
 
-def read_bands(chosen: DataFrame, bands: list[str], subtile: int, opener: Callable) -> DataFrame:
-    """item_id, tile, band and block columns, for chosen (item_id, tile, assets, col_off, row_off)."""
-    each = F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.lit(C.S2_BANDS.get(b, 10) // 10).alias("factor")) for b in bands]))
-    asked = chosen.withColumn("_b", each).select("item_id", "tile", "col_off", "row_off", "_b.band", "_b.factor", F.col("assets")[F.col("_b.band")].alias("href")).where("href is not null")
+def read_bands(chosen: DataFrame, bands: list[str], subtile: int, opener: Callable, named: Provider) -> DataFrame:
+    """item_id, tile, band and block columns, for chosen (item_id, tile, assets, col_off, row_off); assets are named as the provider does.
+
+    A band without an asset is NoData; an item without any of the assets is an error, as its names must be another provider's.
+    """
+    assets = [F.col("assets")[named.asset(F.lit(b), None)] for b in bands]
+    lost = F.raise_error(F.concat(F.lit(f"no asset that {named.name} has for {bands} in item "), F.col("item_id").cast("string"))).cast("string")
+    first = F.coalesce(*assets, lost)
+    each = F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.lit(C.S2_BANDS.get(b, 10) // 10).alias("factor"), named.href(F.when(first.isNotNull(), a)).alias("href")) for b, a in zip(bands, assets, strict=True)]))
+    asked = chosen.withColumn("_b", each).select("item_id", "tile", "col_off", "row_off", "_b.band", "_b.factor", "_b.href").where("href is not null")
     blocks = read_blocks(asked.select("href", "col_off", "row_off", "factor").distinct(), subtile, opener)
     return asked.drop("factor").join(blocks, ["href", "col_off", "row_off"])
 
@@ -88,7 +95,7 @@ def sentinel2(spark: SparkSession, spec: CubeSpec, items: DataFrame, tiles: list
     plan = spark.createDataFrame(places, "tile string, epsg int, left double, top double, col_off long, row_off long")
     scenes = composite.first_items(items.where("collection = 'sentinel-2-l2a'").select("tile", "second", "item_id", "baseline", "assets"), ["tile", "second"], "item_id")
     chosen = scenes.join(F.broadcast(plan), "tile")  # one area's windows
-    blocks = read_bands(chosen.select("item_id", "tile", "assets", "col_off", "row_off"), bands, subtile, opener)
+    blocks = read_bands(chosen.select("item_id", "tile", "assets", "col_off", "row_off"), bands, subtile, opener, provider(spec.provider))
     raw = pixels_of(blocks, ["item_id", "tile", "band"]).join(scenes.select("item_id", "baseline"), "item_id")
     raw = raw.withColumn("value", pixels.no_data(pixels.harmonised(F.col("value"), F.col("baseline")))).drop("baseline")
     parts = [raw]
@@ -108,6 +115,8 @@ def sentinel2(spark: SparkSession, spec: CubeSpec, items: DataFrame, tiles: list
                 (F.get("k", F.lit(2)).cast("long") + here % subtile).alias("x"), (F.get("k", F.lit(3)).cast("long") + F.floor(here / subtile)).alias("y"), "value",
             )
         )
+    if spec.S2_nbar and c_factors is None:
+        warnings.warn("S2_nbar needs c_factors; reflectances stay unadjusted", stacklevel=2)
     if spec.S2_nbar and c_factors is not None:
         factors = c_factors.select("item_id", "band", "c")
         parts[0] = raw.join(factors, ["item_id", "band"], "left").withColumn("value", nbar.adjusted(F.col("value"), F.col("c"))).drop("c")
@@ -129,8 +138,13 @@ def sentinel2(spark: SparkSession, spec: CubeSpec, items: DataFrame, tiles: list
     keys = ["slot", "tx", "ty"]
     saved = list(bands)
     if spec.time_composite_freq is not None:
-        image = composite.composite(image, keys, masked, "mean") if spec.time_composite_method == "mean" else composite.any_band_rule(
-            image.groupBy(*keys).agg(*[composite.REDUCERS[spec.time_composite_method](b).cast("double").alias(b) for b in masked]), bands)
+        reduced = image.groupBy(*keys).agg(*[composite.REDUCERS[spec.time_composite_method](b).cast("double").alias(b) for b in masked])
+        if spec.time_composite_method == "mean":
+            # a slot of one acquisition is no composite: there the rule of single images holds
+            times = items.where("collection = 'sentinel-2-l2a'").join(plan.select("tile").distinct(), "tile", "left_semi").groupBy("slot").agg(F.countDistinct("second").alias("_times"))
+            image = composite.any_band_rule(reduced.join(times, "slot", "left"), bands, F.coalesce("_times", F.lit(1)) == 1).drop("_times")
+        else:
+            image = composite.any_band_rule(reduced, bands)
     else:
         image = composite.any_band_rule(image, bands)
         named = {C.SNOW_BAND: F.col("clear").cast("double")} if spec.S2_mask_snow else {}
@@ -157,7 +171,7 @@ def sentinel1(spark: SparkSession, spec: CubeSpec, items: DataFrame, scenes: lis
     plan = spark.createDataFrame(places, "tile string, epsg int, left double, top double, col_off long, row_off long")
     own = items.where("collection = 'sentinel-1-rtc'")
     chosen = own.withColumn("tile", F.col("item_id")).select("item_id", "tile", "assets").dropDuplicates(["item_id"]).join(F.broadcast(plan), "tile")
-    raw = pixels_of(read_bands(chosen, ["vv", "vh"], subtile, opener), ["item_id", "tile", "band"])
+    raw = pixels_of(read_bands(chosen, ["vv", "vh"], subtile, opener, provider(spec.provider)), ["item_id", "tile", "band"])
     warped = on_grid(raw, places, spec, shape, t).join(own.select("item_id", "slot", "orbit"), "item_id")
     named = warped.withColumn("band", pixels.s1_band(F.col("band"), F.col("orbit"))).where(F.col("band").isin(list(spec.S1_assets or ())))
     groups = named.groupBy("slot", "tx", "ty", "band")
@@ -174,7 +188,9 @@ def process(
 
     items: item_id, second, collection, tile, baseline, orbit, assets (map to hrefs) and a box in degrees (minx ...).
     tiles, and scenes for Sentinel-1 (tile is the item_id): tile, epsg and bounds in that system at 10 m.
-    c_factors: item_id, band, c. An area without scenes gives an empty cube.
+    c_factors: item_id, band, c. An area without scenes gives an empty cube. Spark plans workers, block sizes and open files by
+    itself, so num_workers, processing_spatial_chunk_size and reuse_open_datasets are checked and have no further effect; a model's
+    device is the model's own affair.
     """
     spec.validate()
     area = grid.trimmed(spec.bound_left, spec.bound_bottom, spec.bound_right, spec.bound_top, spec.target_resolution)

@@ -28,22 +28,29 @@ class Transform(NamedTuple):
     res: float
 
 
-def pixels(span: float, res: float) -> int:
-    """Whole pixels of a span; AssertionError unless it is a whole number of them."""
+def counted(span: float, res: float) -> tuple[int, bool]:
+    """Whole pixels that fit a span, and whether they fill it."""
     n = abs(span) / res
-    if abs(n - round(n)) > TOLERANCE:
-        raise AssertionError(f"{span} isn't a multiple of {res}")
-    return round(n)
+    full = abs(n - round(n)) <= TOLERANCE
+    return (round(n) if full else math.floor(n)), full
+
+
+def pixels(span: float, res: float) -> int:
+    """Whole pixels of a span; ValueError unless they fill it."""
+    n, full = counted(span, res)
+    if not full:
+        raise ValueError(f"{span} isn't a multiple of {res}")
+    return n
 
 
 def trimmed(left: float, bottom: float, right: float, top: float, res: float) -> tuple[float, float, float, float]:
     """The bounds with right and top moved in to whole pixels, with a warning where that changes them."""
     out = []
     for low, high in ((left, right), (bottom, top)):
-        n = abs(high - low) / res
-        if abs(n - round(n)) > TOLERANCE:
+        n, full = counted(high - low, res)
+        if not full:
             warnings.warn("the bounds are no whole number of pixels and are trimmed", stacklevel=2)
-            high = low + math.floor(n) * res
+            high = low + n * res
         out.append((low, high))
     return out[0][0], out[1][0], out[0][1], out[1][1]
 

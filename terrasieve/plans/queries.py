@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrasieve.constants import S2_BANDS
 from terrasieve.functions import nbar as N
 from terrasieve.functions import pixels as P
+from terrasieve.functions.crs import transformed_bounds
 from terrasieve.operators import clouds, composite, planner, resample
 from terrasieve.plans import adapters as A
 from terrasieve.plans import grid, timeaxis
+from terrasieve.plans.cube import process
+from terrasieve.plans.spec import CubeSpec
+from terrasieve.sinks import store
 from terrasieve.sources import catalog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -371,9 +377,9 @@ def uint16_encode(spark, d):
 
 @query("SELECT event_id, event_id % 37 // 10 AS kt, event_id // 3 % 1000 // 250 AS ky, user_id % 1100 // 250 AS kx FROM events")
 def zarr_chunk_ids(spark, d):
-    cell = lambda c, n: F.floor(c / n)
     e = F.col("event_id")
-    return A.read(spark, d, "events").select("event_id", cell(e % 37, 10).alias("kt"), cell(F.floor(e / 3) % 1000, 250).alias("ky"), cell(F.col("user_id") % 1100, 250).alias("kx"))
+    places = A.read(spark, d, "events").select("event_id", (e % 37).alias("time_idx"), (F.floor(e / 3) % 1000).alias("y_idx"), (F.col("user_id") % 1100).alias("x_idx"))
+    return store.chunk_ids(places, store.Skeleton((0,), ("B02",), 0, 0, 10, 1000, 1100, 32632)).select("event_id", "kt", "ky", "kx")
 
 
 @query(f"""WITH {A.PIXELS}, v AS (SELECT e, x // 4 AS kx, y // 4 AS ky, CASE WHEN {CLEAR} THEN nullif(b11, 0) END AS v FROM pixels) SELECT e, kx, ky, count(v) AS n FROM v GROUP BY ALL HAVING count(v) > 0""")
@@ -397,3 +403,38 @@ def end_to_end_cube(spark, d):
     clear = composite.apply_mask(kept, BANDS, P.clear_of_snow(*[F.col(b) for b in BANDS]))
     cube = composite.composite(timeaxis.assigned(clear, "e", MONTH), ["tile", "x", "y", "slot"], BANDS, "median")
     return cube.select("tile", "slot", P.coordinate(300000.0, F.col("x"), 10).alias("px"), P.coordinate(5000000.0, F.col("y"), -10).alias("py"), *[P.uint16(F.col(b)).alias(b) for b in BANDS])
+
+
+def ramp(href: str) -> np.ndarray:
+    """A raster made of its own name, "ramp:item:band": 60 x 60 pixels at 10 m, rising by 1 from column to column and by 3 from row to row."""
+    _, item, band = href.split(":")
+    n = 600 // S2_BANDS[band]
+    return (2000 + 7 * int(item) + np.arange(n)[None, :] + 3 * np.arange(n)[:, None]).astype(np.float32) + 100 * list(S2_BANDS).index(band)
+
+
+_STEP = 2 * DAY
+
+
+@query(f"""WITH n AS (SELECT n_nationkey AS k, 'T' || CAST(n_nationkey % 2 AS VARCHAR) AS tile, 1590969600 + n_nationkey * 50000 AS e, CASE WHEN n_regionkey < 2 THEN 3 ELSE 5 END AS baseline FROM nation),
+ s AS (SELECT * FROM (SELECT n.*, unnest(range(CAST(ceil((e - {_STEP // 2}) / {_STEP}) AS BIGINT), CAST(floor((e + {_STEP // 2}) / {_STEP}) AS BIGINT) + 1)) * {_STEP} AS slot FROM n) WHERE slot BETWEEN 1590969600 AND 1592006400),
+ i AS (SELECT slot, CAST(row_number() OVER (ORDER BY slot DESC) - 1 AS INTEGER) AS time_idx FROM (SELECT DISTINCT slot FROM s)),
+ g AS (SELECT x_idx, y_idx, 'T' || CAST((x_idx + 10) // 60 AS VARCHAR) AS tile, (x_idx + 10) % 60 AS px, y_idx + 5 AS py FROM (SELECT unnest(range(100)) AS x_idx), (SELECT unnest(range(50)) AS y_idx)),
+ b AS (SELECT * FROM (VALUES ('B02', 1, 1), ('B05', 4, 2), ('B11', 10, 2)) AS t(band, o, f)),
+ v AS (SELECT slot, band, x_idx, y_idx, CAST(2000 + 7 * k + px // f + 3 * (py // f) + 100 * o AS DOUBLE) AS v, baseline FROM s JOIN g ON s.tile = g.tile, b)
+ SELECT time_idx, slot AS "time", band, y_idx, x_idx, avg(CASE WHEN baseline >= 4 THEN greatest(v, 1000) - 1000 ELSE v END) AS value FROM v JOIN i USING (slot) GROUP BY ALL""")
+def process_request(spark, d):
+    """process() itself: two tiles side by side, an acquisition for each nation, assets as cdse names them, harmonised and averaged every two days."""
+    k, folder = F.col("n_nationkey"), F.lit("ramp:")
+    assets = F.create_map(*[x for b in ("B02", "B05", "B11") for x in (F.lit(f"{b}_{S2_BANDS[b]}m"), F.concat(folder, k.cast("string"), F.lit(f":{b}")))])
+    left, bottom, right, top = transformed_bounds(600000, 4999400, 601200, 5000000, 32632, 4326)[0]
+    items = A.read(spark, d, "nation").select(
+        F.concat(F.lit("n"), k.cast("string")).alias("item_id"), (1590969600 + k * 50000).cast("long").alias("second"), F.lit("sentinel-2-l2a").alias("collection"), F.concat(F.lit("T"), (k % 2).cast("string")).alias("tile"),
+        F.when(F.col("n_regionkey") < 2, 3.0).otherwise(5.0).alias("baseline"), F.lit("ascending").alias("orbit"), assets.alias("assets"),
+        F.lit(left).alias("minx"), F.lit(bottom).alias("miny"), F.lit(right).alias("maxx"), F.lit(top).alias("maxy"),
+    )
+    tiles = spark.createDataFrame([(f"T{i}", 32632, 600000.0 + 600 * i, 4999400.0, 600600.0 + 600 * i, 5000000.0) for i in range(2)], "tile string, epsg int, minx double, miny double, maxx double, maxy double")
+    bands = ("B02", "B05", "B11")
+    request = CubeSpec(32632, 10, 600100, 4999450, 601100, 4999950, "2020-06-01/2020-06-14", provider="cdse", S1_assets=None, S2_bands=bands, time_composite_freq="2D")
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")  # of compositing without a mask
+        return process(spark, request, items, tiles, opener=ramp, subtile=20)

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -145,12 +146,17 @@ def fill_zarr(cube: DataFrame, path: str, s: Skeleton) -> int:
         folder = f"{path}/cube/c/" + "/".join(str(k.as_py()) for k in key[:3])
         os.makedirs(folder, exist_ok=True)
         name = f"{folder}/{key[3].as_py()}"
-        with open(f"{name}.part{os.getpid()}", "wb") as f:
+        part = f"{name}.part{TaskContext.get().taskAttemptId()}"  # no two attempts share a number, on whatever machine
+        with open(part, "wb") as f:
             f.write(out.tobytes())
-        os.replace(f"{name}.part{os.getpid()}", name)
+        os.replace(part, name)
         return pa.table({"chunk": ["/".join(str(k.as_py()) for k in key)]})
 
-    return placed.groupBy("kt", "kb", "ky", "kx").applyInArrow(write, "chunk string").count()
+    chunks = [r["chunk"] for r in placed.groupBy("kt", "kb", "ky", "kx").applyInArrow(write, "chunk string").collect()]  # names of one request's chunks
+    lost = [c for c in chunks if not os.path.exists(f"{path}/cube/c/{c}")]
+    if lost:
+        raise OSError(f"{len(lost)} of {len(chunks)} chunks aren't in {path}: executors must share that folder")
+    return len(chunks)
 
 
 def read_zarr(path: str) -> tuple[np.ndarray, dict[str, np.ndarray]]:

@@ -48,6 +48,7 @@ def _native(band: Column) -> Column:
     return name
 
 
+# Collections, property and asset names, id patterns and path prefix of the public catalogs.
 PROVIDERS = {
     p.name: p
     for p in (
