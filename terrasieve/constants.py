@@ -21,4 +21,6 @@ SNOW_NDSI, SNOW_NIR, SNOW_GREEN = 0.15, 0.11, 0.1
 # CF time attributes.
 TIME_ATTRIBUTES = {"units": "seconds since 1970-01-01 00:00:00", "calendar": "proleptic_gregorian"}
 METHODS = ("mean", "median", "min", "max")
-RESAMPLING = ("nearest", "bilinear")
+#: Pixels of 10 m between two angles of a granule's metadata.
+ANGLE_STEP = 500
+RESAMPLING = ("nearest", "bilinear", "cubic", "cubic_spline", "lanczos", "average", "mode", "max", "min", "med", "q1", "q3", "sum", "rms")

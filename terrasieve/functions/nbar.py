@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrasieve.functions.pixels import lerp
+
 # Published isotropic, volumetric and geometric weights for each band.
 KERNEL_WEIGHTS = {
     "B02": (0.0774, 0.0372, 0.0079),
@@ -55,3 +59,22 @@ def c_factor(band: str, sun: Column, view: Column, azimuth: Column) -> Column:
 def adjusted(v: Column, c: Column) -> Column:
     """Bands without a factor, and places without one, stay as they are."""
     return v * F.coalesce(c, F.lit(1.0))
+
+
+def interpolated(pixels: DataFrame, factors: DataFrame, on: Sequence[str], step: int, x: str = "x", y: str = "y") -> DataFrame:
+    """pixels with c, linear between the factors (on, cx, cy, c) that lie every step pixels from the top left, and beyond the last ones; NULL without a factor.
+
+    The four corners of a cell are brought together in the coarse grid, so pixels are joined once.
+    """
+    grid = factors.select(*on, "cx", "cy", "c")
+    cells = grid.select(*on, F.col("cx").alias("_ix"), F.col("cy").alias("_iy"), F.col("c").alias("_c00"))
+    for name, i, j in (("_c10", 1, 0), ("_c01", 0, 1), ("_c11", 1, 1)):
+        cells = cells.join(grid.select(*on, (F.col("cx") - i).alias("_ix"), (F.col("cy") - j).alias("_iy"), F.col("c").alias(name)), [*on, "_ix", "_iy"])
+    last = [F.max("cx").alias("_lx"), F.max("cy").alias("_ly")]
+    ends = grid.groupBy(*on).agg(*last) if on else grid.agg(*last)
+    met = pixels.join(ends, list(on), "left") if on else pixels.crossJoin(F.broadcast(ends))  # one row
+    low = lambda c, end: F.least(F.floor(F.col(c) / step), F.col(end) - 1).cast("long")
+    met = met.withColumn("_ix", low(x, "_lx")).withColumn("_iy", low(y, "_ly")).join(cells, [*on, "_ix", "_iy"], "left")
+    x0, y0 = F.col("_ix") * step, F.col("_iy") * step
+    row = lambda a, b: lerp(F.col(x), x0, F.col(a), x0 + step, F.col(b))
+    return met.select(*pixels.columns, lerp(F.col(y), y0, row("_c00", "_c10"), y0 + step, row("_c01", "_c11")).alias("c"))

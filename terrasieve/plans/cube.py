@@ -82,8 +82,7 @@ def on_grid(source: DataFrame, places: list[tuple], spec: CubeSpec, shape: tuple
         for tile, zone, left, top in sorted({p[:4] for p in places})
     ]
     image = [c for c in source.columns if c not in ("x", "y", "value")]
-    method = resample.nearest if spec.resampling_method == "nearest" else resample.bilinear
-    return method(source, composite.joined_bands(maps), image, on=["tile"])
+    return resample.resampled(source, composite.joined_bands(maps), image, spec.resampling_method, on=["tile"])
 
 
 def sentinel2(spark: SparkSession, spec: CubeSpec, items: DataFrame, tiles: list, shape, t, area, subtile: int, opener: Callable, model: Callable, c_factors: DataFrame | None) -> DataFrame | None:
@@ -118,8 +117,11 @@ def sentinel2(spark: SparkSession, spec: CubeSpec, items: DataFrame, tiles: list
     if spec.S2_nbar and c_factors is None:
         warnings.warn("S2_nbar needs c_factors; reflectances stay unadjusted", stacklevel=2)
     if spec.S2_nbar and c_factors is not None:
-        factors = c_factors.select("item_id", "band", "c")
-        parts[0] = raw.join(factors, ["item_id", "band"], "left").withColumn("value", nbar.adjusted(F.col("value"), F.col("c"))).drop("c")
+        if "cx" in c_factors.columns:
+            parts[0] = nbar.interpolated(raw, c_factors, ["item_id", "band"], C.ANGLE_STEP)
+        else:
+            parts[0] = raw.join(c_factors.select("item_id", "band", "c"), ["item_id", "band"], "left")
+        parts[0] = parts[0].withColumn("value", nbar.adjusted(F.col("value"), F.col("c"))).drop("c")
     warped = on_grid(composite.joined_bands(parts), places, spec, shape, t)
     extra = PROBABILITIES * spec.S2_cloud_classification
     wide = warped.join(items.select("item_id", "second", "slot"), "item_id").groupBy("slot", "second", "tx", "ty")
@@ -188,7 +190,7 @@ def process(
 
     items: item_id, second, collection, tile, baseline, orbit, assets (map to hrefs) and a box in degrees (minx ...).
     tiles, and scenes for Sentinel-1 (tile is the item_id): tile, epsg and bounds in that system at 10 m.
-    c_factors: item_id, band, c. An area without scenes gives an empty cube. Spark plans workers, block sizes and open files by
+    c_factors: item_id, band, c; with cx, cy too it is a grid of factors every constants.ANGLE_STEP pixels of the tile, interpolated. An area without scenes gives an empty cube. Spark plans workers, block sizes and open files by
     itself, so num_workers, processing_spatial_chunk_size and reuse_open_datasets are checked and have no further effect; a model's
     device is the model's own affair.
     """

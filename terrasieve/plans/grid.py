@@ -101,6 +101,38 @@ def chunks(spark: SparkSession, left: float, top: float, height: int, width: int
     return cells.select("*", at(left, "x_off", 1).alias("left"), at(top, "y_end", -1).alias("bottom"), at(left, "x_end", 1).alias("right"), at(top, "y_off", -1).alias("top"))
 
 
+def counted_columns(span: Column, res: float) -> tuple[Column, Column]:
+    """counted() for a table of spans."""
+    n = F.abs(span) / F.lit(float(res))
+    full = F.abs(n - F.rint(n)) <= TOLERANCE
+    return F.when(full, F.rint(n)).otherwise(F.floor(n)).cast("long"), full
+
+
+def trimmed_column(low: Column, high: Column, res: float) -> Column:
+    """The upper end that trimmed() gives, for a table of bounds."""
+    n, full = counted_columns(high - low, res)
+    return F.when(full, high).otherwise(low + n * F.lit(float(res)))
+
+
+def aligned_columns(left: Column, top: Column, res: float) -> tuple[Column, Column]:
+    """The origin that aligned() gives, for a table of bounds."""
+    step = F.lit(float(res))
+    return left - F.pmod(left, step), top - F.pmod(top, step) + step
+
+
+def window(left: float, bottom: float, right: float, top: float, t: Transform) -> Window:
+    """The window of bounds on a grid: offsets go down unless they lack less than a thousandth, lengths to the nearest whole number."""
+    col, row = math.floor((left - t.left) / t.res + 0.001), math.floor((t.top - top) / t.res + 0.001)
+    return Window(col, row, math.floor((right - left) / t.res + 0.5), math.floor((top - bottom) / t.res + 0.5))
+
+
+def window_columns(left: Column, bottom: Column, right: Column, top: Column, t: Transform) -> dict[str, Column]:
+    """window() for a table of bounds."""
+    res = F.lit(float(t.res))
+    down = lambda v, more: F.floor(v / res + more).cast("long")
+    return {"col": down(left - t.left, 0.001), "row": down(F.lit(float(t.top)) - top, 0.001), "width": down(right - left, 0.5), "height": down(top - bottom, 0.5)}
+
+
 def clipped_columns(col: Column, row: Column, width: Column, height: Column, grid_height: int, grid_width: int) -> dict[str, Column]:
     """clipped() for a table of windows; keep rows with width and height above 0 only."""
     g_col, g_row = F.greatest(col, F.lit(0)), F.greatest(row, F.lit(0))

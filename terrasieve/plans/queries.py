@@ -243,15 +243,8 @@ def c_grid(spark, d) -> DataFrame:
  SELECT tx, ty, round(lo + (ty - iy * 12) * (hi - lo) / 12, 6) AS c FROM x""")
 def cfactor_lerp(spark, d):
     """Factors every 120 m, interpolated to 10 m pixels and carried on beyond the last ones."""
-    g = c_grid(spark, d)
     pixels = spark.range(64).select(F.col("id").alias("tx")).crossJoin(spark.range(64).select(F.col("id").alias("ty")))
-    low = lambda c: F.least(F.floor(F.col(c) / 12), F.lit(3).cast("long"))
-    t = pixels.withColumn("ix", low("tx")).withColumn("iy", low("ty"))
-    for name, i, j in (("c00", 0, 0), ("c10", 1, 0), ("c01", 0, 1), ("c11", 1, 1)):
-        t = t.join(g.select((F.col("cx") - i).alias("ix"), (F.col("cy") - j).alias("iy"), F.col("c").alias(name)), ["ix", "iy"])
-    x0, y0 = F.col("ix") * 12, F.col("iy") * 12
-    row = lambda a, b: P.lerp(F.col("tx"), x0, F.col(a), x0 + 12, F.col(b))
-    return t.select("tx", "ty", F.round(P.lerp(F.col("ty"), y0, row("c00", "c10"), y0 + 12, row("c01", "c11")), 6).alias("c"))
+    return N.interpolated(pixels, c_grid(spark, d), [], 12, "tx", "ty").withColumn("c", F.round("c", 6))
 
 
 @query(f"""WITH {CHUNKS} SELECT xi, yi, x_off, x_end, y_off, y_end, 300000 + x_off * 10.0::DOUBLE AS "left", 5000000 + y_end * -10.0::DOUBLE AS bottom,
@@ -268,9 +261,8 @@ def coords(spark, d):
 
 @query(f"""WITH {A.TILES} SELECT tile, minx + 123 - ((minx + 123) % 60 + 60) % 60 AS "left", maxy + 7 - ((maxy + 7) % 60 + 60) % 60 + 60 AS top FROM tiles""")
 def aligned_origin(spark, d):
-    t, res = A.tiles(spark, d), F.lit(60.0)
-    left, top = F.col("minx") + 123, F.col("maxy") + 7
-    return t.select("tile", (left - F.pmod(left, res)).alias("left"), (top - F.pmod(top, res) + res).alias("top"))
+    left, top = grid.aligned_columns(F.col("minx") + 123, F.col("maxy") + 7, 60.0)
+    return A.tiles(spark, d).select("tile", left.alias("left"), top.alias("top"))
 
 
 @query("""WITH w AS (SELECT event_id AS id, event_id % 140 - 20 AS c, user_id % 150 - 30 AS r, 40 AS w, 25 AS h FROM events),
@@ -284,8 +276,19 @@ def write_window_clip(spark, d):
 
 @query("SELECT p_partkey, floor(p_retailprice / 2.5::DOUBLE) * 2.5::DOUBLE AS trimmed, CAST(floor(p_retailprice / 2.5::DOUBLE) AS BIGINT) AS n FROM part")
 def bounds_trim(spark, d):
-    n = F.floor(F.col("p_retailprice") / 2.5)
-    return A.read(spark, d, "part").select("p_partkey", (n * F.lit(2.5)).alias("trimmed"), n.alias("n"))
+    price = F.col("p_retailprice").cast("double")
+    return A.read(spark, d, "part").select("p_partkey", grid.trimmed_column(F.lit(0.0), price, 2.5).alias("trimmed"), grid.counted_columns(price, 2.5)[0].alias("n"))
+
+
+@query("""WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey % 3000 * 2.5::DOUBLE - 700 AS l, l_suppkey % 500 * 4.0::DOUBLE - 300 AS b, 7320 + l_linenumber * 1.25::DOUBLE AS w, 7320 - l_linenumber * 1.75::DOUBLE AS h FROM lineitem)
+ SELECT l_orderkey, l_linenumber, CAST(floor((l - 0) / 10.0::DOUBLE + 0.001::DOUBLE) AS BIGINT) AS col, CAST(floor((9000.0::DOUBLE - (b + h)) / 10.0::DOUBLE + 0.001::DOUBLE) AS BIGINT) AS "row",
+ CAST(floor((l + w - l) / 10.0::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS width, CAST(floor((b + h - b) / 10.0::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS height FROM b""")
+def write_window_rounding(spark, d):
+    """Warped windows of lines on a grid of 10 m: offsets down, lengths to the nearest."""
+    n = F.col("l_linenumber")
+    b = A.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 3000 * 2.5 - 700).alias("l"), (F.col("l_suppkey") % 500 * 4.0 - 300).alias("b"), (n * 1.25 + 7320).alias("w"), (7320 - n * 1.75).alias("h"))
+    l, low = F.col("l"), F.col("b")
+    return b.select("l_orderkey", "l_linenumber", *[c.alias(k) for k, c in grid.window_columns(l, low, l + F.col("w"), low + F.col("h"), grid.Transform(0.0, 9000.0, 10.0)).items()])
 
 
 _AREA_SQL = f"minx < {AREA[2]} AND maxx > {AREA[0]} AND miny < {AREA[3]} AND maxy > {AREA[1]}"
@@ -345,6 +348,37 @@ def resample_bilinear(spark, d):
     return resample.bilinear(A.raster(spark, d), targets(spark, 9, 4.0, 8.0), ["tile"]).withColumn("value", F.round("value", 6))
 
 
+# a target pixel of 25 m lies on source pixels of 10 m; the area of each that it covers
+AREAS = """f AS (SELECT tx, ty, px, py, (least(px + 1, (tx + 1) * 2.5::DOUBLE) - greatest(px, tx * 2.5::DOUBLE)) * (least(py + 1, (ty + 1) * 2.5::DOUBLE) - greatest(py, ty * 2.5::DOUBLE)) AS w
+ FROM (SELECT unnest(range(3)) AS tx), (SELECT unnest(range(3)) AS ty), (SELECT unnest(range(8)) AS px), (SELECT unnest(range(8)) AS py)
+ WHERE px + 1 > tx * 2.5::DOUBLE AND px < (tx + 1) * 2.5::DOUBLE AND py + 1 > ty * 2.5::DOUBLE AND py < (ty + 1) * 2.5::DOUBLE),
+ met AS (SELECT tile, tx, ty, value, w FROM raster JOIN f ON x = px AND y = py WHERE value IS NOT NULL)"""
+
+
+@query(f"""WITH {A.RASTER}, {AREAS}, m AS (SELECT tile, tx, ty, value, sum(w) AS w FROM met GROUP BY ALL),
+ o AS (SELECT tile, tx, ty, value AS mode FROM m QUALIFY row_number() OVER (PARTITION BY tile, tx, ty ORDER BY round(w, 9) DESC, value) = 1)
+ SELECT tile, tx, ty, round(sum(value * w) / sum(w), 6) AS average, round(sum(value * w), 6) AS total, round(sqrt(sum(value * value * w) / sum(w)), 6) AS rms, max(value) AS most, min(value) AS least,
+ quantile_disc(value, 0.5) AS med, quantile_disc(value, 0.25) AS q1, quantile_disc(value, 0.75) AS q3, any_value(mode) AS mode FROM met JOIN o USING (tile, tx, ty) GROUP BY ALL""")
+def resample_areas(spark, d):
+    """Every statistic of the source pixels under larger target pixels."""
+    named = {"average": "average", "sum": "total", "rms": "rms", "max": "most", "min": "least", "med": "med", "q1": "q1", "q3": "q3", "mode": "mode"}
+    source, to, out = A.raster(spark, d), targets(spark, 3, 0.0, 25.0), None
+    for method, name in named.items():
+        part = resample.resampled(source, to, ["tile"], method).withColumnRenamed("value", name)
+        out = part if out is None else out.join(part, ["tile", "tx", "ty"])
+    return out.withColumns({c: F.round(c, 6) for c in ("average", "total", "rms")})
+
+
+@query(f"""WITH {A.RASTER}, {TARGETS.format(o='3.0::DOUBLE', r='7.0::DOUBLE', n=10)},
+ c AS (SELECT tx, ty, CAST(floor(sx) + i AS BIGINT) AS cx, CAST(floor(sy) + j AS BIGINT) AS cy, abs(floor(sx) + i - sx) AS dx, abs(floor(sy) + j - sy) AS dy
+ FROM t, (SELECT unnest([-1, 0, 1, 2]) AS i), (SELECT unnest([-1, 0, 1, 2]) AS j)),
+ k AS (SELECT tx, ty, cx, cy, CASE WHEN dx < 1 THEN 1.5::DOUBLE * dx ** 3 - 2.5::DOUBLE * dx ** 2 + 1 ELSE -0.5::DOUBLE * dx ** 3 + 2.5::DOUBLE * dx ** 2 - 4 * dx + 2 END
+ * CASE WHEN dy < 1 THEN 1.5::DOUBLE * dy ** 3 - 2.5::DOUBLE * dy ** 2 + 1 ELSE -0.5::DOUBLE * dy ** 3 + 2.5::DOUBLE * dy ** 2 - 4 * dy + 2 END AS w FROM c WHERE dx < 2 AND dy < 2)
+ SELECT tile, tx, ty, round(sum(value * w) / sum(w), 5) AS value FROM raster JOIN k ON x = cx AND y = cy WHERE value IS NOT NULL GROUP BY ALL HAVING sum(w) > 1e-6::DOUBLE""")
+def resample_cubic(spark, d):
+    return resample.resampled(A.raster(spark, d), targets(spark, 10, 3.0, 7.0), ["tile"], "cubic").withColumn("value", F.round("value", 5))
+
+
 @query(f"WITH {A.RASTER} SELECT r.tile, ux, uy, value FROM (SELECT unnest(range(48)) AS ux), (SELECT unnest(range(48)) AS uy) JOIN raster r ON x = ux // 6 AND y = uy // 6")
 def upsample_index(spark, d):
     """A 60 m band repeated to 10 m pixels."""
@@ -384,8 +418,9 @@ def zarr_chunk_ids(spark, d):
 
 @query(f"""WITH {A.PIXELS}, v AS (SELECT e, x // 4 AS kx, y // 4 AS ky, CASE WHEN {CLEAR} THEN nullif(b11, 0) END AS v FROM pixels) SELECT e, kx, ky, count(v) AS n FROM v GROUP BY ALL HAVING count(v) > 0""")
 def skip_empty_chunks(spark, d):
-    cells = snow_free(spark, d).groupBy("e", F.floor(F.col("x") / 4).alias("kx"), F.floor(F.col("y") / 4).alias("ky"))
-    return cells.agg(F.count("b11").alias("n")).where("n > 0")
+    cube = snow_free(spark, d).select("e", F.lit(0).alias("time_idx"), F.col("y").alias("y_idx"), F.col("x").alias("x_idx"), F.col("b11").alias("value"))
+    small = store.Skeleton((0,), ("B11",), 0, 0, 10, 8, 8, 32632, 1, 4, 4)
+    return store.filled_chunks(cube, small, ["e"]).select("e", "kx", "ky", "n")
 
 
 @query(f"""WITH {A.PIXELS}, {A.CLASSES}, m AS (SELECT tile, x, y, e, avg(nullif(b03, 0)) AS b03, avg(nullif(b08, 0)) AS b08, avg(nullif(b11, 0)) AS b11 FROM pixels GROUP BY ALL),

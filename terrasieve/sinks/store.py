@@ -178,6 +178,11 @@ def read_zarr(path: str) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     return data, axes
 
 
+def filled_chunks(cube: DataFrame, s: Skeleton, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, kt, ky, kx and n, the valid pixels, of the chunks that have one; no other chunk is written."""
+    return chunk_ids(cube.where("value is not null"), s).groupBy(*keys, "kt", "ky", "kx").agg(F.count(F.lit(1)).alias("n"))
+
+
 def chunk_ids(cube: DataFrame, s: Skeleton) -> DataFrame:
     ct, _, cy, cx = s.chunks
     return cube.withColumns({"kt": F.floor(F.col("time_idx") / ct), "ky": F.floor(F.col("y_idx") / cy), "kx": F.floor(F.col("x_idx") / cx)})

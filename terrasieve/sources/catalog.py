@@ -78,6 +78,22 @@ def provider(name: str) -> Provider:
     return PROVIDERS[name]
 
 
+def prepared(items: DataFrame, named: Provider) -> DataFrame:
+    """Items as a catalog gives them (format("stac_items")) as process() takes them.
+
+    second is the whole second of the time; tile and baseline are NULL for Sentinel-1, orbit for Sentinel-2. An item without a time or a box is none.
+    """
+    optical = F.col("collection") == "sentinel-2-l2a"
+    box = [F.get("bbox", F.lit(i)) for i in range(4)]
+    # a box of six numbers has heights too
+    high = [F.when(F.size("bbox") == 6, F.get("bbox", F.lit(i + 1))).otherwise(box[i]) for i in (2, 3)]
+    return items.where((F.size("bbox") >= 4) & F.col("datetime").isNotNull() & F.col("collection").isin(list(named.collections))).select(
+        F.col("id").alias("item_id"), F.unix_seconds(F.to_timestamp("datetime")).alias("second"), "collection",
+        F.when(optical, named.tile(F.col("id"), F.col("properties"))).alias("tile"), F.when(optical, named.baseline(F.col("id"), F.col("properties"))).alias("baseline"),
+        F.col("properties")["sat:orbit_state"].alias("orbit"), "assets", box[0].alias("minx"), box[1].alias("miny"), high[0].alias("maxx"), high[1].alias("maxy"),
+    )
+
+
 def within(items: DataFrame, bounds: tuple[float, float, float, float], start: int | None = None, end: int | None = None, collections: tuple[str, ...] = ()) -> DataFrame:
     """Items of the collections whose box meets the bounds (edges count) and whose time lies in the range, ends included."""
     left, bottom, right, top = (float(v) for v in bounds)

@@ -7,12 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrasieve import constants as C
-from terrasieve.functions import nbar, pixels
-from terrasieve.operators import clouds, composite
+from terrasieve.functions import crs, nbar, pixels
+from terrasieve.operators import clouds, composite, resample
 from terrasieve.plans import cube, grid, timeaxis
 from terrasieve.plans.spec import CubeSpec
 from terrasieve.sinks import store
 from terrasieve.sources import catalog
+from terrasieve.sources.tiles import tile_grid
 
 
 def test_snow(spark):
@@ -80,6 +81,66 @@ def test_item_source(spark, tmp_path):
     assert row.id == "a" and row.properties["s2:mgrs_tile"] == "32TPS" and row.assets == {"B02": "x.npy"} and row.bbox == [1, 2, 3, 4]
 
 
+def test_items_of_a_catalog_as_a_request_takes_them(spark, tmp_path):
+    tall = [10.5, 45.25, 0, 11.5, 46.0, 900]
+    features = [
+        {"id": "a", "collection": "sentinel-2-l2a", "bbox": [10, 45, 11, 46], "properties": {"datetime": "2021-03-04T05:06:07.890Z", "s2:mgrs_tile": "32TPR", "s2:processing_baseline": "05.09"}, "assets": {"B02": {"href": "x"}}},
+        {"id": "b", "collection": "sentinel-1-rtc", "bbox": tall, "properties": {"datetime": "2021-03-04T05:06:08Z", "sat:orbit_state": "ascending"}, "assets": {}},
+        {"id": "c", "collection": "landsat", "bbox": [10, 45, 11, 46], "properties": {"datetime": "2021-03-04T05:06:08Z"}, "assets": {}},
+    ]
+    (tmp_path / "items.json").write_text(json.dumps({"features": features}))
+    catalog.register(spark)
+    found = catalog.prepared(spark.read.format("stac_items").option("pages", f"{tmp_path}/items.json").load(), catalog.provider("planetary_computer"))
+    a, b = sorted(found.collect())
+    assert (a.second, a.tile, a.baseline, a.orbit, a.assets, a.maxx, a.maxy) == (1614834367, "32TPR", 5.09, None, {"B02": "x"}, 11, 46)
+    assert (b.second, b.tile, b.baseline, b.orbit, b.minx, b.miny, b.maxx, b.maxy) == (1614834368, None, None, "ascending", 10.5, 45.25, 11.5, 46.0)
+
+
+def test_tile_grid(spark, tmp_path):
+    marks, want = [], {}
+    for name, zone, left, top in (("32TPR", 32632, 600000, 5100000), ("01KAB", 32701, 300000, 8000000), ("60NXX", 32660, 700000, 600000)):
+        corners = [(left, top), (left + 109800, top), (left + 109800, top - 109800), (left, top - 109800), (left, top)]
+        lon, lat = crs.to_lonlat(*np.array(corners, float).T, zone)
+        ring = " ".join(f"{a:.12f},{b:.12f},0" for a, b in zip(lon, lat, strict=True))
+        table = f"<table><tr><th>TILE_ID</th><td>{name}</td></tr><tr><td>EPSG</td><td><font color='#1'>{zone}</font></td></tr><tr><td>MGRS_REF</td><td>12345</td></tr></table>"
+        polygon = f"<Polygon><outerBoundaryIs><LinearRing><coordinates>\n {ring} </coordinates></LinearRing></outerBoundaryIs></Polygon>"
+        if name != "60NXX":
+            polygon = f"<MultiGeometry>{polygon}<Point><coordinates>{lon[0]},{lat[0]}</coordinates></Point></MultiGeometry>"
+        marks.append(f"<Placemark><name>{name}</name><description><![CDATA[{table}]]></description>{polygon}</Placemark>")
+        want[name] = (zone, left, top - 109800, left + 109800, top)
+    marks.append("<Placemark><name>note</name><description>no tile</description></Placemark>")
+    (tmp_path / "grid.kml").write_text(f'<?xml version="1.0"?><kml xmlns="http://www.opengis.net/kml/2.2"><Document>{"".join(marks)}</Document></kml>')
+    got = {r.tile: tuple(r)[1:] for r in tile_grid(spark, str(tmp_path / "grid.kml")).collect()}
+    assert got == want
+
+
+def test_every_resampling_method_keeps_a_grid(spark):
+    """On the same grid each method but the smoothing ones gives the pixels back; NoData stays NoData and a constant stays constant."""
+    values = [(x, y, None if (x, y) == (2, 2) else float(x * 7 + y * y)) for x in range(6) for y in range(6)]
+    source = spark.createDataFrame(values, "x long, y long, value double").withColumn("image", F.lit("a"))
+    cells = spark.range(6).select(F.col("id").alias("tx")).crossJoin(spark.range(6).select(F.col("id").alias("ty")))
+    same = resample.target_pixels(cells, grid.Transform(0, 60, 10), grid.Transform(0, 60, 10))
+    want = {(x, y): v for x, y, v in values if v is not None}
+    flat = source.withColumn("value", F.when(F.col("value").isNotNull(), 4.0))
+    half = resample.target_pixels(cells, grid.Transform(0, 60, 7), grid.Transform(0, 60, 10))
+    for method in C.RESAMPLING:
+        got = {(r.tx, r.ty): r.value for r in resample.resampled(source, same, ["image"], method).collect() if r.value is not None}
+        if method != "cubic_spline":
+            assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want), method
+        if method != "sum":
+            assert {round(r.value, 9) for r in resample.resampled(flat, half, ["image"], method).collect() if r.value is not None} == {4.0}, method
+
+
+def test_factors_on_a_grid_are_interpolated(spark):
+    factors = spark.createDataFrame([("i", b, cx, cy, 1 + 0.1 * cx + 0.2 * cy + k) for k, b in enumerate(("B02", "B03")) for cx in range(3) for cy in range(4)], "item_id string, band string, cx long, cy long, c double")
+    places = [(i, b, x, y) for i in ("i", "j") for b in ("B02", "B03", "B05") for x in (0, 250, 1300) for y in (10, 1700)]
+    got = nbar.interpolated(spark.createDataFrame(places, "item_id string, band string, x long, y long"), factors, ["item_id", "band"], 500).collect()
+    assert len(got) == len(places)
+    for r in got:
+        known = r.item_id == "i" and r.band != "B05"
+        assert (r.c is None) if not known else abs(r.c - (1 + 0.1 * r.x / 500 + 0.2 * r.y / 500 + (r.band == "B03"))) < 1e-9
+
+
 def test_zarr_round_trip(spark, tmp_path):
     path = f"{tmp_path}/cube.zarr"
     for as_uint16, center in ((False, False), (True, True)):

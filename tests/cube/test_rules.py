@@ -41,6 +41,8 @@ def test_windows():
     assert grid.clipped(w(-5, 10, 20, 20), 100, 100) == (w(0, 10, 15, 20), w(5, 0, 15, 20))
     assert grid.clipped(w(-5, -5, 200, 200), 100, 100)[0] == w(0, 0, 100, 100)
     assert not grid.overlaps(w(100, 0, 5, 5), 100, 100) and not grid.overlaps(w(-5, 0, 5, 5), 100, 100) and grid.overlaps(w(99, 99, 5, 5), 100, 100)
+    g = grid.Transform(1000, 9000, 10)
+    assert grid.window(1009.995, 8000, 1109.995, 8500, g) == w(1, 50, 10, 50) and grid.window(995, 8004, 1099, 8996, g) == w(-1, 0, 10, 99)
     t, height, width = grid.aligned(412347, 1233, 412989, 2081, 10)
     assert t.left % 10 == 0 and t.top % 10 == 0 and t.left <= 412347 and t.left + width * 10 >= 412989 and t.top >= 2081 and t.top - height * 10 <= 1233
 
@@ -102,7 +104,7 @@ def test_redundancy_keeps_coverage():
         {"target_resolution": True}, {"bound_left": "a"}, {"bound_right": 0}, {"processing_spatial_chunk_size": 999}, {"processing_spatial_chunk_size": 1e4}, {"overwrite": 1}, {"S1_assets": ("vv",)},
         {"S1_assets": "vv_asc"}, {"S2_bands": ("B99",)}, {"S2_cloud_classification_device": "tpu"}, {"num_workers": 1.5}, {"time_composite_freq": 7}, {"time_composite_freq": "1M"},
         {"time_composite_method": "mode"}, {"S2_apply_snow_mask": True}, {"S2_apply_cloud_mask": True}, {"S2_return_cloud_probabilities": True}, {"zarr_store_chunk_size": {"x": 1}},
-        {"coord_save_mode": "middle"}, {"resampling_method": "cubic"}, {"save_as_uint16": True, "S1_assets": ("vv_asc",)}, {"S2_bands": None}, {"S2_bands": None, "S1_assets": ("vv_asc",), "S2_nbar": True},
+        {"coord_save_mode": "middle"}, {"resampling_method": "gauss"}, {"save_as_uint16": True, "S1_assets": ("vv_asc",)}, {"S2_bands": None}, {"S2_bands": None, "S1_assets": ("vv_asc",), "S2_nbar": True},
         {"S2_bands": ("B02",), "S2_cloud_classification": True}, {"S2_bands": ("B02", "B03"), "S2_mask_snow": True}, {"S2_bands": ("B02",), "S2_nbar": True}, {"datetime": "soon"},
     ],
 )
