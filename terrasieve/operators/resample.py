@@ -102,21 +102,22 @@ def resampled(source: DataFrame, targets: DataFrame, image: list[str], method: s
     return (convolved if method in KERNELS else covered)(source, targets, image, method, value, on)
 
 
-def projected(targets: DataFrame, to: Transform, to_crs: int, at: Transform, at_crs: int) -> DataFrame:
-    """target_pixels() between coordinate systems; the projection runs in Arrow batches."""
+def projected(targets: DataFrame, to: Transform, to_crs: int, res: float) -> DataFrame:
+    """target_pixels() of targets (tile, epsg, left, top, tx, ty) in each tile's own system, as tile, tx, ty and places; the projection runs in Arrow batches."""
     import numpy as np
     import pandas as pd
 
     from terrasieve.functions.crs import transformed
 
     def run(frames):
-        for f in frames:
-            x, y = to.left + (f.tx.to_numpy() + 0.5) * to.res, to.top - (f.ty.to_numpy() + 0.5) * to.res
-            px, py = transformed(x, y, to_crs, at_crs)
-            size = {}
-            for name, dx, dy in (("ux", to.res, 0.0), ("uy", 0.0, to.res)):
-                qx, qy = transformed(x + dx, y + dy, to_crs, at_crs)
-                size[name] = np.hypot(np.asarray(qx) - px, np.asarray(qy) - py) / at.res
-            yield pd.DataFrame({"tx": f.tx, "ty": f.ty, "sx": (px - at.left) / at.res - 0.5, "sy": (at.top - np.asarray(py)) / at.res - 0.5, **size})
-
-    return targets.select("tx", "ty").mapInPandas(run, "tx long, ty long, sx double, sy double, ux double, uy double")
+        for frame in frames:
+            for (tile, code, left, top), f in frame.groupby(["tile", "epsg", "left", "top"], sort=False):
+                x, y = to.left + (f.tx.to_numpy() + 0.5) * to.res, to.top - (f.ty.to_numpy() + 0.5) * to.res
+                px, py = transformed(x, y, to_crs, int(code))
+                size = {}
+                for name, dx, dy in (("ux", to.res, 0.0), ("uy", 0.0, to.res)):
+                    qx, qy = transformed(x + dx, y + dy, to_crs, int(code))
+                    size[name] = np.hypot(np.asarray(qx) - px, np.asarray(qy) - py) / res
+                yield pd.DataFrame({"tile": tile, "tx": f.tx.to_numpy(), "ty": f.ty.to_numpy(), "sx": (np.asarray(px) - left) / res - 0.5, "sy": (top - np.asarray(py)) / res - 0.5, **size})
+
+    return targets.select("tile", "epsg", "left", "top", "tx", "ty").mapInPandas(run, "tile string, tx long, ty long, sx double, sy double, ux double, uy double")

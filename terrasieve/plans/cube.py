@@ -7,6 +7,7 @@ the executors.
 
 from __future__ import annotations
 
+import math
 import warnings
 from collections.abc import Callable
 
@@ -72,17 +73,34 @@ def read_bands(chosen: DataFrame, bands: list[str], subtile: int, opener: Callab
     return asked.drop("factor").join(blocks, ["href", "col_off", "row_off"])
 
 
-def on_grid(source: DataFrame, places: list[tuple], spec: CubeSpec, shape: tuple[int, int], t: grid.Transform) -> DataFrame:
-    """source (tile, x, y, band, value and more) resampled to the target grid: tx, ty instead of x, y."""
-    spark = source.sparkSession
+def met_cells(places: list[tuple], spec: CubeSpec, shape: tuple[int, int], t: grid.Transform, subtile: int, res: float = 10.0) -> list[tuple]:
+    """(tile, epsg, left, top, x0, x1, y0, y1): the target pixels that a tile's windows can reach, ends included; a margin holds the widest kernel."""
+    margin, out = 4, []
     height, width = shape
-    cells = spark.range(width).select(F.col("id").alias("tx")).crossJoin(spark.range(height).select(F.col("id").alias("ty")))
-    maps = [
-        resample.projected(cells, t, epsg(spec.target_crs), grid.Transform(left, top, 10.0), zone).withColumn("tile", F.lit(tile))
-        for tile, zone, left, top in sorted({p[:4] for p in places})
-    ]
+    for tile, zone, left, top in sorted({p[:4] for p in places}):
+        own = [p for p in places if p[:4] == (tile, zone, left, top)]
+        cols, rows = [p[4] for p in own], [p[5] for p in own]
+        box = (left + (min(cols) - margin) * res, top - (max(rows) + subtile + margin) * res, left + (max(cols) + subtile + margin) * res, top - (min(rows) - margin) * res)
+        free = 0  # of two boxes, either side of the antimeridian, the second begins where the first ends
+        for low_x, low_y, high_x, high_y in sorted(transformed_bounds(*box, zone, spec.target_crs)):
+            x0, x1 = max(math.floor((low_x - t.left) / t.res) - margin, free), min(math.ceil((high_x - t.left) / t.res) + margin, width - 1)
+            y0, y1 = max(math.floor((t.top - high_y) / t.res) - margin, 0), min(math.ceil((t.top - low_y) / t.res) + margin, height - 1)
+            if x0 <= x1 and y0 <= y1:
+                out.append((tile, zone, left, top, x0, x1, y0, y1))
+                free = x1 + 1
+    return out
+
+
+def on_grid(source: DataFrame, places: list[tuple], spec: CubeSpec, shape: tuple[int, int], t: grid.Transform, subtile: int) -> DataFrame:
+    """source (tile, x, y, band, value and more) resampled to the target grid: tx, ty instead of x, y.
+
+    A tile's pixels are met with the part of the grid below its windows only, so the work grows with the area and not with tiles times area.
+    """
+    boxes = source.sparkSession.createDataFrame(met_cells(places, spec, shape, t, subtile), "tile string, epsg int, left double, top double, x0 long, x1 long, y0 long, y1 long")
+    lines = boxes.withColumn("ty", F.explode(F.sequence("y0", "y1"))).repartition("tile", "ty")  # a task's share is lines of the grid
+    cells = lines.withColumn("tx", F.explode(F.sequence("x0", "x1"))).drop("x0", "x1", "y0", "y1")
     image = [c for c in source.columns if c not in ("x", "y", "value")]
-    return resample.resampled(source, composite.joined_bands(maps), image, spec.resampling_method, on=["tile"])
+    return resample.resampled(source, resample.projected(cells, t, epsg(spec.target_crs), 10.0), image, spec.resampling_method, on=["tile"])
 
 
 def sentinel2(spark: SparkSession, spec: CubeSpec, items: DataFrame, tiles: list, shape, t, area, subtile: int, opener: Callable, model: Callable, c_factors: DataFrame | None) -> DataFrame | None:
@@ -122,7 +140,7 @@ def sentinel2(spark: SparkSession, spec: CubeSpec, items: DataFrame, tiles: list
         else:
             parts[0] = raw.join(c_factors.select("item_id", "band", "c"), ["item_id", "band"], "left")
         parts[0] = parts[0].withColumn("value", nbar.adjusted(F.col("value"), F.col("c"))).drop("c")
-    warped = on_grid(composite.joined_bands(parts), places, spec, shape, t)
+    warped = on_grid(composite.joined_bands(parts), places, spec, shape, t, subtile)
     extra = PROBABILITIES * spec.S2_cloud_classification
     wide = warped.join(items.select("item_id", "second", "slot"), "item_id").groupBy("slot", "second", "tx", "ty")
     image = wide.agg(*[F.avg(F.when(F.col("band") == b, F.col("value"))).alias(b) for b in [*bands, *extra]])
@@ -174,7 +192,7 @@ def sentinel1(spark: SparkSession, spec: CubeSpec, items: DataFrame, scenes: lis
     own = items.where("collection = 'sentinel-1-rtc'")
     chosen = own.withColumn("tile", F.col("item_id")).select("item_id", "tile", "assets").dropDuplicates(["item_id"]).join(F.broadcast(plan), "tile")
     raw = pixels_of(read_bands(chosen, ["vv", "vh"], subtile, opener, provider(spec.provider)), ["item_id", "tile", "band"])
-    warped = on_grid(raw, places, spec, shape, t).join(own.select("item_id", "slot", "orbit"), "item_id")
+    warped = on_grid(raw, places, spec, shape, t, subtile).join(own.select("item_id", "slot", "orbit"), "item_id")
     named = warped.withColumn("band", pixels.s1_band(F.col("band"), F.col("orbit"))).where(F.col("band").isin(list(spec.S1_assets or ())))
     groups = named.groupBy("slot", "tx", "ty", "band")
     if spec.time_composite_freq is None:

@@ -224,6 +224,15 @@ def test_request_with_masks_and_compositing(spark, scene):
     assert cube.process(spark, spec(scene, **options), items, tiles, subtile=10, model=thick).where("band = 'B02'").count() == 0
 
 
+def test_tiles_meet_only_their_part_of_the_grid():
+    request = CubeSpec(32632, 10, 600000, 5000000, 610000, 5004000, "2020-06-01", S1_assets=None, S2_bands=("B02",))
+    places = [("A", 32632, 600000.0, 5004000.0, 0, 0), ("A", 32632, 600000.0, 5004000.0, 0, 20), ("B", 32632, 605000.0, 5004000.0, 10, 0)]
+    got = {r[0]: r[4:] for r in cube.met_cells(places, request, (400, 1000), grid.Transform(600000, 5004000, 10), 20)}
+    a, b = got["A"], got["B"]
+    assert a[0] == 0 and 19 <= a[1] < 35 and a[2] == 0 and 39 <= a[3] < 55
+    assert 495 <= b[0] <= 510 and 529 <= b[1] < 545 and b[2] == 0 and 19 <= b[3] < 35
+
+
 def test_request_in_another_projection(spark, scene):
     items, tiles, _, _, (left, top) = scene
     box = cube.transformed_bounds(left + 100, top - 200, left + 200, top - 100, 32632, 3857)[0]
