@@ -18,6 +18,7 @@ labelled rows that repeat a doc_id the least text counts; very long texts are sc
 from __future__ import annotations
 
 import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,13 +38,23 @@ CHI_SQUARED = 20.0
 STEM = range(3, 9)
 NEAREST = 15
 BLOCK = 64
+#: So many blocks are visited before the first look at the bounds, then twice as many each time.
+VISITED = 4
 CACHE_WORDS = 400_000
+#: Texts with the same terms as often have the same neighbours; so many are kept by a Python worker.
+CACHE_TEXTS = 50_000
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 
+def bare_of(word: bytes) -> str:
+    """The word in lower case, without punctuation at either end."""
+    bare = word.decode().lower().strip(string.punctuation)
+    return bare if bare.isalnum() else _EDGES.sub("", bare)
+
+
 def stems_of(word: bytes) -> list[str]:
     """The word in lower case, without punctuation at either end, cut to each of the STEM lengths it has; a shorter word whole."""
-    bare = _EDGES.sub("", word.decode().lower())
+    bare = bare_of(word)
     return list(dict.fromkeys(bare[:k] for k in STEM)) if bare else []
 
 
@@ -92,9 +103,13 @@ class Counts:
 
     def __init__(self, terms: list[str]):
         self.number, self.known = {t: k for k, t in enumerate(terms)}, Known(self.term, CACHE_WORDS)
+        self.starts = {t[: STEM[0]] for t in terms}
 
     def term(self, word: bytes) -> int:
-        return next((self.number[s] for s in stems_of(word) if s in self.number), -1)
+        bare = bare_of(word)
+        if bare[: STEM[0]] not in self.starts:  # most words end here
+            return -1
+        return next((self.number[s] for s in (bare[:k] for k in STEM) if s in self.number), -1)
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         words = (text or "").encode().split()
@@ -155,21 +170,33 @@ class Index:
         self.values, self.levels = np.array([0.0]), np.array([0.0])
         self.empty = 0.0
 
+    def scores(self, terms: np.ndarray, q: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the blocks with a common term, and their cosines; the postings of all blocks are added in one step."""
+        a = self.cuts[terms][:, blocks]
+        length = (self.cuts[terms][:, blocks + 1] - a).ravel()
+        ends = np.cumsum(length)
+        postings = np.repeat(a.ravel() - ends + length, length) + np.arange(ends[-1])
+        w = np.repeat(np.repeat(q, len(blocks)), length) * self.weight[postings]
+        place = np.repeat(np.tile(np.arange(len(blocks)) * BLOCK, len(terms)), length) + self.row[postings] % BLOCK
+        score = np.bincount(place, w, len(blocks) * BLOCK)
+        found = np.flatnonzero(score)
+        return blocks[found // BLOCK] * BLOCK + found % BLOCK, score[found]
+
     def nearest(self, terms: np.ndarray, q: np.ndarray, k: int = NEAREST, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the k nearest examples with a common term, nearest first, ties to the smaller id; without: a row left out."""
         upper = q @ self.bounds[terms] + 1e-12
-        rows, cosines, worst = np.array([], np.int64), np.array([]), 0.0
-        for b in np.argsort(-upper, kind="stable"):
-            if upper[b] <= 1e-12 or (len(rows) == k and upper[b] < worst):
-                break
-            score = np.zeros(BLOCK)
-            for t, w in zip(terms, q, strict=True):
-                a, z = self.cuts[t, b], self.cuts[t, b + 1]
-                score[self.row[a:z] - b * BLOCK] += w * self.weight[a:z]
-            near = np.flatnonzero(score) + b * BLOCK
-            near = near[near != without]
-            rows, cosines = np.concatenate([rows, near]), np.concatenate([cosines, score[near - b * BLOCK]])
-            best = np.lexsort((self.ids[rows], -np.round(cosines, 12)))[:k]
+        order = np.argsort(-upper, kind="stable")
+        order = order[upper[order] > 1e-12]
+        rows, cosines, worst, at, step = np.array([], np.int64), np.array([]), 0.0, 0, VISITED
+        while at < len(order) and upper[order[at]] >= worst:
+            blocks, at, step = np.sort(order[at : at + step]), at + step, 2 * step
+            near, score = self.scores(terms, q, blocks)
+            rows, cosines = np.concatenate([rows, near[near != without]]), np.concatenate([cosines, score[near != without]])
+            level = np.round(cosines, 12)
+            if len(rows) > k:
+                kept = np.flatnonzero(level >= np.partition(level, -k)[-k])
+                rows, cosines, level = rows[kept], cosines[kept], level[kept]
+            best = np.lexsort((self.ids[rows], -level))[:k]
             rows, cosines = rows[best], cosines[best]
             worst = cosines[-1] - 1e-9 if len(rows) == k else 0.0
         return rows, cosines
@@ -220,16 +247,18 @@ class Judge:
 
     def __init__(self, index: Index):
         self.index, self.counts = index, worker_counts(tuple(index.terms))
+        self.known = Known(self.judged, CACHE_TEXTS)
 
-    def __call__(self, text: str | None) -> tuple[float, list[int], list[str]]:
-        index = self.index
-        at, tf = self.counts(text)
-        if not len(at):
-            return index.empty, [], []
+    def judged(self, found: tuple[bytes, bytes]) -> tuple[float, list[int], list[str]]:
+        index, (at, tf) = self.index, (np.frombuffer(x, np.int64) for x in found)
         rows, cosines = index.nearest(at, weights_of(tf.astype(float), index.idf[at]))
         score = index.calibrated(index.vote(rows, cosines)) if len(rows) else index.empty
         return score, index.ids[rows[:3]].tolist(), [index.terms[t] for t in at]
 
+    def __call__(self, text: str | None) -> tuple[float, list[int], list[str]]:
+        at, tf = self.counts(text)
+        return self.known.fresh()[at.tobytes(), tf.tobytes()] if len(at) else (self.index.empty, [], [])
+
 
 def score(docs: DataFrame, index: Index) -> DataFrame:
     """doc_id, score, neighbours (the nearest examples' ids), terms (the vocabulary's terms found)."""

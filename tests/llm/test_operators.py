@@ -343,6 +343,29 @@ def test_nearest_examples_are_exact():
         assert index.ids[rows].tolist() == index.ids[want].tolist()
 
 
+def test_nearest_examples_are_exact_over_many_blocks_and_ties():
+    r = np.random.default_rng(5)
+    examples = [(i, i % 2, [(int(t), 1 + int(t) % 2) for t in sorted(set((r.integers(0, 6, 3) ** 2).tolist()))]) for i in range(3000)]
+    index = toxicity.Index([(f"t{k}", 10 + k) for k in range(40)], 3000, examples)
+    assert index.blocks > 4 * toxicity.VISITED
+    dense = np.zeros((3000, 40))
+    for row, i in enumerate(index.ids):
+        at = [t for t, _ in examples[i][2]]
+        dense[row, at] = toxicity.weights_of(np.array([f for _, f in examples[i][2]], float), index.idf[at])
+    for row in range(0, 3000, 60):  # each left out of its own neighbours, most of which are equal
+        terms = np.flatnonzero(dense[row])
+        cosine = np.round(dense[:, terms] @ dense[row, terms], 12)
+        want = [i for i in np.lexsort((index.ids, -cosine)) if cosine[i] > 0 and i != row][: toxicity.NEAREST]
+        rows, _ = index.nearest(terms, dense[row, terms], without=row)
+        assert index.ids[rows].tolist() == index.ids[want].tolist()
+
+
+def test_toxic_terms_of_words():
+    counts = toxicity.Counts(["vile", "öd", "scumb", "it's"])
+    words = ["Vile", "(vilest!)", "vil", "ÖD", "»öd«", "öde", "scum", "__SCUMBAGS__", "it's,", "...", "_", "x"]
+    assert [counts.term(w.encode()) for w in words] == [next((counts.number[s] for s in toxicity.stems_of(w.encode()) if s in counts.number), -1) for w in words] == [0, 0, -1, 1, 1, -1, -1, 2, 3, -1, -1, -1]
+
+
 def test_toxicity_scores_equal_brute_force(spark):
     docs, labels = labelled(spark, 120)
     index = toxicity.train(docs, labels, "toxic", F.lit(True))
