@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -131,6 +132,26 @@ class Known(dict):
         return self
 
 
+_HELD: dict = {}
+
+
+def sole(make: Callable) -> Callable:
+    """make, its last result kept for all tasks of a Python worker until another operator's takes its place.
+
+    Spark gives the workers of one stage to the next, so caches of operators that have ended would pile up there.
+    """
+
+    @wraps(make)
+    def held(*args):
+        key = (make.__module__, make.__qualname__, args)
+        if key not in _HELD:
+            _HELD.clear()
+            _HELD[key] = make(*args)
+        return _HELD[key]
+
+    return held
+
+
 def fold_of(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo folds; null for a null id."""
     return (F.crc32(doc_id.cast("string").cast("binary")) % folds).cast("int")

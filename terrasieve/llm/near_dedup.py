@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, MapType, StructField, StructType
 
-from terrasieve.llm.common import Known, written
+from terrasieve.llm.common import Known, sole, written
 
 WORDS = 5
 PERCENT = 75
@@ -85,7 +84,7 @@ class Shingles:
         return np.unique(mixed(total))
 
 
-@lru_cache(maxsize=1)
+@sole
 def worker_shingles() -> Shingles:
     """One cache for all tasks of a Python worker."""
     return Shingles()

@@ -16,14 +16,13 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrasieve.llm.common import Known, written
+from terrasieve.llm.common import Known, sole, written
 
 MAX_TOKENS = 2048
 CACHE_WORDS = 1_000_000
@@ -116,7 +115,7 @@ class WordIds:
         return out
 
 
-@lru_cache(maxsize=1)
+@sole
 def word_ids(path: str) -> WordIds:
     """One cache for all tasks of a Python worker."""
     return WordIds(path)

@@ -21,7 +21,6 @@ import re
 import string
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from terrasieve.llm.common import Known, fold_of, labelled_sample
+from terrasieve.llm.common import Known, fold_of, labelled_sample, sole
 
 SAMPLE_ROWS = 8000
 MIN_DOCUMENTS = 4
@@ -117,7 +116,7 @@ class Counts:
         return np.unique(found[found >= 0], return_counts=True)
 
 
-@lru_cache(maxsize=1)
+@sole
 def worker_counts(terms: tuple[str, ...]) -> Counts:
     """One cache for all tasks of a Python worker."""
     return Counts(list(terms))

@@ -1,9 +1,11 @@
 """Each operator against a plain version on small tables with nulls, empty and long texts, ties, repeated rows, extra columns and no rows."""
 
 import collections
+import gc
 import itertools
 import random
 import re
+import weakref
 import zlib
 
 import numpy as np
@@ -143,6 +145,16 @@ def test_packing_round_trip(docs, none, spark):
     assert packing.pack(none, word_tokenizer()).count() == 0
 
 
+def test_a_worker_holds_the_caches_of_one_operator():
+    makers = [lambda: toxicity.worker_counts(("abc",)), near_dedup.worker_shingles, lambda: packing.word_ids(word_tokenizer())]
+    for earlier, later in itertools.permutations(makers, 2):
+        held = weakref.ref(earlier())
+        assert held() is earlier()  # kept from task to task
+        later()
+        gc.collect()
+        assert held() is None
+
+
 def test_word_ids_equal_the_tokenizer():
     from tokenizers import Tokenizer
 
