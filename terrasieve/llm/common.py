@@ -80,6 +80,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """written(), cut by key as joins cut their rows: joins and aggregations on key leave these rows where they are."""
+    spark = df.sparkSession
+    name = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(parts, key).write.bucketBy(parts, key).option("path", path).format("parquet").saveAsTable(name)
+
+    def drop() -> None:
+        try:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        except Exception:  # noqa: BLE001  the session may have ended already
+            pass
+
+    atexit.register(drop)
+    return spark.table(name)
+
+
 def spread_sample(df: DataFrame, rows: int, files: int = 8) -> DataFrame:
     """About rows rows of a table, from at most files of its files, spread evenly; for estimates only.
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, MapType, StructField, StructType
 
-from terrasieve.llm.common import Known, sole, written
+from terrasieve.llm.common import Known, bucketed, sole, written
 
 WORDS = 5
 PERCENT = 75
@@ -214,12 +214,35 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def blocks(rows: DataFrame, cells: int) -> DataFrame:
-    """Pairs of different components whose sizes and signatures agree, from rows (key, table, rep, comp, n_shingles, halves, more).
+def dealt(rows: DataFrame) -> DataFrame:
+    """pair and side of the rows (key, table, rep, comp), a row for each pair of blocks that a row belongs to.
+
+    A group of more than BLOCK rows is cut into blocks by a hash, and each pair of blocks is a group of its own. Where that makes fewer rows, the
+    group's largest component has blocks of its own, which don't meet one another: only pairs of different components are looked for.
+    """
+    sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("_m"))
+    sizes = sizes.groupBy("key").agg(F.sum("_m").alias("c"), F.max(F.struct("_m", "comp")).alias("_top"))
+    blocks_of = lambda n: F.ceil(n / BLOCK).cast("long")
+    most, rest = F.col("_top._m"), F.col("c") - F.col("_top._m")
+    apart = most * blocks_of(rest) + rest * (blocks_of(most) + blocks_of(rest))  # rows, if the largest component has its own blocks
+    cut = (rest > 0) & (F.col("c") > BLOCK) & (apart < F.col("c") * blocks_of(F.col("c")))
+    main, others = F.when(cut, blocks_of(most)).otherwise(0), F.when(cut, blocks_of(rest)).otherwise(blocks_of(F.col("c")))
+    per = sizes.select("key", F.col("_top.comp").alias("main"), main.cast("long").alias("nm"), others.alias("no"))
+    placed = rows.join(per, "key").withColumn("_in", (F.col("nm") > 0) & (F.col("comp") == F.col("main"))).withColumn("nb", F.col("nm") + F.col("no"))
+    block = F.pmod(F.xxhash64("rep"), F.when(F.col("_in"), F.col("nm")).otherwise(F.col("no"))) + F.when(F.col("_in"), F.col("no")).otherwise(0)
+    placed = placed.withColumn("b", block).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("_in"), F.col("no")).otherwise(F.col("nb")) - 1)))
+    # side 0: the block with itself; 1 and 2: the two blocks of a pair
+    return placed.select(
+        "key", (F.least("b", "o") * F.col("nb") + F.greatest("b", "o")).alias("pair"), "table", "rep", "comp",
+        F.when(F.col("b") == F.col("o"), 0).when(F.col("b") < F.col("o"), 1).otherwise(2).alias("side"),
+    )
+
+
+def blocks(rows: DataFrame, near: DataFrame, cells: int) -> DataFrame:
+    """Pairs of different components whose sizes and signatures agree, from rows (key, table, rep, comp) and the classes near.
 
     Rows hold arrays: bx and by (the cell of the pairs), x and y (classes, a pair each) and members (distinct classes).
-    A group of more than BLOCK rows is cut into blocks by a hash, and each pair of blocks is a group of its own. A pair
-    counts at the first table it shares.
+    Groups are dealt(). A pair counts at the first table it shares.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,16 +294,10 @@ def blocks(rows: DataFrame, cells: int) -> DataFrame:
         if held:
             yield from pairs(held, int(last[2]))
 
-    per = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).select("key", F.ceil(F.col("c") / BLOCK).alias("nb"))
-    placed = rows.join(per, "key").withColumn("b", F.pmod(F.xxhash64("rep"), F.col("nb")))
-    placed = placed.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-    # side 0: the block with itself; 1 and 2: the two blocks of a pair
-    placed = placed.select(
-        "key", (F.least("b", "o") * F.col("nb") + F.greatest("b", "o")).alias("pair"), "table", "rep", "comp", "n_shingles",
-        F.when(F.col("b") == F.col("o"), 0).when(F.col("b") < F.col("o"), 1).otherwise(2).alias("side"), "halves", "more",
-    )
-    dealt = placed.repartition("key", "pair").sortWithinPartitions("key", "pair")
-    return dealt.mapInArrow(compare, "bx long, by long, x array<long>, y array<long>, members array<long>")
+    near = near.select("rep", "n_shingles", "halves", "more")
+    placed = dealt(rows).join(near, "rep").select("key", "pair", "table", "rep", "comp", "n_shingles", "side", "halves", "more")
+    placed = placed.repartition("key", "pair").sortWithinPartitions("key", "pair")
+    return placed.mapInArrow(compare, "bx long, by long, x array<long>, y array<long>, members array<long>")
 
 
 def confirmed_cells(found: DataFrame, sets: DataFrame) -> DataFrame:
@@ -335,8 +352,9 @@ def linked(docs: DataFrame) -> DataFrame:
     texts = texts_of(docs, ids)
     if not near.where("low is null").isEmpty():  # classes of rows without ids are found by their texts alone
         texts = texts.unionByName(docs.where("doc_id is null").select("doc_id", "text"))
-    sets = shingle_sets(texts).join(near.select(*PRINT, F.col("rep").alias("id")), PRINT).select("id", "shingles")
-    sets = written(sets.dropDuplicates(["id"]), "sets")
+    sets = shingle_sets(texts).join(near.select(*PRINT, F.col("rep").alias("id")), PRINT)
+    # full sets are joined by id twice: they are cut by it once
+    sets = bucketed(sets.dropDuplicates(PRINT).select("id", "shingles"), "sets", "id")
     empty = rows.select(F.col("rep").alias("x"), F.col("rep").alias("y")).limit(0)
     links, comps = empty, empty.select(F.col("x").alias("id"), F.col("y").alias("comp"))
     tried, led = empty, None
@@ -353,9 +371,9 @@ def linked(docs: DataFrame) -> DataFrame:
         led = hubs.join(comps, hubs.hub == comps.id, "left").select("key", "hub", F.coalesce("comp", "hub").alias("led"))
     labelled = rows.join(comps, rows.rep == comps.id, "left").select("key", "table", "rep", F.coalesce("comp", "rep").alias("comp"))
     open_groups = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    rest = labelled.join(open_groups, "key").join(near.select("rep", "n_shingles", "halves", "more"), "rep")
+    rest = written(labelled.join(open_groups, "key"), "open")
     cells = 1 + (near.agg(F.sum("n_shingles")).first()[0] or 0) // CELL
-    found = written(blocks(rest, cells), "pairs")
+    found = written(blocks(rest, near, cells), "pairs")
     links = written(links.union(confirmed_cells(found, sets)), "links")
     comps = components(links)
     met = near.join(comps, near.rep == comps.id).select("rep", "low", "comp")

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrasieve.llm import chat, lm_scoring, mixing, near_dedup, packing, quality_classifier, quality_rules, top_k, toxicity, url_filters
+from terrasieve.llm.common import bucketed
 from terrasieve.llm.queries import word_tokenizer
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, _part long, kept string"
@@ -145,6 +146,25 @@ def test_packing_round_trip(docs, none, spark):
     assert packing.pack(none, word_tokenizer()).count() == 0
 
 
+def test_blocks_of_large_groups_leave_out_pairs_of_the_largest_component(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 100)
+    large = [(1, 3, r, 0 if r < 4990 else r) for r in range(5000)]
+    groups = large + [(2, 5, r, r % 7 if r < 150 else 9) for r in range(400)] + [(3, 6, r, r) for r in range(60)]
+    rows = near_dedup.dealt(spark.createDataFrame(groups, "key long, table int, rep long, comp long")).collect()
+    assert sum(x.key == 1 for x in rows) <= 4990 + 10 * 51  # with all pairs of blocks: 250,000
+    met = collections.Counter()
+    for _, own in itertools.groupby(sorted(rows, key=lambda x: (x.key, x.pair)), key=lambda x: (x.key, x.pair)):
+        for x, y in itertools.combinations(sorted(own, key=lambda x: x.rep), 2):
+            if x.comp != y.comp and (x.side != y.side or x.side == 0):
+                met[x.key, x.rep, y.rep] += 1
+    want = {(k, r, q) for g in (1, 2, 3) for (k, _, r, c), (_, _, q, d) in itertools.combinations([x for x in groups if x[0] == g and (g > 1 or x[2] >= 4900)], 2) if c != d}
+    assert want <= set(met) and set(met.values()) == {1}
+    # full sets stay where they are when they are joined
+    sets = bucketed(spark.range(100).selectExpr("id", "array(id) as shingles"), "sets", "id")
+    plan = spark.range(50).hint("merge").join(sets, "id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 1 and sets.count() == 100
+
+
 def test_a_worker_holds_the_caches_of_one_operator():
     makers = [lambda: toxicity.worker_counts(("abc",)), near_dedup.worker_shingles, lambda: packing.word_ids(word_tokenizer())]
     for earlier, later in itertools.permutations(makers, 2):
