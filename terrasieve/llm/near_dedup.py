@@ -9,7 +9,7 @@ can be part of a shared table key, so half keys are counted first and table keys
 the same members one stays. Links are then found in STAR_ROUNDS rounds: each group of a table key proposes its members
 with its most central one (in a second round with that of the rest), so a group of n gives n proposals; groups that are one
 component after that are done. In the others, members of different components meet in blocks, on signatures held in arrays, each pair at the
-first table key it shares; pairs whose signatures agree enough are sent on, as arrays, to cells of a grid over the classes,
+first table key it shares; the groups of one half key of the first collection travel together, so a class goes once a half key and not once a table; pairs whose signatures agree enough are sent on, as arrays, to cells of a grid over the classes,
 where each class's set arrives once for a cell. No group is capped. Every proposal is confirmed on the full shingle sets.
 Components come from label propagation over tables; nothing but counts reaches the driver.
 
@@ -214,59 +214,92 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def dealt(rows: DataFrame) -> DataFrame:
-    """pair and side of the rows (key, table, rep, comp), a row for each pair of blocks that a row belongs to.
-
-    A group of more than BLOCK rows is cut into blocks by a hash, and each pair of blocks is a group of its own. Where that makes fewer rows, the
-    group's largest component has blocks of its own, which don't meet one another: only pairs of different components are looked for.
-    """
+def plans(rows: DataFrame) -> DataFrame:
+    """How dealt() cuts each key: main (its largest component), nm (blocks of main alone, 0 for none), no (other blocks), made (rows)."""
     sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("_m"))
     sizes = sizes.groupBy("key").agg(F.sum("_m").alias("c"), F.max(F.struct("_m", "comp")).alias("_top"))
     blocks_of = lambda n: F.ceil(n / BLOCK).cast("long")
     most, rest = F.col("_top._m"), F.col("c") - F.col("_top._m")
     apart = most * blocks_of(rest) + rest * (blocks_of(most) + blocks_of(rest))  # rows, if the largest component has its own blocks
-    cut = (rest > 0) & (F.col("c") > BLOCK) & (apart < F.col("c") * blocks_of(F.col("c")))
+    whole = F.col("c") * blocks_of(F.col("c"))
+    cut = (rest > 0) & (F.col("c") > BLOCK) & (apart < whole)
     main, others = F.when(cut, blocks_of(most)).otherwise(0), F.when(cut, blocks_of(rest)).otherwise(blocks_of(F.col("c")))
-    per = sizes.select("key", F.col("_top.comp").alias("main"), main.cast("long").alias("nm"), others.alias("no"))
+    return sizes.select("key", F.col("_top.comp").alias("main"), main.cast("long").alias("nm"), others.alias("no"), F.when(cut, apart).otherwise(whole).alias("made"))
+
+
+def packs(rows: DataFrame) -> DataFrame:
+    """key, first, tables (bits), rep and comp: the rows (key, table, half, rep, comp), a row for each class and half key.
+
+    half is the half key of the first collection, number first, that a group's members share; tables are the numbers of the second collection under
+    which a class is in groups of that half key. Where dealt() would make more rows of a half key than of its groups, these keep their keys.
+    """
+    first, bit = F.floor(F.col("table") / TABLES).cast("int"), F.expr(f"shiftleft(1L, CAST(table % {TABLES} AS INT))")
+    joined = written(rows.groupBy(F.col("half").alias("key"), "rep", "comp").agg(F.min(first).alias("first"), F.bit_or(bit).alias("tables")), "halves")
+    single = plans(rows).join(rows.groupBy("key").agg(F.min("half").alias("half")), "key").groupBy("half").agg(F.sum("made").alias("single"))
+    dear = plans(joined).join(single.withColumnRenamed("half", "key"), "key").where("made > single").select("key")
+    dear = written(dear, "dear")
+    if dear.isEmpty():
+        return joined
+    own = rows.join(dear.select(F.col("key").alias("half")), "half", "left_semi")
+    own = own.select("key", first.alias("first"), bit.alias("tables"), "rep", "comp")
+    return joined.join(dear, "key", "left_anti").select(*own.columns).unionByName(own)
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """pair and side of the rows (key, rep, comp and others), a row for each pair of blocks that a row belongs to.
+
+    A group of more than BLOCK rows is cut into blocks by a hash, and each pair of blocks is a group of its own. Where that makes fewer rows, the
+    group's largest component has blocks of its own, which don't meet one another: only pairs of different components are looked for.
+    """
+    per = plans(rows).drop("made")
     placed = rows.join(per, "key").withColumn("_in", (F.col("nm") > 0) & (F.col("comp") == F.col("main"))).withColumn("nb", F.col("nm") + F.col("no"))
     block = F.pmod(F.xxhash64("rep"), F.when(F.col("_in"), F.col("nm")).otherwise(F.col("no"))) + F.when(F.col("_in"), F.col("no")).otherwise(0)
     placed = placed.withColumn("b", block).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("_in"), F.col("no")).otherwise(F.col("nb")) - 1)))
     # side 0: the block with itself; 1 and 2: the two blocks of a pair
     return placed.select(
-        "key", (F.least("b", "o") * F.col("nb") + F.greatest("b", "o")).alias("pair"), "table", "rep", "comp",
+        "key", (F.least("b", "o") * F.col("nb") + F.greatest("b", "o")).alias("pair"), *[c for c in rows.columns if c != "key"],
         F.when(F.col("b") == F.col("o"), 0).when(F.col("b") < F.col("o"), 1).otherwise(2).alias("side"),
     )
 
 
 def blocks(rows: DataFrame, near: DataFrame, cells: int) -> DataFrame:
-    """Pairs of different components whose sizes and signatures agree, from rows (key, table, rep, comp) and the classes near.
+    """Pairs of different components whose sizes and signatures agree, from the rows of packs() and the classes near.
 
     Rows hold arrays: bx and by (the cell of the pairs), x and y (classes, a pair each) and members (distinct classes).
-    Groups are dealt(). A pair counts at the first table it shares.
+    Packs are dealt(), and the groups of table keys found in them. A pair counts at the first table it shares.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # the group at the end of a batch goes on in the next
         last = None
 
-        def pairs(group: list[tuple], table: int) -> Iterator[pa.RecordBatch]:
-            rep, comp, n, side, lanes = (np.concatenate([g[k] for g in group]) for k in range(5))
+        def pairs(group: list[tuple], first: int) -> Iterator[pa.RecordBatch]:
+            rep, comp, tables, n, side, lanes = (np.concatenate([g[k] for g in group]) for k in range(6))
             if (comp == comp[0]).all():
                 return
             halves = lanes[:, :_HALVES].reshape(len(rep), 2 * TABLES, ROWS)
             quick = np.ascontiguousarray(lanes[:, _HALVES:].astype(np.uint8))
             xs, ys = [], []
-            for r in range(len(rep) - 1):
-                other = np.flatnonzero((comp[r + 1 :] != comp[r]) & ((side[r + 1 :] != side[r]) | (side[r] == 0))) + r + 1
-                other = other[100 * np.minimum(n[other], n[r]) >= PERCENT * np.maximum(n[other], n[r])]
-                # first on MORE places alone, at a looser limit
-                other = other[np.count_nonzero(quick[other] == quick[r], axis=1) >= (AGREE - 0.15) * MORE]
-                other = other[(lanes[other] == lanes[r]).mean(axis=1) >= AGREE]
-                if len(other):
-                    same = (halves[other] == halves[r]).all(axis=2)
-                    other = other[same[:, :TABLES].argmax(axis=1) * TABLES + same[:, TABLES:].argmax(axis=1) == table]
-                    xs.append(np.full(len(other), rep[r]))
-                    ys.append(rep[other])
+            for j in range(TABLES):
+                here = np.flatnonzero(tables >> j & 1)
+                order = np.lexsort(halves[here, TABLES + j].T)
+                here = here[order]
+                seconds = halves[here, TABLES + j]
+                for own in np.split(here, np.flatnonzero((seconds[1:] != seconds[:-1]).any(axis=1)) + 1):
+                    if len(own) < 2 or (comp[own] == comp[own[0]]).all():
+                        continue
+                    for k, r in enumerate(own[:-1]):
+                        other = own[k + 1 :]
+                        other = other[(comp[other] != comp[r]) & ((side[other] != side[r]) | (side[r] == 0))]
+                        other = other[100 * np.minimum(n[other], n[r]) >= PERCENT * np.maximum(n[other], n[r])]
+                        # first on MORE places alone, at a looser limit
+                        other = other[np.count_nonzero(quick[other] == quick[r], axis=1) >= (AGREE - 0.15) * MORE]
+                        other = other[(lanes[other] == lanes[r]).mean(axis=1) >= AGREE]
+                        if len(other):
+                            same = (halves[other] == halves[r]).all(axis=2)
+                            other = other[same[:, :TABLES].argmax(axis=1) * TABLES + same[:, TABLES:].argmax(axis=1) == first * TABLES + j]
+                            xs.append(np.full(len(other), rep[r]))
+                            ys.append(rep[other])
             if not sum(map(len, xs)):
                 return
             x, y = np.concatenate(xs), np.concatenate(ys)
@@ -283,7 +316,7 @@ def blocks(rows: DataFrame, near: DataFrame, cells: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             key = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1, 2)], axis=1)
-            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 4, 5, 6)] + [lanes_of(batch.column(7), batch.column(8))]
+            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 4, 5, 6, 7)] + [lanes_of(batch.column(8), batch.column(9))]
             cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if held and tuple(key[a]) != last:
@@ -295,7 +328,7 @@ def blocks(rows: DataFrame, near: DataFrame, cells: int) -> DataFrame:
             yield from pairs(held, int(last[2]))
 
     near = near.select("rep", "n_shingles", "halves", "more")
-    placed = dealt(rows).join(near, "rep").select("key", "pair", "table", "rep", "comp", "n_shingles", "side", "halves", "more")
+    placed = dealt(rows).join(near, "rep").select("key", "pair", "first", "rep", "comp", "tables", "n_shingles", "side", "halves", "more")
     placed = placed.repartition("key", "pair").sortWithinPartitions("key", "pair")
     return placed.mapInArrow(compare, "bx long, by long, x array<long>, y array<long>, members array<long>")
 
@@ -370,10 +403,12 @@ def linked(docs: DataFrame) -> DataFrame:
         hubs = lead.select("key", F.col("y").alias("hub")) if led is None else led.select("key", "hub")
         led = hubs.join(comps, hubs.hub == comps.id, "left").select("key", "hub", F.coalesce("comp", "hub").alias("led"))
     labelled = rows.join(comps, rows.rep == comps.id, "left").select("key", "table", "rep", F.coalesce("comp", "rep").alias("comp"))
-    open_groups = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    rest = written(labelled.join(open_groups, "key"), "open")
+    open_groups = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("rep").alias("_one"), F.min("table").alias("_table")).where("lo < hi")
+    first = F.floor(F.col("_table") / TABLES).cast("int")  # the first half key is that of any member
+    half = open_groups.join(near.select(F.col("rep").alias("_one"), "halves"), "_one").select("key", F.xxhash64(first, F.get("halves", first)).alias("half"))
+    rest = written(labelled.join(half, "key"), "open")
     cells = 1 + (near.agg(F.sum("n_shingles")).first()[0] or 0) // CELL
-    found = written(blocks(rest, near, cells), "pairs")
+    found = written(blocks(packs(rest), near, cells), "pairs")
     links = written(links.union(confirmed_cells(found, sets)), "links")
     comps = components(links)
     met = near.join(comps, near.rep == comps.id).select("rep", "low", "comp")

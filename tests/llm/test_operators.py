@@ -165,6 +165,23 @@ def test_blocks_of_large_groups_leave_out_pairs_of_the_largest_component(spark,
     assert plan.count("Exchange hashpartitioning") <= 1 and sets.count() == 100
 
 
+def test_a_class_meets_others_once_a_half_key(spark, monkeypatch):
+    """Near copies share many tables; their rows go by half keys, and no link is lost, whether a half key or its groups are dealt."""
+    words = [f"w{k}" for k in range(400)]
+    texts = [" ".join("x" + w if k == 13 * n % 400 else w for k, w in enumerate(words)) for n in range(30)]
+    docs = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    given, dealt = [], near_dedup.dealt
+    monkeypatch.setattr(near_dedup, "dealt", lambda rows: given.append(rows.count()) or dealt(rows))
+    monkeypatch.setattr(near_dedup, "STAR_ROUNDS", 0)
+    assert {r.component_id for r in near_dedup.near_duplicates(docs).collect()} == {0}
+    assert 0 < given[0] <= 30 * near_dedup.TABLES
+    # a half key of 25 classes in groups of 5 with blocks of 10 would make 75 rows, its groups make 25; the other is dealt whole
+    monkeypatch.setattr(near_dedup, "BLOCK", 10)
+    rows = [(r // 5, 16 * 3 + r // 5, 7, r, r) for r in range(25)] + [(10 + j, 16 * 4 + j, 8, r, r) for j in range(6) for r in range(8)]
+    got = near_dedup.packs(spark.createDataFrame(rows, "key long, table int, half long, rep long, comp long")).collect()
+    assert sorted((x.key, x.first, x.tables, x.rep) for x in got) == [(r // 5, 3, 1 << r // 5, r) for r in range(25)] + [(8, 4, 0b111111, r) for r in range(8)]
+
+
 def test_a_worker_holds_the_caches_of_one_operator():
     makers = [lambda: toxicity.worker_counts(("abc",)), near_dedup.worker_shingles, lambda: packing.word_ids(word_tokenizer())]
     for earlier, later in itertools.permutations(makers, 2):
