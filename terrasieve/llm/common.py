@@ -80,13 +80,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
-    """written(), cut by key as joins cut their rows: joins and aggregations on key leave these rows where they are."""
+def bucketed(df: DataFrame, name: str, key: str, once: bool = False) -> DataFrame:
+    """written(), cut by key as joins cut their rows: joins and aggregations on key leave these rows where they are. once: one row of each key."""
     spark = df.sparkSession
     name = f"{name}_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark)}/{name}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(parts, key).write.bucketBy(parts, key).option("path", path).format("parquet").saveAsTable(name)
+    # the shuffle that leaves out repeats cuts by key as well
+    (df.dropDuplicates([key]) if once else df.repartition(parts, key)).write.bucketBy(parts, key).option("path", path).format("parquet").saveAsTable(name)
 
     def drop() -> None:
         try:

@@ -142,7 +142,8 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """n_shingles, f1, f2 and shingles of each document."""
+    """n_shingles, f1, f2 and shingles of each document, and its columns beside text, all of them long."""
+    others = [c for c in docs.columns if c != "text"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles_of = worker_shingles()
@@ -150,9 +151,10 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
             sets = [shingles_of(t.as_py()) for t in batch.column(0)]
             two = np.array([fingerprint(s) for s in sets], np.int64).reshape(-1, 2)
             columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array(two[:, 0]), pa.array(two[:, 1]), list_column([s.view(np.int64) for s in sets])]
-            yield pa.RecordBatch.from_arrays(columns, names=[*PRINT, "shingles"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], names=[*others, *PRINT, "shingles"])
 
-    return docs.select("text").mapInArrow(cut, "n_shingles long, f1 long, f2 long, shingles array<long>")
+    schema = "n_shingles long, f1 long, f2 long, shingles array<long>"
+    return docs.select("text", *others).mapInArrow(cut, ", ".join([*[f"{c} long" for c in others], schema]))
 
 
 def shared_halves(halves: DataFrame) -> DataFrame:
@@ -364,11 +366,30 @@ def confirmed_cells(found: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents with ids, and those without any. Most others are left out before texts are shuffled, by a broadcast of hash buckets, BUCKETS at most."""
+    """text of the documents with the doc_ids of ids, and what else ids holds. Most others are left out before texts are shuffled, by a broadcast of hash buckets, BUCKETS at most."""
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).alias("_bucket")
     buckets = ids.select(bucket).distinct()
     texts = docs.where("doc_id is not null").select("doc_id", "text", bucket).join(F.broadcast(buckets), "_bucket", "left_semi")
-    return texts.join(ids, "doc_id", "left_semi").select("doc_id", "text")
+    return texts.join(ids, "doc_id").select("text", *[c for c in ids.columns if c != "doc_id"])
+
+
+def sets_of(docs: DataFrame, near: DataFrame) -> DataFrame:
+    """id (rep) and shingles of the classes near, cut by id.
+
+    A doc_id that is the least one of a single class takes its rep along, so its set goes straight to its place; other sets (of ids that repeat with
+    other texts, or of rows without one) find their class by fingerprint.
+    """
+    near = near.select(*PRINT, "rep", "low")
+    lows = near.where("low is not null").groupBy(F.col("low").alias("doc_id")).agg(F.count(F.lit(1)).alias("_c"), F.min("rep").alias("id"), *[F.min(c).alias(f"_{c}") for c in PRINT])
+    lows = written(lows, "lows")
+    sets = shingle_sets(texts_of(docs, lows.where("_c = 1").drop("_c")))
+    sets = sets.where(" and ".join(f"{c} = _{c}" for c in PRINT)).select("id", "shingles")  # an id may have other texts too
+    shared, without = lows.where("_c > 1").select("doc_id"), near.where("low is null")
+    if not (shared.isEmpty() and without.isEmpty()):
+        texts = texts_of(docs, shared).unionByName(docs.where("doc_id is null").select("text"))
+        classes = near.join(shared.withColumnRenamed("doc_id", "low"), "low", "left_semi").select(*near.columns).unionByName(without)
+        sets = sets.unionByName(shingle_sets(texts).join(classes, PRINT).select(F.col("rep").alias("id"), "shingles"))
+    return bucketed(sets, "sets", "id", once=True)
 
 
 def linked(docs: DataFrame) -> DataFrame:
@@ -381,13 +402,8 @@ def linked(docs: DataFrame) -> DataFrame:
     rows = written(rows, "groups")
     rows = written(rows.join(rows.groupBy("rep").agg(F.count(F.lit(1)).alias("weight")), "rep"), "groups")
     near = written(classes.join(rows.select("rep").distinct(), "rep", "left_semi"), "near")
-    ids = near.where("low is not null").select(F.col("low").alias("doc_id")).distinct()
-    texts = texts_of(docs, ids)
-    if not near.where("low is null").isEmpty():  # classes of rows without ids are found by their texts alone
-        texts = texts.unionByName(docs.where("doc_id is null").select("doc_id", "text"))
-    sets = shingle_sets(texts).join(near.select(*PRINT, F.col("rep").alias("id")), PRINT)
     # full sets are joined by id twice: they are cut by it once
-    sets = bucketed(sets.dropDuplicates(PRINT).select("id", "shingles"), "sets", "id")
+    sets = sets_of(docs, near)
     empty = rows.select(F.col("rep").alias("x"), F.col("rep").alias("y")).limit(0)
     links, comps = empty, empty.select(F.col("x").alias("id"), F.col("y").alias("comp"))
     tried, led = empty, None

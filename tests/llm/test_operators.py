@@ -182,6 +182,21 @@ def test_a_class_meets_others_once_a_half_key(spark, monkeypatch):
     assert sorted((x.key, x.first, x.tables, x.rep) for x in got) == [(r // 5, 3, 1 << r // 5, r) for r in range(25)] + [(8, 4, 0b111111, r) for r in range(8)]
 
 
+def test_full_sets_are_shuffled_once(docs, spark, monkeypatch):
+    seen, bucketed_ = [], near_dedup.bucketed
+    monkeypatch.setattr(near_dedup, "bucketed", lambda df, *args, **more: seen.append(df) or bucketed_(df, *args, **more))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        near_dedup.near_duplicates(docs).collect()
+        plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    # what is left is the shuffle that cuts by id
+    sets = plan[: plan.index("MapInArrow")]
+    assert "Exchange" not in sets
+
+
 def test_a_worker_holds_the_caches_of_one_operator():
     makers = [lambda: toxicity.worker_counts(("abc",)), near_dedup.worker_shingles, lambda: packing.word_ids(word_tokenizer())]
     for earlier, later in itertools.permutations(makers, 2):
