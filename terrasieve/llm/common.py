@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: The characters that separate words; everything else belongs to one.
 SPACES = " \t\n\x0b\x0c\r"
+#: Bits that marked() broadcasts at most.
+BITS = 1 << 25
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,6 +103,28 @@ def bucketed(df: DataFrame, name: str, key: str, once: bool = False) -> DataFram
     return spark.table(name)
 
 
+def marked(df: DataFrame, ids: DataFrame, name: str, seed: int = 0) -> DataFrame:
+    """df and name: true where doc_id, a whole number, is among ids, and for few others, that share the hash of one of ids; false for the rest.
+
+    What is broadcast are BITS bits at most, so no row of df is shuffled.
+    """
+    at = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")), F.lit(BITS))
+    part, bits = free_name(df, "_part"), free_name(df, "_bits")
+    spots = ids.select(F.shiftright(at, 15).alias(part), (at % 32768).alias("_spot"))
+    # cut by part before they are gathered: the bits of a part are made once
+    maps = spots.repartition(part).groupBy(part).agg(F.bitmap_construct_agg("_spot").alias(bits))
+    spot = (at % 32768).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.shiftright(spot, 3) + 1, F.lit(1))), 16, 10).cast("long")
+    found = df.withColumn(part, F.shiftright(at, 15)).join(F.broadcast(maps), part, "left")
+    return found.withColumn(name, F.coalesce(F.getbit(byte, spot % 8) == 1, F.lit(False))).drop(part, bits)
+
+
+def having(df: DataFrame, ids: DataFrame, seed: int = 0) -> DataFrame:
+    """The rows of df whose doc_id is among ids, exactly; only rows that marked() can't leave out are shuffled."""
+    name = free_name(df, "_marked")
+    return marked(df, ids, name, seed).where(F.col(name)).drop(name).join(ids.select("doc_id"), "doc_id", "left_semi").select(*df.columns)
+
+
 def spread_sample(df: DataFrame, rows: int, files: int = 8) -> DataFrame:
     """About rows rows of a table, from at most files of its files, spread evenly; for estimates only.
 

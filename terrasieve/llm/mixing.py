@@ -84,31 +84,31 @@ def digest(docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents as often as the mix takes them: whole epochs, and once more where the cut leaves at least half of the document.
 
-    Columns are those of docs, whatever their names; repeated copies are equal rows. Texts stay whole. Of rows with one doc_id,
-    source and size, each is taken as often as its own place says; only rows at a source's cut can differ in that.
+    Columns are those of docs, whatever their names; repeated copies are equal rows. Texts stay whole, and where they are: what meets them is a row for
+    each source, with its epochs and the last place that is taken once more. Rows that share that place may be taken in part; these few
+    are ranked.
     """
     counted = mix(docs, **options)
     again = (2 * (F.col("taken") - F.col("epochs") * F.col("size")) >= F.col("size")) & (F.col("size") > 0)
-    times = (F.col("epochs") + again.cast("long")).alias("_times")
-    key = ["_id", "_src", "_size"]
-    rows = counted.select(F.col("doc_id").alias("_id"), source_key(F.col("source")).alias("_src"), F.col("size").alias("_size"), times)
-    chosen = rows.groupBy(*key).agg(F.min("_times").alias("_lo"), F.max("_times").alias("_hi"), F.count(F.lit(1)).alias("_rows"), F.sum("_times").alias("_sum"))
-    chosen = written(chosen, "times")
+    rows = written(counted.select(source_key(F.col("source")).alias("_src"), "doc_id", "size", "epochs", again.alias("again")), "times")
+
+    def order(doc_id: Column, size: Column) -> Column:  # that of mix()
+        return F.struct(place(doc_id, options.get("seed", 0)).alias("place"), doc_id.alias("doc_id"), size.alias("size"))
+
+    own = order(F.col("doc_id"), F.col("size"))
+    sources = written(rows.groupBy("_src").agg(F.max("epochs").alias("_epochs"), F.max(F.when(F.col("again"), own)).alias("_last")), "sources")
+    tied = rows.join(sources, "_src").where(own == F.col("_last")).groupBy("_src").agg(F.count(F.lit(1)).alias("_rows"), F.sum(F.col("again").cast("long")).alias("_most"))
+    sources = written(sources.join(tied.where("_most < _rows").select("_src", "_most"), "_src", "left"), "sources")
     held = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
     doc_id, source, text = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "source", "text"))
-
-    def joined(some: DataFrame, of: DataFrame) -> DataFrame:
-        sized = some.withColumn("_key", source_key(source)).withColumn("_n", F.size(words_of(text)).cast("long"))
-        return sized.join(of, doc_id.eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_src")) & (F.col("_n") == F.col("_size")))
-
-    out = joined(held, chosen.where("_lo = _hi").select(*key, F.col("_lo").alias("_times")))
-    cut = written(chosen.where("_lo < _hi"), "cut")  # at most one for each source
-    if not cut.isEmpty():
-        near = held.join(cut.select("_id").distinct(), doc_id.eqNullSafe(F.col("_id")), "left_semi")
-        rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(text)))
-        most = F.col("_sum") - F.col("_lo") * F.col("_rows")  # rows that are taken once more, as _hi is _lo + 1
-        edge = joined(near, cut).withColumn("_times", F.col("_lo") + (rank <= most).cast("long"))
-        out = out.unionByName(edge.select(*out.columns))
+    sized = held.withColumn("_src", source_key(source)).withColumn("_size", F.size(words_of(text)).cast("long"))
+    met = sized.withColumn("_own", order(doc_id, F.col("_size"))).join(sources, "_src")
+    edge = F.col("_most").isNotNull() & F.coalesce(F.col("_own") == F.col("_last"), F.lit(False))
+    more = (F.col("_size") > 0) & F.coalesce(F.col("_own") <= F.col("_last"), F.lit(False))
+    out = met.where(~edge).withColumn("_times", F.col("_epochs") + more.cast("long"))
+    if not sources.where("_most is not null").isEmpty():
+        rank = F.row_number().over(Window.partitionBy("_src").orderBy(F.xxhash64(text)))
+        out = out.unionByName(met.where(edge).withColumn("_times", F.col("_epochs") + (rank <= F.col("_most")).cast("long")))
     copies = out.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
     return copies.select(*held.columns).toDF(*docs.columns)
 

@@ -154,3 +154,75 @@ def test_mixing_takes_repeated_rows_exactly(spark):
 def test_empty(spark, tmp_path):
     stored(spark, tmp_path, [], [])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def shuffled(spark, action):
+    """Bytes that action's stages wrote to shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        every = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+        return {s.stageId(): s.shuffleWriteBytes() for s in map(every.apply, range(every.size()))}
+
+    last = max(stages(), default=-1)
+    action()
+    return sum(n for k, n in stages().items() if k > last)
+
+
+def test_near_dedup_and_mixing_leave_texts_where_they_are(spark, tmp_path):
+    from terrasieve.llm import mixing, near_dedup
+
+    r = random.Random(12)
+    text = [" ".join(f"{r.getrandbits(40):x}" for _ in range(60)) for _ in range(1500)]
+    rows = [(i, text[max(0, i - 300)], "en", f"s{i % 3}", 1) for i in range(1800)]  # 300 copies of one text
+    docs = stored(spark, tmp_path, rows, [])
+    conf = "spark.sql.autoBroadcastJoinThreshold"
+    threshold = spark.conf.get(conf)
+    # tables of ids are too large to broadcast, as on large inputs; a row for each source is not
+    spark.conf.set(conf, "8k")
+    try:
+        whole = shuffled(spark, lambda: docs.repartition(5, "doc_id").write.format("noop").mode("overwrite").save())
+        one, mix = near_dedup.keep_one(docs), mixing.mixed_documents(docs)
+        got = []
+        assert shuffled(spark, lambda: got.extend(one.collect())) < whole / 20
+        assert sorted(x.doc_id for x in got) == [0, *range(301, 1800)]
+        assert shuffled(spark, lambda: got.extend(mix.collect())) < whole / 20
+    finally:
+        spark.conf.set(conf, threshold)
+
+
+def test_ids_that_share_a_hash_are_told_apart(spark, monkeypatch):
+    from terrasieve.llm import common, near_dedup
+
+    r = random.Random(13)
+    ids = [None, *(r.getrandbits(63) - 2**62 for _ in range(200))]
+    docs = spark.createDataFrame([(i, k, "x") for k, i in enumerate(ids * 2)], "doc_id long, _bits long, _marked string").repartition(3)
+    told = [(i, 1 + (k % 7 == 0), k % 3 > 0) for k, i in enumerate(ids[1:])]
+    known = spark.createDataFrame(told, "doc_id long, _c long, _kept boolean")
+    for bits in (4, 64, common.BITS):
+        monkeypatch.setattr(common, "BITS", bits)
+        some = common.having(docs, known.where("_kept"))
+        assert some.columns == docs.columns
+        assert sorted(x.doc_id for x in some.collect()) == sorted(2 * [i for i, _, kept in told if kept])
+        assert sorted(x.doc_id for x in near_dedup.kept_once(docs, known).collect()) == sorted(2 * [i for i, c, kept in told if kept and c == 1])
+        assert common.having(docs, known.limit(0)).count() == 0
+
+
+def test_mixed_documents_are_those_of_the_mix(spark):
+    from terrasieve.llm import mixing
+
+    r = random.Random(14)
+    rows = [(r.choice([None, *range(12)]), "w " * r.choice([0, 1, 9, 9, 40]), "en", r.choice(["a", "b", None, "c"]), k) for k in range(400)]
+    docs = spark.createDataFrame([*rows, (None, None, "en", "none", 1)], SCHEMA).repartition(3)
+    cut = 0
+    for seed in range(4):
+        want, lots = collections.Counter(), collections.defaultdict(set)
+        for x in mixing.mix(docs, seed=seed).collect():
+            times = x.epochs + (x.size > 0 and 2 * (x.taken - x.epochs * x.size) >= x.size)
+            want[x.doc_id, x.source, x.size] += times
+            lots[x.doc_id, x.source, x.size].add(times)
+        got = collections.Counter((x.doc_id, x.source, len((x.text or "").split())) for x in mixing.mixed_documents(docs, seed=seed).collect())
+        assert got == +want
+        cut += sum(len(v) > 1 for v in lots.values())
+    assert cut  # repeats that are taken in part
