@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -180,6 +183,32 @@ class Known(dict):
 _HELD: dict = {}
 
 
+def tidy() -> None:
+    """Gives memory that isn't used any more back to the system.
+
+    Caches and what makes their values refer to each other, so they stay until the garbage is collected; Arrow's pool and the C heap
+    keep what is freed for as long as the Python worker lives.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's alone
+    if trim:
+        trim(0)
+
+
+def tidied(read: Callable) -> Callable:
+    """read, a function over a task's batches; what it has freed goes back to the system when the task ends, not when the worker does."""
+
+    @wraps(read)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from read(batches)
+        finally:
+            tidy()
+
+    return run
+
+
 def sole(make: Callable) -> Callable:
     """make, its last result kept for all tasks of a Python worker until another operator's takes its place.
 
@@ -190,7 +219,9 @@ def sole(make: Callable) -> Callable:
     def held(*args):
         key = (make.__module__, make.__qualname__, args)
         if key not in _HELD:
-            _HELD.clear()
+            if _HELD:
+                _HELD.clear()
+                tidy()
             _HELD[key] = make(*args)
         return _HELD[key]
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrasieve.llm.common import Known, sole, written
+from terrasieve.llm.common import Known, sole, tidied, written
 
 MAX_TOKENS = 2048
 CACHE_WORDS = 1_000_000
@@ -124,6 +124,7 @@ def word_ids(path: str) -> WordIds:
 def pieces(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document's pieces."""
 
+    @tidied
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = word_ids(tokenizer)
         for batch in batches:

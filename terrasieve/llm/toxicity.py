@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from terrasieve.llm.common import Known, fold_of, labelled_sample, sole
+from terrasieve.llm.common import Known, fold_of, labelled_sample, sole, tidied
 
 SAMPLE_ROWS = 8000
 MIN_DOCUMENTS = 4
@@ -40,6 +40,8 @@ BLOCK = 64
 #: So many blocks are visited before the first look at the bounds, then twice as many each time.
 VISITED = 4
 CACHE_WORDS = 400_000
+#: Words whose stems are kept; each has several.
+CACHE_STEMS = 100_000
 #: Texts with the same terms as often have the same neighbours; so many are kept by a Python worker.
 CACHE_TEXTS = 50_000
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
@@ -57,19 +59,22 @@ def stems_of(word: bytes) -> list[str]:
     return list(dict.fromkeys(bare[:k] for k in STEM)) if bare else []
 
 
+@sole
+def worker_stems() -> Known:
+    """One cache for all tasks of a Python worker."""
+    return Known(stems_of, CACHE_STEMS)
+
+
 def stem_counts(sample: DataFrame) -> DataFrame:
     """term, a (documents of label 1 that have it), df, summed for each partition of the sample."""
 
+    @tidied
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, list[str]] = {}
+        known = worker_stems()
         a, df = Counter(), Counter()
         for batch in batches:
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = set((text.as_py() or "").encode().split())
-                for w in words:
-                    if w not in known:
-                        known[w] = stems_of(w)
-                stems = {s for w in words for s in known[w]}
+                stems = {s for w in set((text.as_py() or "").encode().split()) for s in known.fresh()[w]}
                 df.update(stems)
                 if y:
                     a.update(stems)
@@ -125,8 +130,9 @@ def worker_counts(terms: tuple[str, ...]) -> Counts:
 def example_terms(sample: DataFrame, terms: list[str]) -> DataFrame:
     """doc_id, y, terms and tf of the sample's documents that have a term of the vocabulary."""
 
+    @tidied
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Counts(terms)
+        counts = worker_counts(tuple(terms))
         for batch in batches:
             rows = [(i, y, *(x.tolist() for x in counts(t.as_py()))) for i, y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)]
             rows = [r for r in rows if r[2]]
@@ -263,6 +269,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
     """doc_id, score, neighbours (the nearest examples' ids), terms (the vocabulary's terms found)."""
     held = docs.sparkSession.sparkContext.broadcast(index)  # bounded by SAMPLE_ROWS
 
+    @tidied
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(held.value)
         for batch in batches:
@@ -279,6 +286,7 @@ def scored(docs: DataFrame, index: Index, name: str = "score") -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(index)
     text = docs.columns.index("text")
 
+    @tidied
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(held.value)
         for batch in batches:

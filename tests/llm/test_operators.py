@@ -7,12 +7,14 @@ import random
 import re
 import weakref
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from terrasieve.llm import chat, lm_scoring, mixing, near_dedup, packing, quality_classifier, quality_rules, top_k, toxicity, url_filters
+from terrasieve.llm import chat, common, lm_scoring, mixing, near_dedup, packing, quality_classifier, quality_rules, top_k, toxicity, url_filters
 from terrasieve.llm.common import bucketed
 from terrasieve.llm.queries import word_tokenizer
 
@@ -207,6 +209,47 @@ def test_a_worker_holds_the_caches_of_one_operator():
         assert held() is None
 
 
+def test_later_operators_free_a_workers_caches():
+    """At once, though caches and their owners refer to each other, and also where the first step of toxicity comes next."""
+    gc.disable()
+    try:
+        held = weakref.ref(packing.word_ids(word_tokenizer()))
+        toxicity.worker_stems()
+        assert held() is None
+    finally:
+        gc.enable()
+
+
+def test_a_tasks_memory_goes_back_when_it_ends():
+    def resident() -> float:
+        return int(re.search(r"Rss:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+
+    @common.tidied
+    def read(batches):
+        for batch in batches:
+            held.append(Judge(batch))
+            yield batch
+        held.clear()
+
+    class Judge:
+        def __init__(self, batch: pa.RecordBatch):
+            self.known = common.Known(self.judged, 10)
+            self.own = [pa.array(np.arange(50_000) + k) for k in range(400)]  # 160 MB from Arrow's pool
+
+        def judged(self, key):
+            return key
+
+    held: list = []
+    list(read([]))
+    before = resident()
+    gc.disable()
+    try:
+        assert len(list(read([pa.record_batch({"x": [1]})]))) == 1
+        assert resident() - before < 60
+    finally:
+        gc.enable()
+
+
 def test_word_ids_equal_the_tokenizer():
     from tokenizers import Tokenizer
 
