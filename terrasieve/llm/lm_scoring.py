@@ -21,14 +21,13 @@ from __future__ import annotations
 import pickle
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrasieve.llm.common import Known, written
+from terrasieve.llm.common import written
 
 TOKENS = 1 << 15
 INPUTS = TOKENS
@@ -57,7 +56,6 @@ RATE = 0.1
 #: Rates of a word's own weights, divided by the root of 1 plus the sum of their squared gradients.
 RATE_INPUT = 0.1
 RATE_MEMBER = 0.2
-CACHE_WORDS = 400_000
 FAN = 8
 #: A copy is averaged in so many slices, so tasks never hold whole copies together.
 SLICES = 16
@@ -66,20 +64,11 @@ SHARD = 3_000_000
 
 
 class Tokens:
-    """Bucket numbers of a text's words, lower case."""
-
-    def __init__(self) -> None:
-        self.known = Known(lambda w: zlib.crc32(w) % TOKENS, CACHE_WORDS)
+    """Bucket numbers of a text's words, lower case. A hash takes less time than a look at a large cache of them."""
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").encode().lower().split()
-        return np.array(list(map(self.known.fresh().__getitem__, words)), np.int64)
-
-
-@lru_cache(maxsize=1)
-def worker_tokens() -> Tokens:
-    """One cache for all tasks of a Python worker."""
-    return Tokens()
+        return np.fromiter(map(zlib.crc32, words), np.uint32, len(words)).astype(np.int64) % TOKENS
 
 
 def tokenized(docs: DataFrame) -> DataFrame:
@@ -88,7 +77,7 @@ def tokenized(docs: DataFrame) -> DataFrame:
         return docs
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = worker_tokens()
+        tokens = Tokens()
         for batch in batches:
             cells = [tokens(t.as_py()).astype(np.uint16).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.binary())], names=TOKENIZED)
@@ -153,6 +142,8 @@ class Members:
         self.prior = within[order].astype(np.float32)
         self.place = np.empty(TOKENS, np.int64)
         self.place[order] = np.arange(TOKENS)
+        size = np.diff(self.start)
+        self.several = np.repeat(size > 1, size)
 
     def groups(self, tokens: np.ndarray) -> Iterator[tuple[np.ndarray, int, int, np.ndarray]]:
         """For each class with several members: rows of tokens in it, its first and last place, and the rows' members."""
@@ -166,6 +157,14 @@ class Members:
                 rows = by[a:b]
                 yield rows, first, last, place[rows] - first
 
+    def placed(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of the tokens whose class has several members, in order of their places; those places; where each class among them begins, and their number."""
+        place = self.place[tokens]
+        rows = np.flatnonzero(self.several[place])
+        rows = rows[np.argsort(place[rows].astype(np.uint16), kind="stable")]
+        place = place[rows]
+        return rows, place, np.unique(np.searchsorted(place, self.start))
+
 
 class Network:
     """Concatenated embeddings of the context, a tanh layer, a softmax over classes and one over each class's members."""
@@ -247,55 +246,65 @@ class Network:
 
     def step(self, context: np.ndarray, tokens: np.ndarray, members: Members, rate: float) -> None:
         x, h = self.hidden(context)
-        gh, gw, gb = np.empty_like(h), np.zeros_like(self.w2), np.zeros_like(self.b2)
+        one = np.ones((len(h), 1), np.float32)
+        h1, gh = np.concatenate([h, one], axis=1), np.empty_like(h)
+        # a last row of biases, or a last column of ones, makes one product of two
+        w = np.concatenate([self.w2, self.b2[None]])
+        back, gw = np.concatenate([self.w2.T, np.ones((CLASSES, 1), np.float32)], axis=1), np.zeros_like(w)
+        own = members.classes[tokens]
         safe = self.classes_safe()
         for a in range(0, len(h), ROWS):
-            part = h[a : a + ROWS]
-            g = part @ self.w2
-            g += self.b2
+            part = h1[a : a + ROWS]
+            g = part @ w
             if not safe:
                 g -= g.max(axis=1, keepdims=True)
             np.exp(g, out=g)
-            total = g.sum(axis=1, keepdims=True) + 1e-30
-            g[np.arange(len(g)), members.classes[tokens[a : a + ROWS]]] -= total[:, 0]
-            gh[a : a + ROWS] = (g @ self.w2.T) / total
-            part = part / total
-            gw += part.T @ g
-            gb += (1 / total[:, 0]) @ g
-        for rows, first, last, own in members.groups(tokens):
-            place = np.zeros(last - first, np.int64)
-            place[own] = 1
-            here = np.flatnonzero(place)
-            place[here] = np.arange(len(here))
-            mine = place[own]
-            at, hr = first + here, h[rows]
-            v, prior = self.v[at], members.prior[at]
-            p = hr @ v.T
-            p += prior - np.log(-np.expm1(-len(rows) * np.exp(prior)))
-            if np.abs(v).sum(axis=1).max() > REACH - 20:  # a prior over its chance to be there is at most e**20
-                p -= p.max(axis=1, keepdims=True)
-            np.exp(p, out=p)
-            total = p.sum(axis=1, keepdims=True) + 1e-30
-            p[np.arange(len(rows)), mine] -= total[:, 0]
-            gh[rows] += (p @ v) / total
-            gv = p.T @ (hr / total)
-            total = self.v_sum[at] + np.einsum("ij,ij->i", gv, gv)[:, None] / HIDDEN
-            self.v_sum[at] = total
-            self.v[at] = v - gv * (RATE_MEMBER / np.sqrt(total))
+            r = g @ back
+            total = r[:, HIDDEN:] + 1e-30
+            g[np.arange(len(g)), own[a : a + ROWS]] -= total[:, 0]
+            np.divide(r[:, :HIDDEN], total, out=gh[a : a + ROWS])
+            gw += (part / total).T @ g
+        gh -= self.w2.T[own]
+        rows, place, cuts = members.placed(tokens)
+        if len(rows):
+            start = np.flatnonzero(np.diff(place, prepend=-1))  # rows of one member follow one another
+            here, times = place[start], np.diff(start, append=len(place))
+            ends = np.searchsorted(start, cuts)
+            v, n = self.v[here], np.repeat(np.diff(cuts), np.diff(ends)).astype(np.float32)
+            prior = members.prior[here]
+            prior = prior - np.log(-np.expm1(-n * np.exp(prior)))
+            wide = np.abs(v).sum(axis=1).max() > REACH - 20  # a prior over its chance to be there is at most e**20
+            v1, back = np.concatenate([v, prior[:, None]], axis=1), np.concatenate([v, np.ones((len(v), 1), np.float32)], axis=1)
+            hr, r, gv = h1[rows], np.empty((len(rows), HIDDEN + 1), np.float32), np.empty_like(v)
+            for a, b, c, d in zip(cuts.tolist(), cuts[1:].tolist(), ends.tolist(), ends[1:].tolist(), strict=False):
+                p = hr[a:b] @ v1[c:d].T
+                if wide:
+                    p -= p.max(axis=1, keepdims=True)
+                np.exp(p, out=p)
+                np.matmul(p, back[c:d], out=r[a:b])
+                np.matmul(p.T, hr[a:b, :HIDDEN] / r[a:b, HIDDEN:], out=gv[c:d])
+            gh[rows] += r[:, :HIDDEN] / r[:, HIDDEN:] - np.repeat(v, times, axis=0)
+            gv -= np.add.reduceat(hr[:, :HIDDEN], start, axis=0)
+            total = self.v_sum[here] + np.einsum("ij,ij->i", gv, gv)[:, None] / HIDDEN
+            self.v_sum[here] = total
+            self.v[here] = v - gv * (RATE_MEMBER / np.sqrt(total))
         gh *= 1 - h * h
         gx = (gh @ self.w1.T).reshape(-1, WIDTH)
         rate = rate / len(h) * 8
-        self.w2 -= rate * gw
-        self.b2 -= rate * gb
+        self.w2 -= rate * gw[:HIDDEN]
+        self.b2 -= rate * gw[HIDDEN]
         self.w1 -= rate * (x.T @ gh)
         self.b1 -= rate * gh.sum(axis=0)
-        flat = context.ravel()
-        ge = np.stack([np.bincount(flat, weights=gx[:, k], minlength=INPUTS + 1) for k in range(WIDTH)], axis=1).astype(np.float32)
-        self.e_sum += (ge * ge).mean(axis=1, keepdims=True)
-        ge /= np.sqrt(self.e_sum)
-        ge *= RATE_INPUT
-        self.e -= ge
-        self.e_met += np.bincount(flat, minlength=INPUTS + 1)
+        times = np.bincount(context.ravel(), minlength=INPUTS + 1)
+        here = np.flatnonzero(times)  # the weights of other words stay
+        number = np.zeros(INPUTS + 1, np.int64)
+        number[here] = np.arange(len(here))
+        flat = number[context.ravel()]
+        ge = np.stack([np.bincount(flat, weights=w, minlength=len(here)) for w in np.ascontiguousarray(gx.T)], axis=1).astype(np.float32)
+        total = self.e_sum[here] + np.einsum("ij,ij->i", ge, ge)[:, None] / WIDTH
+        self.e_sum[here] = total
+        self.e[here] -= ge * (RATE_INPUT / np.sqrt(total))
+        self.e_met += times
         self.v_met += np.bincount(members.place[tokens], minlength=TOKENS)
 
     def met(self, seen: int) -> np.ndarray:

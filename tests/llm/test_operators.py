@@ -640,3 +640,45 @@ def test_language_model_context_decides_within_classes(spark):
     ids = np.flatnonzero(classes == classes[at("mid1")])
     h = np.repeat(net.forward(lm_scoring.contexts(lm_scoring.Tokens()("left1 mid1 right1"), np.array([1])))[1], len(ids), axis=0)
     assert np.isclose(np.exp(net.chosen(h, ids, members).astype(float)).sum(), 1, atol=1e-4)
+
+
+def test_a_step_of_the_language_model_follows_the_gradient():
+    """Against a plain version; weights of words that it doesn't meet are neither read nor written."""
+    lm, r = lm_scoring, np.random.default_rng(1)
+    classes, within = lm.classes_of(r.zipf(1.3, lm.TOKENS).clip(max=9999))
+    members, net = lm.Members(classes, within), lm.Network()
+    net.v[...] = r.standard_normal(net.v.shape) * 0.2
+    tokens = r.integers(0, lm.TOKENS, 3000) // 8
+    context = r.integers(0, lm.TOKENS // 2, (3000, 2 * lm.WINDOW))
+    away = np.setdiff1d(np.arange(lm.INPUTS + 1), context)
+    net.e_sum[away] = np.nan
+    e, w1, b1, w2, b2, v = (p.astype(float) for p in net.parts())
+    x, h = (a.astype(float) for a in net.hidden(context))
+
+    def less_one(z: np.ndarray, own: np.ndarray) -> np.ndarray:
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        p[np.arange(len(p)), own] -= 1
+        return p
+
+    g = less_one(h @ w2 + b2, classes[tokens])
+    gh, gv, place = g @ w2.T, np.zeros_like(v), members.place[tokens]
+    for k in range(lm.CLASSES):
+        rows = np.flatnonzero(classes[tokens] == k)
+        if len(rows) and members.start[k + 1] - members.start[k] > 1:
+            here, own = np.unique(place[rows], return_inverse=True)
+            prior = members.prior[here].astype(float)
+            p = less_one(h[rows] @ v[here].T + prior - np.log(1 - np.exp(-len(rows) * np.exp(prior))), own)
+            gh[rows] += p @ v[here]
+            gv[here] = p.T @ h[rows]
+    gh *= 1 - h * h
+    ge = np.zeros_like(e)
+    np.add.at(ge, context.ravel(), (gh @ w1.T).reshape(-1, lm.WIDTH))
+    slower = lambda w, g, rate: w - rate * g / np.sqrt(1 + (g * g).mean(axis=1, keepdims=True))
+    rate = 0.05 / len(h) * 8
+    net.step(context, tokens, members, 0.05)
+    plain = [slower(e, ge, lm.RATE_INPUT), w1 - rate * x.T @ gh, b1 - rate * gh.sum(axis=0), w2 - rate * h.T @ g, b2 - rate * g.sum(axis=0), slower(v, gv, lm.RATE_MEMBER)]
+    for got, wanted, before in zip(net.parts(), plain, (e, w1, b1, w2, b2, v), strict=True):
+        assert np.abs(wanted - before).max() > 1e-4
+        assert np.allclose(got, wanted, atol=2e-5)
+    assert np.array_equal(net.e_met, np.bincount(context.ravel(), minlength=lm.INPUTS + 1))
